@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, packing, secrets, simhash
+from . import chat, decontam, langid, packing, secrets, simhash, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
-SEQUENCE_TOKENS, END_ID, LANG_FOLDS, LANG_HELD = 4096, 1, 4, 2
+SEQUENCE_TOKENS, END_ID, LANG_FOLDS, LANG_HELD, TOXIC = 4096, 1, 4, 2, 0.7
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,24 @@ def fold(doc: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc).cast("string"), F.lit(""))) % folds
 
 
+def op1_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = toxicity.train(documents, labels.where(fold("doc_id", 3) != 1))
+    found = toxicity.score(documents, model)
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", F.when(F.col("score") >= TOXIC, 1).otherwise(0).alias("predicted"), F.size("offending").alias("n_offending"))
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_conversations(rows.unionByName(extra)))
+
+
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
     return found.select(
@@ -69,6 +87,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op5_benchmark_decontamination, op6_best_fit_packing, op7_simhash_near_dedup, op9_secret_scan, op10_language_id, pipeline)
+    f.__name__: f for f in (op1_toxicity_mil, op2_chat_format, op4_exact_top_k, op5_benchmark_decontamination, op6_best_fit_packing, op7_simhash_near_dedup, op9_secret_scan, op10_language_id, pipeline)
+}
+ORACLE_SQL: dict[str, str] = {
+    "op4_exact_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+                   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+             r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
 }
-ORACLE_SQL: dict[str, str] = {}
