@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, packing, secrets, simhash, topk, toxicity
+from . import chat, decontam, langid, lm, packing, secrets, simhash, substring, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 SEQUENCE_TOKENS, END_ID, LANG_FOLDS, LANG_HELD, TOXIC = 4096, 1, 4, 2, 0.7
@@ -42,6 +42,13 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.unionByName(extra)))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, unigrams = lm.train(documents.where(fold("doc_id", 10) != 0).select("text"))
+    found = lm.score(documents, model, unigrams)
+    return found.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -61,6 +68,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), radius=3, shingle=3)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = [r.kind for r in secrets.RULES if r.base]
@@ -87,7 +98,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_toxicity_mil, op2_chat_format, op4_exact_top_k, op5_benchmark_decontamination, op6_best_fit_packing, op7_simhash_near_dedup, op9_secret_scan, op10_language_id, pipeline)
+    f.__name__: f for f in (op1_toxicity_mil, op2_chat_format, op3_lm_scoring, op4_exact_top_k, op5_benchmark_decontamination, op6_best_fit_packing, op7_simhash_near_dedup, op8_substring_dedup, op9_secret_scan, op10_language_id, pipeline)
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_top_k": """
