@@ -12,66 +12,86 @@ number of sequences stays within some per mille of the least possible whatever t
 
 from __future__ import annotations
 
-import re
+import json
+import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer, pre_tokenizers
 
 from .store import materialize, prepare
 
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 _ENCODERS: dict[int, Encoder] = {}
-#: a full stop or comma alone between a letter and white space is a token of its own anyway: without it, words recur more often
-_STOP = re.compile(r"(?<=[^\W\d_])([.,])(?=[ \n\t\r]|$)")
+_LATIN = "\u0250"  #: below it, letters are composed already and have one lower form each
 
 
-class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes.
+class Encoder(dict):
+    """Ids by word, as little-endian unsigned 32-bit bytes; a dict that works out what it lacks.
 
-    The tokenizer drops white space, so a text's ids are those of its words, which come from a cache. Words not met
-    before are encoded together, a special token between them; those that hold a special token are encoded alone.
+    A tokenizer that drops white space gives a text the ids of its words. Where its definition is the kind known here
+    (NFC, lower case, split by an expression, byte-level BPE), a printable word of Latin letters, digits and signs is
+    lowered and split here, and only its parts go to the BPE model; most new words are made
+    of known parts. Any other word, and any word that holds a special token, goes to the tokenizer whole.
     """
 
     def __init__(self, definition: str):
-        from tokenizers import Tokenizer
-
+        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_str(definition)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
-        self.cache: dict[str, bytes] = {"": b""}
-
-    def _alone(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, fresh: list[str]) -> None:
-        whole = "\n".join(fresh)
-        if not self.special or any(s in whole for s in self.special):
-            self.cache.update((w, self._alone(w)) for w in fresh)
-            return
-        mark, mark_id = self.special[-1], self.tokenizer.token_to_id(self.special[-1])
-        groups = [fresh[a : a + 64] for a in range(0, len(fresh), 64)]
-        for a in range(0, len(groups), 200):
-            some = groups[a : a + 200]
-            for words, e in zip(some, self.tokenizer.encode_batch_fast([mark.join(g) for g in some], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, "<u4")
-                cuts = (4 * np.flatnonzero(ids == mark_id)).tolist()
-                raw = ids.tobytes()
-                self.cache.update((w, raw[s:t]) for w, s, t in zip(words, [0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True))
-
-    def __call__(self, text: str) -> bytes:
-        if text.isascii() and not any(s in (low := text.lower()) for s in self.special):
-            text = low  # the tokenizer lowers too; where letters have more than one lower form, that is left to it
-        words = _STOP.sub(r" \1", text).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        try:
-            return b"".join(map(self.cache.__getitem__, words))
-        except KeyError:
-            if len(self.cache) > CACHE_WORDS:
-                self.cache = {"": b""}
-            self._learn(list(set(words).difference(self.cache)))
-            return b"".join(map(self.cache.__getitem__, words))
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        marks = "|".join(map(regex.escape, special))
+        self.holds_special = regex.compile(marks).search if marks else lambda _: None
+        self.parts = self._splitter(json.loads(definition))
+        chars = sorted(pre_tokenizers.ByteLevel.alphabet())
+        visible = [b for b in range(256) if chr(b) in chars]
+        self.bytes_to_chars = {b: chr(b) for b in visible} | dict(zip([b for b in range(256) if b not in visible], [c for c in chars if ord(c) > 255], strict=True))
+
+    @staticmethod
+    def _splitter(d: dict) -> regex.Pattern | None:
+        normal, pre = d.get("normalizer") or {}, d.get("pre_tokenizer") or {}
+        kinds = [x["type"] for x in normal.get("normalizers", [])], [x["type"] for x in pre.get("pretokenizers", [])]
+        if kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) or d["model"]["type"] != "BPE":
+            return None
+        split, level = pre["pretokenizers"]
+        plain = split["behavior"] == "Removed" and split["invert"] and not level["add_prefix_space"] and not level["use_regex"]
+        return regex.compile(split["pattern"]["Regex"]) if plain and "Regex" in split["pattern"] else None
+
+    def __missing__(self, word: str) -> bytes:
+        if self.parts is None or max(word) >= _LATIN or "\u0130" in word or not word.isprintable() or self.holds_special(word):
+            out = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        else:
+            low = word.lower()
+            parts = [low] if low.isalpha() else self.parts.findall(low)
+            if parts != [word]:
+                out = b"".join([self[p] for p in parts])
+            else:
+                ids = [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.bytes_to_chars))]
+                out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) > CACHE_WORDS:
+            self.clear()
+            self[""] = b""
+        self[word] = out
+        return out
+
+    def encode(self, text: str) -> bytes:
+        if self.parts is not None:
+            text = self._plainer(text)
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
+
+    def _plainer(self, text: str) -> str:
+        """A text of the same ids with fewer different words: ASCII is lowered, and a sign after a letter stands alone."""
+        if text.isascii() and not self.holds_special(low := text.lower()):
+            text = low
+        for stop in (", ", ". ", ".\n"):
+            pieces = text.split(stop)
+            if all(p[-1:].isalpha() for p in pieces[:-1]):
+                text = f" {stop}".join(pieces)
+        return text
 
 
 def _encoder(definition: str) -> Encoder:
@@ -94,7 +114,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int =
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode, salt = _encoder(shared.value), 0
+        encode, salt = _encoder(shared.value).encode, 0
         for batch in batches:
             rows, out, ids = [], [[] for _ in longs], []
             for r, t in enumerate(batch.column(text)):
