@@ -85,21 +85,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == k)
         shared = spark.sparkContext.broadcast(_index([(r[0], r[1]) for r in mine.collect()], n))
         if k:
-            out = out.withColumnsRenamed({_RUNS: f"{_RUNS}0", _SEEN: f"{_SEEN}0"})
-        out = add_columns(out, *_pass(shared, text, first=k == 0)).drop(f"{_RUNS}0", f"{_SEEN}0")
-    return add_columns(out, FIELDS, lambda batch: _finish(batch, text)).drop(_RUNS, _SEEN)
+            out = out.withColumnsRenamed({c: f"{c}0" for c in _STATE.names})
+        out = add_columns(out, *_pass(shared, text, k == 0, k == blocks - 1)).drop(*(f"{c}0" for c in _STATE.names))
+    return out
 
 
-def _pass(shared: Broadcast, text: str, first: bool) -> tuple:
+def _pass(shared: Broadcast, text: str, first: bool, last: bool) -> tuple:
+    """One block's scan, added to what the blocks before found; the last one gives the results."""
+
     def make(batch: pa.RecordBatch) -> list:
         runs, seen = _scan(batch, text, shared.value)
         if not first:
             old = zip(batch.column(f"{_RUNS}0").to_pylist(), batch.column(f"{_SEEN}0").to_pylist(), strict=True)
             for d, (r, s) in enumerate(old):
                 runs[d], seen[d] = _merged([*zip(r[::2], r[1::2], strict=True), *zip(runs[d][::2], runs[d][1::2], strict=True)]), sorted({*s, *seen[d]})
-        return [runs, seen]
+        return _finish(batch, text, runs, seen) if last else [runs, seen]
 
-    return _STATE, make
+    return (FIELDS if last else _STATE), make
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[int]:
@@ -112,9 +114,8 @@ def _merged(spans: list[tuple[int, int]]) -> list[int]:
     return flat
 
 
-def _finish(batch: pa.RecordBatch, text: str) -> list:
+def _finish(batch: pa.RecordBatch, text: str, runs: list, seen: list) -> list:
     data, off = text_bytes(batch.column(text))
-    runs, seen = batch.column(_RUNS).to_pylist(), batch.column(_SEEN)
     n_words, n_hit, spans = np.zeros(batch.num_rows, np.int64), [sum(r[1::2]) - sum(r[::2]) for r in runs], [[] for _ in runs]
     for i, j in chunks(off):
         w = Words(data, off, i, j, ALNUM, hashed=False)
@@ -132,16 +133,7 @@ def removed(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share: floa
 
     Columns stay as they are; clean documents stay unchanged.
     """
-    from functools import reduce
-
     found = decontaminate(docs, benchmark, n, text)
     kept = found.where((F.col("n_hit") == 0) | (F.col("n_hit") < F.lit(drop_share) * F.col("n_words")))
-
-    def cut(batch: pa.RecordBatch) -> list:
-        out = []
-        for t, spans in zip(batch.column(text).to_pylist(), batch.column("hit_spans").to_pylist(), strict=True):
-            out.append(t if not spans else reduce(lambda s, x: s[: x[0]] + s[x[1] :], reversed(spans), t))
-        return [out]
-
-    new = T.StructType([T.StructField("_mw_cut", T.StringType())])
-    return add_columns(kept, new, cut).withColumn(text, F.col("_mw_cut")).select(*docs.columns)
+    cut = F.aggregate(F.reverse("hit_spans"), F.col(text), lambda t, s: F.concat(t.substr(F.lit(1), s[0]), t.substr(s[1] + 1, F.length(t))))
+    return kept.withColumn(text, F.when(F.size("hit_spans") > 0, cut).otherwise(F.col(text))).select(*docs.columns)

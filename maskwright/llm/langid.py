@@ -39,21 +39,24 @@ def _letters() -> np.ndarray:
     return _LETTERS[0]
 
 
-def ngrams(texts: list[str], bits: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For runs i..j-1 of texts of about a million characters: i, j, feature of each n-gram, and its document's place in the run."""
+RUN = 1 << 17  #: characters handled at once; a longer text is a run of its own
+
+
+def ngrams(texts: list[str], bits: int) -> Iterator[tuple[int, int, list[tuple[np.ndarray, np.ndarray]]]]:
+    """For runs i..j-1 of texts of about RUN characters: i, j, and by length the n-grams' features and documents (places in the run, rising)."""
     i = 0
     while i < len(texts):
         j, n = i, 0
-        while j < len(texts) and (j == i or n + len(texts[j]) < 1 << 20):
+        while j < len(texts) and (j == i or n + len(texts[j]) < RUN):
             n, j = n + len(texts[j]), j + 1
         lowered = [t.lower() for t in texts[i:j]]
         c = np.frombuffer("".join(f" {t} " for t in lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-        doc = np.repeat(np.arange(j - i), [len(t) + 2 for t in lowered])
+        doc = np.repeat(np.arange(j - i, dtype=np.int32), [len(t) + 2 for t in lowered])
         c = np.where(_letters()[c], c, np.uint32(32))
         keep = np.ones(len(c), bool)
         keep[1:] = (c[1:] != 32) | (c[:-1] != 32) | (doc[1:] != doc[:-1])
         c, doc = c[keep], doc[keep]
-        some, where, h = [], [], np.zeros(len(c), np.uint32)
+        found, h = [], np.zeros(len(c), np.uint32)
         for n in range(1, 4):
             m = len(c) - n + 1
             if m <= 0:
@@ -64,9 +67,8 @@ def ngrams(texts: list[str], bits: int) -> Iterator[tuple[int, int, np.ndarray,
                 whole &= c != 32
             mixed = h ^ (h >> np.uint32(15))
             mixed = mixed * np.uint32(0x2C1B3C6D)
-            some.append((mixed >> np.uint32(32 - bits))[whole])
-            where.append(doc[:m][whole])
-        yield i, j, np.concatenate(some), np.concatenate(where)
+            found.append(((mixed >> np.uint32(32 - bits))[whole], doc[:m][whole]))
+        yield i, j, found
         i = j
 
 
@@ -85,11 +87,13 @@ class LanguageModel:
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         rows = [k for k, t in enumerate(texts) if t and self.langs and has_letter(t)]
-        for i, j, features, doc in ngrams([texts[k] for k in rows], self.bits):
-            order = np.argsort(doc, kind="stable")
-            counts = np.bincount(doc, minlength=j - i)
-            starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
-            total = np.add.reduceat(self.weights[features[order]], starts, axis=0, dtype=np.float64)
+        for i, j, found in ngrams([texts[k] for k in rows], self.bits):
+            counts, total = np.zeros(j - i, np.int64), np.zeros((j - i, len(self.langs)))
+            for features, doc in found:
+                some, starts = np.unique(doc, return_index=True)
+                counts += np.bincount(doc, minlength=j - i)
+                if len(some):
+                    total[some] += np.add.reduceat(self.weights[features], starts, axis=0)
             z = (total / counts[:, None] + self.bias) / self.temperature
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
@@ -155,7 +159,8 @@ def train(labelled: DataFrame, sample: int = 4000, sample_chars: int = 20_000, b
             ids, langs, texts = (batch.column(c).to_pylist() for c in ("id", "lang", "text"))
             keep = [k for k, t in enumerate(texts) if has_letter(t)]
             out = []
-            for i, j, f, d in ngrams([texts[k] for k in keep], bits):
+            for i, j, found in ngrams([texts[k] for k in keep], bits):
+                f, d = (np.concatenate([x[s] for x in found]) for s in (0, 1))
                 key, n = np.unique(d.astype(np.int64) << bits | f, return_counts=True)
                 total = np.bincount(d, minlength=j - i)
                 owner = key >> bits
