@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spans import match_spans
+from ..shipping import ship
 
 HIGH, REVIEW = 90.0, 75.0
 TOKEN = r"(?U)\b[\w.-]+\b"
@@ -48,6 +49,7 @@ def fuzzy_matches(tokens: DataFrame, terms: DataFrame, high: float = HIGH, revie
     threshold, in buckets of length; a larger one takes the same equi-join without the broadcast. Levenshtein distance is at
     most the indel distance, so its bound is a sound filter before the exact ratio.
     """
+    ship(tokens.sparkSession)
     normal = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else folded(x)), "string")
     ratio = F.pandas_udf(lambda a, b: pd.Series([similarity(x, y) for x, y in zip(a, b, strict=True)]), "double")
     t = tokens.where("token is not null").select("token", normal("token").alias("tn")).withColumn("tl", F.length("tn"))

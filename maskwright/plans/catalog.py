@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import detection, labelling
+from . import contracts, detection, labelling
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "detection", "labelling"]
+__all__ = ["ORACLES", "QUERIES", "contracts", "detection", "labelling"]
