@@ -3,7 +3,8 @@
 A document's tokens are its ids by a fixed tokenizer and one end id. Documents longer than a sequence are cut into
 full pieces and a rest; full pieces are sequences of their own. Every other piece goes where the sum over gaps of
 (number of open bins with that gap) squared becomes smallest, a new bin being one of the places; of equal places the
-one that leaves the smallest gap wins. Pieces are taken from the longest to the shortest.
+one that leaves the smallest gap wins. Pieces are taken from the longest on; the shortest, which fill what is left, come last
+and shuffled, as equal ones in a row would leave equal gaps behind.
 
 Only lengths are packed, never texts or ids. Pieces are dealt at random (by a stored salt, so that copies of a row do not
 meet) into shards of about `shard_rows`; each shard's bins are its own. A shard leaves a handful of bins open, so the
@@ -134,13 +135,19 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int =
     return docs.select(doc, text).mapInArrow(run, schema)
 
 
+def order(lengths: np.ndarray, size: int) -> np.ndarray:
+    """Places of the lengths in the order of packing: from the longest down to a 16th of the size, then the short ones shuffled."""
+    long, short = np.flatnonzero(lengths >= size // 16), np.flatnonzero(lengths < size // 16)
+    return np.concatenate((long[np.argsort(-lengths[long], kind="stable")], np.random.Generator(np.random.PCG64(len(short))).permutation(short)))
+
+
 def pack(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each length, 1..size; bins are numbered from 0."""
     bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     counts = np.zeros(size + 1, np.int32)  #: open bins by gap
     stacks: dict[int, list[int]] = {}
     used, never = 0, np.iinfo(np.int32).max
-    for k in np.argsort(-lengths, kind="stable").tolist():
+    for k in order(lengths, size).tolist():
         n = int(lengths[k])
         gap = size
         if n < size:
