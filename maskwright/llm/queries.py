@@ -100,7 +100,30 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (op1_toxicity_mil, op2_chat_format, op3_lm_scoring, op4_exact_top_k, op5_benchmark_decontamination, op6_best_fit_packing, op7_simhash_near_dedup, op8_substring_dedup, op9_secret_scan, op10_language_id, pipeline)
 }
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _rule_sql(rule: secrets.Rule, order: int) -> str:
+    """Common table expressions that walk over one rule's matches, each located after the end of the one before."""
+    pattern = rule.pattern.replace("(?ai:", "(?i:").replace("'", "''")
+    length = f"length(regexp_extract(ms[k], '{pattern}', {rule.group}))" if rule.group else "length(ms[k])"
+    return f"""m{order} AS (SELECT doc_id, text, regexp_extract_all(text, '{pattern}') AS ms FROM documents WHERE regexp_matches(text, '{pattern}')),
+        w{order}(doc_id, text, ms, k, s, e) AS (SELECT doc_id, text, ms, 1, strpos(text, ms[1]) - 1, strpos(text, ms[1]) - 1 + length(ms[1]) FROM m{order}
+            UNION ALL SELECT doc_id, text, ms, k + 1, e + strpos(substr(text, e + 1), ms[k + 1]) - 1, e + strpos(substr(text, e + 1), ms[k + 1]) - 1 + length(ms[k + 1]) FROM w{order} WHERE k < len(ms)),
+        r{order} AS (SELECT doc_id, {order} AS o, '{rule.kind}' AS kind, {str(rule.base).lower()} AS base, s, e FROM w{order} WHERE {length} >= {rule.shortest})"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_chat_format": r"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+             t AS (SELECT *, row_number() OVER w AS n, lag(role) OVER w AS before FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+             x AS (SELECT *, length(text) + 9 + CASE role WHEN 'system' THEN 12 WHEN 'user' THEN 10 WHEN 'assistant' THEN 15 ELSE 11 + length(role) END
+                          + length(text) - length(replace(text, '\', '')) + (length(text) - length(replace(text, '</turn>', ''))) // 7
+                          + coalesce(list_sum(list_transform(regexp_extract_all(text, '#{3,}'), lambda r: length(r) - 2)), 0) AS chars,
+                          CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN before IN ('system', 'assistant') THEN role = 'user' WHEN before = 'user' THEN role = 'assistant' ELSE false END AS ok FROM t)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars, bool_and(ok) AS valid FROM x GROUP BY conv_id""",
     "op4_exact_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -108,4 +131,20 @@ ORACLE_SQL: dict[str, str] = {
                    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
              r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op5_benchmark_decontamination": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+             i AS (SELECT item_id::VARCHAR AS item, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+             g AS (SELECT item, m, array_to_string(ws[p : p + m - 1], ' ') AS words FROM (SELECT item, ws, least(10, len(ws)) AS m, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS p FROM i WHERE len(ws) > 0)),
+             v AS (SELECT doc_id, m, p, array_to_string(ws[p : p + m - 1], ' ') AS words FROM (SELECT doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS p FROM d, (SELECT DISTINCT m FROM g) WHERE len(ws) >= m)),
+             h AS (SELECT DISTINCT v.doc_id, v.p, v.m, g.item FROM v JOIN g USING (m, words)),
+             n AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + m)) AS q FROM h) GROUP BY doc_id),
+             s AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY doc_id)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id)""",
+    "op9_secret_scan": f"""
+        WITH RECURSIVE {", ".join(_rule_sql(r, k) for k, r in enumerate(secrets.RULES))},
+             f AS ({" UNION ALL ".join(f"SELECT * FROM r{k}" for k in range(len(secrets.RULES)))}),
+             g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+                          string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) FILTER (base) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) AS spans FROM f GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN g USING (doc_id)""",
 }
