@@ -72,7 +72,7 @@ def chunks(off: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
 class Words:
     """The words of documents i..j-1: byte places from the first document's start, hashes, and their documents."""
 
-    __slots__ = ("doc", "ends", "first", "hashes", "low", "starts")
+    __slots__ = ("doc", "ends", "first", "hashes", "inverse", "low", "starts", "total")
 
     def __init__(self, data: np.ndarray, off: np.ndarray, i: int, j: int, inside: np.ndarray, hashed: bool = True):
         base = int(off[i])
@@ -93,10 +93,17 @@ class Words:
         self.doc = np.searchsorted(at, self.starts, side="right") - 1
         self.first = np.searchsorted(self.doc, np.arange(j - i + 1))  #: index of each document's first word, and the end
         if hashed:
-            power, inverse = _powers(len(low) + 1)
-            total = np.zeros(len(low) + 1, np.uint64)
-            np.cumsum(_RANDOM[low] * power[: len(low)], out=total[1:])
-            self.hashes = mix((total[self.ends] - total[self.starts]) * inverse[self.starts])
+            power, self.inverse = _powers(len(low) + 1)
+            self.total = np.zeros(len(low) + 1, np.uint64)
+            np.cumsum(_RANDOM[low] * power[: len(low)], out=self.total[1:])
+            self.hashes = self._hashed(self.ends)
+
+    def _hashed(self, ends: np.ndarray) -> np.ndarray:
+        return mix((self.total[ends] - self.total[self.starts]) * self.inverse[self.starts])
+
+    def heads(self, n: int) -> np.ndarray:
+        """Hashes of the words' first n bytes."""
+        return self._hashed(np.minimum(self.ends, self.starts + n))
 
     def __len__(self) -> int:
         return len(self.starts)

@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernels import Words, chunks, text_bytes
+from .kernels import Words, chunks, mix, text_bytes
 from .rows import add_columns, code_points
 from .store import prepare
 
-BITS, SENTENCE_WORDS, PREFIX = 18, 50, 5
+BITS, SENTENCE_WORDS, PREFIX = 18, 50, 4  #: bits of a feature; words of a sentence at most; bytes of a word's beginning
 LETTERS = np.zeros(256, bool)
 LETTERS[0x61:0x7B] = LETTERS[0x80:] = True
 STOPS = np.zeros(256, bool)
@@ -64,29 +64,19 @@ def sentences(column: pa.Array) -> Iterator[Sentences]:
         place -= np.maximum.accumulate(np.where(fresh, place, 0))
         fresh |= place % SENTENCE_WORDS == 0
         sentence = np.cumsum(fresh) - 1
-        head = Words(_cut(w), off[i : j + 1] - off[i], 0, j - i, LETTERS)
-        both = [h >> np.uint64(64 - BITS) for h in (w.hashes, head.hashes ^ np.uint64(0x5851F42D4C957F2D))]
-        key = np.unique(np.concatenate([sentence.astype(np.uint64) << np.uint64(BITS) | h for h in both]))
+        hashes = (w.hashes, w.heads(PREFIX) ^ np.uint64(0x5851F42D4C957F2D))
+        key = np.unique(np.concatenate([sentence.astype(np.uint64) << np.uint64(BITS) | mix(h) >> np.uint64(64 - BITS) for h in hashes]))
         first = np.flatnonzero(fresh)
         last = np.append(first[1:], len(w)) - 1
         yield Sentences(i, j, w.doc[first], w.starts[first], w.ends[last], (key >> np.uint64(BITS)).astype(np.int64), (key & np.uint64((1 << BITS) - 1)).astype(np.int64))
 
 
-def _cut(w: Words) -> np.ndarray:
-    """The bytes with all of a word after its first PREFIX blanked."""
-    low = w.low.copy()
-    long = np.flatnonzero(w.ends - w.starts > PREFIX)
-    change = np.zeros(len(low) + 1, np.int8)
-    change[w.starts[long] + PREFIX] += 1
-    np.subtract.at(change, w.ends[long], 1)
-    low[np.cumsum(change[:-1]) > 0] = 0x20
-    return low
-
-
 @dataclass(frozen=True)
 class ToxicityModel:
     weights: np.ndarray
     bias: float
+    slope: float = 1.0  #: of the calibration, on the log-odds of the noisy-or
+    shift: float = 0.0
     threshold: float = 0.5
 
     def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list]:
@@ -97,8 +87,9 @@ class ToxicityModel:
         for s in sentences(column):
             z = np.bincount(s.owner, self.weights[s.feature], minlength=len(s.doc)) + self.bias
             p = 1 / (1 + np.exp(-z))
-            scores[s.i : s.j] = -np.expm1(-np.bincount(s.doc, np.logaddexp(0, z), minlength=s.j - s.i))
             counts[s.i : s.j] = np.bincount(s.doc, minlength=s.j - s.i)
+            odds = log_odds(np.bincount(s.doc, np.logaddexp(0, z), minlength=s.j - s.i))
+            scores[s.i : s.j] = np.where(counts[s.i : s.j] > 0, 1 / (1 + np.exp(-self.slope * odds - self.shift)), 0)
             found = np.flatnonzero(p >= self.threshold)
             if len(found):
                 texts = texts or text_bytes(pc.utf8_lower(column.fill_null("")))
@@ -109,6 +100,22 @@ class ToxicityModel:
         return scores, counts, offending
 
 
+def log_odds(total: np.ndarray) -> np.ndarray:
+    """Log-odds of 1 - exp(-total), the noisy-or of sentences whose log(1 - p) sum up to -total."""
+    total = np.clip(total, 1e-9, 30)
+    return np.log(-np.expm1(-total)) + total
+
+
+def calibrated(odds: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: float = 1.0) -> tuple[float, float]:
+    """Slope and shift of the log-odds by logistic regression, drawn towards 1 and 0; Newton's method."""
+    x, b, start = np.stack([odds, np.ones(len(odds))], 1), np.array([1.0, 0.0]), np.array([1.0, 0.0])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ b))
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + prior * np.eye(2), x.T @ (weight * (p - y)) + prior * (b - start))
+        b = b - np.clip(step, -1, 1)
+    return (float(b[0]), float(b[1])) if b[0] > 0 else (1.0, 0.0)
+
+
 def fit(docs: list[tuple[float, float, np.ndarray, np.ndarray]], epochs: int = 40, rate: float = 0.5, l2: float = 3e-5, rare: int | None = None, start: float = 1.0) -> ToxicityModel:
     """docs: label, weight, and (sentence, feature) pairs, sentences numbered from 0. Adagrad over small batches; features of fewer than `rare` documents (3, or a 300th of them) stay out."""
     if len({y for y, *_ in docs}) < 2:
@@ -118,6 +125,8 @@ def fit(docs: list[tuple[float, float, np.ndarray, np.ndarray]], epochs: int = 4
         seen[np.unique(f)] += 1
     common = seen >= (max(3, len(docs) // 300) if rare is None else rare)
     docs = [(y, weight, s[k := common[f]], f[k]) for y, weight, s, f in docs]
+    held = docs[::5] if len(docs) >= 100 else []
+    docs = [d for k, d in enumerate(docs) if k % 5] if held else docs
     w, b = np.zeros(1 << BITS), -5.0
     sum_w, sum_b = np.full(1 << BITS, start), 1e-6
     rng = np.random.Generator(np.random.PCG64(7))
@@ -143,10 +152,12 @@ def fit(docs: list[tuple[float, float, np.ndarray, np.ndarray]], epochs: int = 4
             gb = g.sum()
             sum_b += gb * gb
             b -= 0.05 * gb / np.sqrt(sum_b)
-    return ToxicityModel(w.astype(np.float32), float(b))
+    totals = np.array([np.logaddexp(0, np.bincount(s, w[f]) + b).sum() if len(s) else 0.0 for _, _, s, f in held])
+    slope, shift = calibrated(log_odds(totals), np.array([d[0] for d in held]), np.array([d[1] for d in held])) if len({d[0] for d in held}) == 2 else (1.0, 0.0)
+    return ToxicityModel(w.astype(np.float32), float(b), slope, shift)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_chars: int = 20_000, text: str = "text", doc: str = "doc_id", label: str = "toxic") -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, sample_chars: int = 20_000, text: str = "text", doc: str = "doc_id", label: str = "toxic") -> ToxicityModel:
     """Fits on at most about `sample` rows of each label of labels(doc, label), 0 or 1; the rest of labels is ignored."""
     prepare(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc).isNotNull()).select(F.col(doc).alias("id"), F.col(label).cast("int").alias("y")).distinct()
@@ -178,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_chars:
     got.sort(key=lambda r: (zlib.crc32(f"order{r['id']}".encode()), r["id"], r["f"]))
     weights = {y: n / max(1, sum(r["y"] == y for r in got)) for y, n in counts.items()}
     mean = sum(weights[r["y"]] for r in got) / max(1, len(got))
-    return fit([(float(r["y"]), weights[r["y"]] / mean, np.frombuffer(r["s"], "<u4").astype(np.int64), np.frombuffer(r["f"], "<u4").astype(np.int64)) for r in got])
+    return fit([(float(r["y"]), weights[r["y"]] / mean, np.frombuffer(r["s"], "<u4").astype(np.int32), np.frombuffer(r["f"], "<u4").astype(np.int32)) for r in got])
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
