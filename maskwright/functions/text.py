@@ -57,12 +57,20 @@ def fingerprint(text: Column, start: Column, end: Column) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
-def snippet(text: Column, start: Column, end: Column, width: int = 150) -> Column:
-    """Span in its surroundings, line breaks as spaces, HTML escaped, the span bold, ellipses where text is cut off."""
-    safe = lambda c: reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")], F.regexp_replace(c, r"[\r\n]+", " "))
-    a, b = F.greatest(start - width, F.lit(0)), F.least(end + width, F.length(text))
-    dots = lambda cut: F.when(cut, F.lit("...")).otherwise("")
-    return F.concat(dots(a > 0), safe(text.substr(a + 1, start - a)), F.lit("<b>"), safe(text.substr(start + 1, end - start)), F.lit("</b>"), safe(text.substr(end + 1, b - end)), dots(b < F.length(text)))
+def snippet(text: Column, start: Column, end: Column, width: int = 150, most: int = 250, mark: tuple[str, str] = ("<b>", "</b>")) -> Column:
+    """A span in its surroundings, out to sentence ends up to `most` characters away, line breaks as spaces, HTML escaped, ellipses where cut."""
+    size = F.length(text)
+    rules = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")]
+    safe = lambda c: reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), rules, F.translate(c, "\r\n", "  "))
+    cut = lambda a, b: text.substr(a + 1, b - a)
+    near, far = F.greatest(start - width, F.lit(0)), F.greatest(start - most, F.lit(0))
+    a = near - F.length(F.regexp_extract(cut(far, near), r"[^.!?\n]*$", 0))
+    a = F.when((a > 0) & cut(a, a + 1).isin(" ", "\n"), a + 1).otherwise(a)
+    near = F.least(end + width, size)
+    b = near + F.length(F.regexp_extract(cut(near, F.least(end + most, size)), r"^[^.!?\n]*", 0))
+    b = F.when((b < size) & cut(b, b + 1).isin(".", "!", "?"), b + 1).otherwise(b)
+    dots = lambda c: F.when(c, F.lit("…")).otherwise("")
+    return F.concat(dots(a > 0), safe(cut(a, start)), F.lit(mark[0]), safe(cut(start, end)), F.lit(mark[1]), safe(cut(end, b)), dots(b < size))
 
 
 def estimate_tokens(c: Column) -> Column:
@@ -120,3 +128,21 @@ def loopback_url(c: Column) -> Column:
 
 def model_name_valid(c: Column) -> Column:
     return F.coalesce(c.rlike(r"^[A-Za-z0-9][A-Za-z0-9._:/-]{0,199}$") & ~F.lower(c).rlike(r"(:|-)cloud$"), F.lit(False))
+
+
+def json_mime(c: Column) -> Column:
+    return F.coalesce(c.rlike(r"(?i)^\s*application/(?:[a-z0-9.+-]+\+)?json\s*(?:;.*)?$"), F.lit(False))
+
+
+def expiry_seconds(c: Column) -> Column:
+    """Epoch seconds of an ISO time with a time zone; 0 for anything else, so that nothing counts as ready for ever."""
+    zoned = c.rlike(r"^\s*\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:\d{2})\s*$")
+    return F.coalesce(F.when(zoned, F.try_to_timestamp(stripped(c)).cast("double")), F.lit(0.0))
+
+
+def valid_name(c: Column, most: int = 200) -> Column:
+    return F.coalesce((F.length(stripped(c)) > 0) & (F.length(c) <= most) & ~c.rlike(r"[\x00-\x1F\x7F]"), F.lit(False))
+
+
+def valid_uuid4(c: Column) -> Column:
+    return F.coalesce(c.rlike("(?i)^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"), F.lit(False))

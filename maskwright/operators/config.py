@@ -59,13 +59,13 @@ def mode_choices(types: DataFrame) -> DataFrame:
     return types.select("entity_type", F.when(F.col("entity_type").isin(*FOUR_MODES), F.array(*map(F.lit, MODES))).otherwise(F.array(*map(F.lit, ("off", "explicit_only", "all")))).alias("choices"))
 
 
-#: built-in templates: types that differ from mode all, as "off" or "explicit_only"
+#: fixed values: ids of the built-in templates and the types whose mode isn't "all"
 TEMPLATES = {
-    "all": {},
-    "contacts": {"off": ("CRYPTO", "FINANCIAL_DATA", "HEALTH_DATA", "IT_SYSTEM", "MEDICAL_LICENSE", "MAC_ADDRESS", "IP_ADDRESS")},
-    "finance": {"off": ("HEALTH_DATA", "MEDICAL_LICENSE"), "explicit_only": ("IT_SYSTEM", "ROLE")},
-    "health": {"off": ("CRYPTO", "FINANCIAL_DATA"), "explicit_only": ("IT_SYSTEM", "ROLE")},
-    "terms": {"explicit_only": ENTITY_TYPES},
+    "builtin-standard-full": {},
+    "builtin-ch-standard": {"explicit_eupii": ("HEALTH_DATA",), "explicit_only": ("CRYPTO", "IP_ADDRESS", "MAC_ADDRESS", "ROLE"), "off": ("IT_SYSTEM",)},
+    "builtin-medical": {"explicit_only": ("BANK_ACCOUNT", "FINANCIAL_DATA", "IBAN_CODE", "ROLE", "UID_NUMBER"), "off": ("CREDIT_CARD", "CRYPTO", "IP_ADDRESS", "IT_SYSTEM", "MAC_ADDRESS", "URL", "USERNAME")},
+    "builtin-business-finance": {"explicit_only": ("IP_ADDRESS", "IT_SYSTEM", "MAC_ADDRESS", "ROLE"), "off": ("HEALTH_DATA", "MEDICAL_LICENSE")},
+    "builtin-minimal-ids": {"explicit_only": ("ADDRESS",), "off": ("CRYPTO", "DATE_TIME", "FINANCIAL_DATA", "HEALTH_DATA", "IP_ADDRESS", "IT_SYSTEM", "LOCATION", "MAC_ADDRESS", "MEDICAL_LICENSE", "ORGANIZATION", "ROLE", "URL")},
 }
 
 
@@ -86,6 +86,17 @@ def source_overview(registry: DataFrame) -> DataFrame:
     return registry.groupBy("entity_type").agg(items("prompt").alias("prompts"), F.count_if(F.col("source") == "glossary").alias("n_glossary"), F.array_sort(F.collect_set("source")).alias("sources"), F.bool_or("active").alias("active"))
 
 
+def engine_arguments(modes: dict[str, str]) -> dict[str, list[str]]:
+    """Engine type lists of a set of modes: what general detectors may find, and what the glossary may."""
+    return {"entity_types": sorted(e for e in ENTITY_TYPES if modes.get(e, "all") in ("all", "explicit_eupii")), "glossary_types": sorted(e for e in ENTITY_TYPES if modes.get(e, "all") != "off")}
+
+
+def application_settings(raw: dict, default_model: str = "") -> dict:
+    """Flat settings read back: cloud models give way to the default, modes that don't exist are dropped."""
+    model = str(raw.get("model", default_model))
+    return {**raw, "model": default_model if ":cloud" in model.lower() else model, "modes": {e: m for e, m in raw.get("modes", {}).items() if e in ENTITY_TYPES and m in MODES}}
+
+
 class RevisionConflict(RuntimeError):
     """The stored revision is not the one that was read."""
 

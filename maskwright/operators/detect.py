@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import checks
-from ..functions.spans import match_spans
+from ..functions.spans import match_spans, overlap
 
 CANDIDATE = "struct<start:int,end:int,value:string,entity_type:string,score:double,recognizer:string,method:string,seq:int>"
 
@@ -111,6 +111,11 @@ def term_spans(text: str, terms: Sequence[str], entity_type: str = "", recognize
     return F.concat(*parts)
 
 
+def mark_term(term: str, text: str, spans: str, entity_type: str) -> Column:
+    """A reviewer's mark: all whole-word occurrences of a term that touch no span of the column of spans; score 1."""
+    return F.filter(term_spans(text, [term], entity_type, "manual"), lambda s: ~F.exists(F.col(spans), lambda o: overlap(o, s)))
+
+
 def _labelled(place: Column, entity_type: str, recognizer: str) -> Callable[[Column], Column]:
     return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(entity_type).alias("entity_type"), F.lit(1.0).alias("score"), F.lit(recognizer).alias("recognizer"), F.lit("glossary").alias("method"), place.alias("seq"))
 

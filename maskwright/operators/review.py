@@ -89,10 +89,24 @@ def apply_actions(rows: DataFrame, actions: DataFrame) -> DataFrame:
     )
 
 
-def ranked(rows: DataFrame, last: list[str], doc: str = "doc_id") -> DataFrame:
-    """Places in four review orders; ties by start, then by `last`, so that orders are stable."""
-    orders = {"by_first": [], "by_type": ["entity_type"], "review_first": [F.when(F.col("needs_review"), 0).otherwise(1)], "alphabetical": ["name"]}
-    return rows.withColumns({k: F.row_number().over(Window.partitionBy(doc).orderBy(*o, "start", *last)) for k, o in orders.items()})
+def ranked(groups_: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """groups(doc, text_key, group_id, entity_type, n, needs_review, first_start) with its place in five review orders; ties end in text and id."""
+    last = ("text_key", "group_id")
+    orders = {
+        "alphabetical": last,
+        "by_first": ("first_start", *last),
+        "by_frequency": (F.desc("n"), "first_start", *last),
+        "by_type": ("entity_type", *last),
+        "review_first": (F.desc("needs_review"), F.desc("n"), "first_start", *last),
+    }
+    return groups_.withColumns({k: F.row_number().over(Window.partitionBy(doc).orderBy(*o)) for k, o in orders.items()})
+
+
+def link_label(text: Column, entity_type: Column, role: Column, group_id: Column, text_key: Column, n: Column) -> Column:
+    """A group as shown where links are chosen: text, type, role, base or a short id of a split-off group, and its count."""
+    kind = F.when(group_id == text_key, "base").otherwise(F.concat(F.lit("split "), F.substring(F.replace(group_id, F.lit("split_"), F.lit("")), 1, 6)))
+    parts = F.concat_ws(", ", entity_type, F.nullif(role, F.lit("")), kind, F.concat(n.cast("string"), F.lit("x")))
+    return F.concat(text, F.lit(" ("), parts, F.lit(")"))
 
 
 def source_class(method: Column, glossary_match: Column) -> Column:

@@ -179,12 +179,30 @@ def homonym_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.homonyms(rows)
 
 
-@query(f"""WITH s AS ({EVENT_SPANS}), o AS (SELECT doc_id, event_id, "start", row_number() OVER (PARTITION BY doc_id ORDER BY "start", event_id) AS by_first, row_number() OVER (PARTITION BY doc_id ORDER BY entity_type, "start", event_id) AS by_type,
-    row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN score < 0.85 THEN 0 ELSE 1 END, "start", event_id) AS review_first, row_number() OVER (PARTITION BY doc_id ORDER BY ('name ' || (event_id % 13)), "start", event_id) AS alphabetical FROM s)
-    SELECT doc_id, event_id, by_first::INT AS by_first, by_type::INT AS by_type, review_first::INT AS review_first, alphabetical::INT AS alphabetical FROM o""")
+GROUPED = f"""g AS (SELECT doc_id, 'name ' || (event_id % 6) AS text_key, CASE WHEN event_id % 4 = 0 THEN 'split_' || (event_id % 12) ELSE 'name ' || (event_id % 6) END AS group_id, min(entity_type) AS entity_type, count(*) AS n, bool_or(score < 0.6) AS needs_review, min("start") AS first_start FROM ({EVENT_SPANS}) GROUP BY ALL)"""
+
+
+def grouped_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    key = F.concat(F.lit("name "), (e % 6).cast("string"))
+    rows = event_spans(spark, sf_dir).withColumn("text_key", key).withColumn("group_id", F.when(e % 4 == 0, F.concat(F.lit("split_"), (e % 12).cast("string"))).otherwise(key))
+    return rows.groupBy("doc_id", "text_key", "group_id").agg(F.min("entity_type").alias("entity_type"), F.count(F.lit(1)).alias("n"), F.bool_or(F.col("score") < 0.6).alias("needs_review"), F.min("start").alias("first_start"))
+
+
+def _place(order: str) -> str:
+    return f"row_number() OVER (PARTITION BY doc_id ORDER BY {order})::INT"
+
+
+@query(f"""WITH {GROUPED} SELECT doc_id, text_key, group_id, {_place("text_key, group_id")} AS alphabetical, {_place("first_start, text_key, group_id")} AS by_first, {_place("n DESC, first_start, text_key, group_id")} AS by_frequency,
+    {_place("entity_type, text_key, group_id")} AS by_type, {_place("needs_review DESC, n DESC, first_start, text_key, group_id")} AS review_first FROM g""")
 def review_sorts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = event_spans(spark, sf_dir).withColumn("name", F.concat(F.lit("name "), F.col("event_id") % 13)).withColumn("needs_review", F.col("score") < 0.85)
-    return review.ranked(rows, ["event_id"]).select("doc_id", "event_id", "by_first", "by_type", "review_first", "alphabetical")
+    return review.ranked(grouped_events(spark, sf_dir)).select("doc_id", "text_key", "group_id", "alphabetical", "by_first", "by_frequency", "by_type", "review_first")
+
+
+@query(f"""WITH {GROUPED} SELECT doc_id, group_id, text_key || ' (' || entity_type || ', ' || CASE WHEN n > 3 THEN 'often, ' ELSE '' END || CASE WHEN group_id = text_key THEN 'base' ELSE 'split ' || substr(replace(group_id, 'split_', ''), 1, 6) END || ', ' || n || 'x)' AS label FROM g""")
+def link_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    return grouped_events(spark, sf_dir).select("doc_id", "group_id", review.link_label(c("text_key"), c("entity_type"), F.when(c("n") > 3, "often"), c("group_id"), c("text_key"), c("n")).alias("label"))
 
 
 @query("""WITH e AS (SELECT doc_id, text, (doc_id % 40)::INT AS s, (doc_id % 40 + 6)::INT AS e FROM documents)
@@ -221,14 +239,42 @@ def source_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("method", "n", review.source_class(F.col("method"), F.lit("direct")).alias("source"))
 
 
-@query()
+_ESCAPED = "replace(replace(replace(replace(replace(translate({c}, chr(13) || chr(10), '  '), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;')"
+
+
+@query(f"""WITH RECURSIVE {CHAIN}, p AS (SELECT n.doc_id, n."start" AS s, n."end" AS e, d.text, length(d.text) AS l FROM named n JOIN documents d USING (doc_id)),
+    a1 AS (SELECT *, greatest(s - 150, 0) AS a0, least(e + 150, l) AS b0 FROM p),
+    a2 AS (SELECT *, a0 - length(regexp_extract(substr(text, greatest(s - 250, 0) + 1, a0 - greatest(s - 250, 0)), '[^.!?\\n]*$')) AS a, b0 + length(regexp_extract(substr(text, b0 + 1, least(e + 250, l) - b0), '^[^.!?\\n]*')) AS b FROM a1),
+    a3 AS (SELECT *, CASE WHEN a > 0 AND substr(text, a + 1, 1) IN (' ', chr(10)) THEN a + 1 ELSE a END AS x, CASE WHEN b < l AND substr(text, b + 1, 1) IN ('.', '!', '?') THEN b + 1 ELSE b END AS y FROM a2)
+    SELECT doc_id, s AS "start", CASE WHEN x > 0 THEN '…' ELSE '' END || {_ESCAPED.format(c="substr(text, x + 1, s - x)")} || '<b>' || {_ESCAPED.format(c="substr(text, s + 1, e - s)")} || '</b>' || {_ESCAPED.format(c="substr(text, e + 1, y - e)")} || CASE WHEN y < l THEN '…' ELSE '' END AS snippet FROM a3""")
 def context_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows only: HTML escapes and ellipses are held against Python in tests/."""
     return labelled(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", "start", T.snippet(F.col("text"), F.col("start"), F.col("end")).alias("snippet"))
 
 
-@query()
+PEOPLE = "Anna Thin, Ernst Ber und Julia Onre: Annas Hund, Bers Haus, Julia's Ring; nicht Thinsel."
+
+
+@query(f"""WITH d AS (SELECT doc_id, length(substr(text, 1, 60)) + 1 AS shift FROM documents)
+    SELECT doc_id, (shift + k)::INT AS "start", value FROM d, (VALUES ({PEOPLE.index("Annas")}, 'Annas'), ({PEOPLE.index("Bers")}, 'Bers'), ({PEOPLE.index("Julia's")}, 'Julia''s')) AS t(k, value)""")
 def genitive_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows only: genitives of names given as glossary persons."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("spans", detect.term_spans("text", ["Thereon", "Enerst"], "PERSON"))
-    return resolve.genitives(docs).select("doc_id", "start", "end", "value", "score")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring("text", 1, 60), F.lit(" "), F.lit(PEOPLE)).alias("text"))
+    docs = docs.withColumn("spans", detect.term_spans("text", ["Anna Thin", "Ernst Ber", "Julia Onre"], "PERSON"))
+    return resolve.genitives(docs).select("doc_id", "start", "value")
+
+
+NAMED = "'Benjamin Kaegi Egzona Musliu, Christoph'"
+
+
+@query("""SELECT * FROM (VALUES ('Benjamin Kaegi', 0, 14), ('Egzona Musliu', 15, 28), ('Christoph', 30, 39)) AS t(value, "start", "end")""")
+def person_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit("PERSON").alias("entity_type"), F.lit(0.9).alias("score"), F.lit("gliner").alias("recognizer"), F.lit("gliner").alias("method"), F.lit(0).alias("seq"))
+    rows = spark.sql(f"SELECT {NAMED} AS text").withColumn("spans", F.transform(detect.match_spans("text", "[A-Z][a-z]+"), one))
+    return rows.select(F.explode(resolve.merged_persons(F.col("spans"), F.col("text"))).alias("s")).select("s.value", "s.start", "s.end")
+
+
+@query(f"""WITH RECURSIVE {CHAIN}, t AS (SELECT d.doc_id, d.text, unnest(list_filter(range(1, length(d.text) - 2), lambda i: lower(substr(d.text, i, 4)) = 'from')) AS p FROM documents d WHERE contains(lower(d.text), 'from'))
+    SELECT doc_id, (p - 1)::INT AS "start" FROM t WHERE NOT regexp_matches(substr(text, p - 1, CASE WHEN p > 1 THEN 1 ELSE 0 END), '[\\p{{L}}\\p{{N}}_]') AND NOT regexp_matches(substr(text, p + 4, 1), '[\\p{{L}}\\p{{N}}_]')
+        AND NOT EXISTS (SELECT 1 FROM named n WHERE n.doc_id = t.doc_id AND n."start" < p + 3 AND n."end" > p - 1)""")
+def manual_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("spans", engine.Engine(spark, CONFIG).spans())
+    return docs.select("doc_id", F.explode(detect.mark_term("from", "text", "spans", "ROLE")).alias("s")).select("doc_id", "s.start")

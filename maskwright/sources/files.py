@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import CELL_RULES
 from ..shipping import ship
 
 #: fixed values: encodings in the order they are tried, and the suffixes that are read
@@ -29,6 +30,45 @@ class UnsupportedFormat(ValueError):
     pass
 
 
+_PICTURE = re.compile(r"<!--\s*Start of picture text\s*-->(.*?)<!--\s*End of picture text\s*-->", re.IGNORECASE | re.DOTALL)
+_BR, _RULE = re.compile(r"<br\s*/?>", re.IGNORECASE), re.compile(r":?-+:?")
+#: a row of a table of contents of which a column was cut in two: number, begin of a word, its rest, page
+_CONTENTS = tuple(map(re.compile, (r"\d+|[A-ZIVXLCDM]+", r"[A-Za-zÄÖÜäöüß]+", r"[a-zäöüß].*", r"\d+|[ivxlcdmIVXLCDM]+|[-–—]")))
+
+
+def _picture(m: re.Match) -> str:
+    """Text of a picture: line breaks real, words glued together set apart."""
+    apart = lambda w: re.sub(r"(?<=[a-zäöüß])(?=[A-ZÄÖÜ])", " ", w.group())
+    return "\n\n" + re.sub(r"\b[A-Za-zÄÖÜäöüß]{4,}\b", apart, _BR.sub("\n", m.group(1))) + "\n\n"
+
+
+def clean_cell_text(cell: str) -> str:
+    """The rules of functions.text.clean_cell on one string."""
+    cell = cell.strip()
+    for pattern, new in CELL_RULES:
+        cell = re.sub(pattern, new.replace("$", "\\"), cell)
+    return cell.strip()
+
+
+def _table_row(line: str) -> str:
+    cells = line.split("|")[1:-1]
+    if not all(_RULE.fullmatch(c.strip()) for c in cells if c.strip()):
+        cells = [clean_cell_text(c) for c in cells]
+        if len(cells) == 4 and all(p.fullmatch(c) for p, c in zip(_CONTENTS, cells, strict=True)):
+            cells = [cells[0], "", cells[1] + cells[2], cells[3]]
+    return "| " + " | ".join(c.strip() for c in cells) + " |"
+
+
+def pdf_markdown(text: str | None, pictures: bool = True) -> str:
+    """Markdown made from a PDF, cleaned: tags, picture blocks, table rows, breaks, comments, white space."""
+    text = _PICTURE.sub(_picture if pictures else "", _MARKUP.sub("", text or "").strip())
+    lines = []
+    for line in map(str.strip, text.splitlines()):
+        lines.append(_table_row(line) if line.startswith("|") and line.endswith("|") and line.count("|") >= 3 else _BR.sub("\n", line))
+    text = re.sub(r"<!--.*?-->", "", "\n".join(lines), flags=re.DOTALL)
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", text)).strip()
+
+
 def decode(raw: bytes) -> str:
     """Text of bytes in the first encoding that fits; the last one fits anything."""
     for name in ENCODINGS:

@@ -230,10 +230,11 @@ def test_segments(spark):
     assert [tuple(r)[1:] for r in label.segments(named, docs).orderBy("raw_start").collect()] == [(0, 6, 0, 6), (10, 15, 16, 21), (18, 19, 31, 32)]
 
 
-def test_snippets_are_escaped(spark):
-    text = "x" * 200 + "\n<&'\">Anna " + "y" * 10
-    s = rows(spark, [text]).select(T.snippet(F.col("text"), F.lit(206), F.lit(210), 8)).first()[0]
-    assert s == "..." + html.escape("x " + "<&'\">", quote=True).replace("x ", "xx ")[0:0] + html.escape(text[198:206].replace("\n", " ")) + "<b>Anna</b>" + text[210:218] + "..."
+def test_snippets_reach_sentence_ends(spark):
+    text = "x" * 90 + ". " + "y" * 200 + "\n<&'\">Anna " + "z" * 160 + "! Rest"
+    a = text.index("Anna")
+    s = rows(spark, [text]).select(T.snippet(F.col("text"), F.lit(a), F.lit(a + 4))).first()[0]
+    assert s == "…" + html.escape(("y" * 200 + " <&'\">")) + "<b>Anna</b> " + "z" * 160 + "!…"
 
 
 # review and configuration
@@ -256,7 +257,10 @@ def test_project_store(tmp_path):
         store.save(config.Project("äRZTE "))
     with pytest.raises(ValueError):
         store.delete(first.project_id)
-    assert set(store.apply_template(other, "terms").modes.values()) == {"explicit_only"}
+    modes = store.apply_template(other, "builtin-ch-standard").modes
+    assert modes["HEALTH_DATA"] == "explicit_eupii" and modes["IT_SYSTEM"] == "off" and len(modes) == 23
+    assert "IT_SYSTEM" not in config.engine_arguments(modes)["glossary_types"] and "ROLE" not in config.engine_arguments(modes)["entity_types"]
+    assert config.application_settings({"model": "x:Cloud", "modes": {"URL": "off", "Z": "off", "ROLE": "no"}}, "d") == {"model": "d", "modes": {"URL": "off"}}
     (tmp_path / f"{other.project_id}.json").write_text('{"name": "x", "extra": 1}')
     with pytest.raises(ValueError):
         store.load(other.project_id)
@@ -310,6 +314,13 @@ def test_csv():
     assert len(files.csv_markdown(b'a,b\n"x\ny",1\n"p|q",2').split("\n")) == 4 and files.csv_markdown(b" ") == ""
 
 
+def test_pdf_markdown():
+    text = "<u>Titel</u> GmbH<br>x\n<!-- Start of picture text -->WandhovenWolfgang<br>LinkedIn<!-- End of picture text -->\n| A | B |\n|---|---|\n| Doku-<br>scan | -<br>Punkt |\n| 1 | Inh | alt | 7 |\n\n\n\nEnde <!-- weg -->"
+    want = "Titel GmbH\nx\n\nWandhoven Wolfgang\nLinked In\n\n| A | B |\n| --- | --- |\n| Dokuscan | - Punkt |\n| 1 | | Inhalt | 7 |\n\nEnde"
+    assert files.pdf_markdown(text) == want
+    assert "Wandhoven" not in files.pdf_markdown(text, pictures=False) and files.pdf_markdown(None) == ""
+
+
 def test_docx_round_trip(spark, tmp_path):
     raw = files.markdown_docx("# Titel\nText & mehr")
     assert files.docx_markdown(raw) == "# Titel\nText & mehr" and zipfile.is_zipfile(io.BytesIO(raw))
