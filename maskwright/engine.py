@@ -68,9 +68,7 @@ class Engine:
 
     def restore(self, docs: DataFrame, text: str = "anonymized_text", mapping: str = "mapping") -> DataFrame:
         """docs with restored_text, from a mapping held in a column."""
-        key = r"\[[^\[\]]+\]"
-        swapped = F.zip_with(F.split(F.col(text), key, -1), F.regexp_extract_all(text, F.lit(key), F.lit(0)), lambda gap, k: F.concat(gap, F.coalesce(F.col(mapping)[k], k, F.lit(""))))
-        return docs.withColumn("restored_text", F.when(F.coalesce(F.size(mapping), F.lit(0)) < 1, F.col(text)).otherwise(F.array_join(swapped, "")))
+        return docs.withColumn("restored_text", label.swapped(F.col(text), F.col(mapping)))
 
 
 def numbered_in_row(spans: Column) -> Column:

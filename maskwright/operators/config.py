@@ -162,3 +162,69 @@ class ProjectStore:
         if set(raw) != {"name", "project_id", "revision", "modes", "glossary", "ignore"}:
             raise ValueError(f"unknown or missing fields in {path.name}")
         return Project(**{**raw, "ignore": tuple(raw["ignore"])})
+
+
+class UnsavedChanges(RuntimeError):
+    """A document's own terms would be lost."""
+
+
+class Session:
+    """A project in use with the terms of one document, which last as long as the document; system terms change on confirmation only."""
+
+    def __init__(self, store: ProjectStore, project_id: str):
+        self.store, self.project, self.overlay, self.system = store, store.load(project_id), {}, {}
+
+    def mark(self, term: str, entity_type: str) -> None:
+        self.overlay[term_key(term)] = entity_type
+
+    def mark_system(self, term: str, entity_type: str, confirmed: bool = False) -> None:
+        if not confirmed:
+            raise PermissionError("a system term needs a confirmation")
+        self.system[term_key(term)] = entity_type
+
+    def switch(self, project_id: str, discard: bool = False) -> Project:
+        if self.overlay and not discard:
+            raise UnsavedChanges(self.project.name)
+        self.project, self.overlay = self.store.load(project_id), {}
+        return self.project
+
+    def glossary(self) -> dict[str, str]:
+        """Effective terms: the document's over the project's over the system's."""
+        return {**self.system, **{term_key(t): e for t, e in self.project.glossary.items()}, **self.overlay}
+
+
+STEPS = ("backup", "project", "done")
+
+
+def migrate(old: Path, store: ProjectStore) -> Project:
+    """A flat configuration file becomes the project `default`, in steps kept in a journal so that it may be broken off anywhere.
+
+    The project's id is chosen once; a source that changes in between is refused; the source is renamed at the end.
+    """
+    journal_file, raw = store.folder / "migration.journal", None
+    journal = json.loads(journal_file.read_text()) if journal_file.exists() else {"project_id": str(uuid.uuid4()), "step": ""}
+    backup = store.folder / "migration.backup"
+    raw = old.read_bytes() if old.exists() else backup.read_bytes()
+    digest = hashlib.sha256(raw).hexdigest()
+    if journal.setdefault("source", digest) != digest:
+        raise ValueError("the configuration changed while it was being migrated")
+
+    def reached(step: str) -> None:
+        journal["step"] = step
+        journal_file.write_text(json.dumps(journal))
+
+    if journal["step"] not in STEPS:
+        backup.write_bytes(raw)
+        reached("backup")
+    if journal["step"] == "backup":
+        settings = json.loads(raw)
+        active = set(settings.get("entities", ENTITY_TYPES))
+        modes = {e: "off" if e not in active else "explicit_eupii" if e in FOUR_MODES else "all" for e in ENTITY_TYPES}
+        if not (store.folder / f"{journal['project_id']}.json").exists():
+            store.save(Project("default", journal["project_id"], 0, modes, dict(settings.get("glossary", {})), tuple(settings.get("ignore_terms", ()))))
+        reached("project")
+    if journal["step"] == "project":
+        if old.exists():
+            old.rename(old.with_suffix(".migrated.json"))
+        reached("done")
+    return store.load(journal["project_id"])

@@ -9,6 +9,7 @@ from ..functions.text import clean_tag, stripped
 from .resolve import REVIEW_BELOW
 
 MODES = ("numbered", "numbered_role", "role_only")
+#: fixed values: a placeholder right before a capitalised word
 RESIDUE = r"(\[[A-Z0-9_ÄÖÜ]+\])\s+([A-ZÄÖÜ][a-zäöüßA-ZÄÖÜ\-]{2,})"
 
 
@@ -105,13 +106,18 @@ def anonymize(docs: DataFrame, labelled: DataFrame, doc: str = "doc_id", text: s
     return joined.withColumn("anonymized_text", F.when(F.col("_spans").isNull(), F.col(text)).otherwise(render(F.col(text), F.col("_spans")))).drop("_spans")
 
 
+def swapped(text: Column, mapping: Column) -> Column:
+    """Text with every bracketed key that the mapping holds replaced, in one pass; without a mapping unchanged."""
+    key = r"\[[^\[\]]+\]"
+    pieces = F.zip_with(F.split(text, key, -1), F.regexp_extract_all(text, F.lit(key), F.lit(0)), lambda gap, k: F.concat(gap, F.coalesce(mapping[k], k, F.lit(""))))
+    return F.when(F.coalesce(F.size(mapping), F.lit(0)) < 1, text).otherwise(F.array_join(pieces, ""))
+
+
 def restore(docs: DataFrame, mapped: DataFrame, doc: str = "doc_id", text: str = "anonymized_text") -> DataFrame:
     """docs with restored_text: one pass over bracketed keys, so that an original that looks like a key is not replaced again."""
     per_doc = mapped.groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "original"))).alias("_map"))
-    key = r"\[[^\[\]]+\]"
-    swapped = F.zip_with(F.split(F.col(text), key, -1), F.regexp_extract_all(text, F.lit(key), F.lit(0)), lambda gap, k: F.concat(gap, F.coalesce(F.col("_map")[k], k, F.lit(""))))
     joined = docs.join(per_doc, doc, "left")
-    return joined.withColumn("restored_text", F.when(F.col("_map").isNull(), F.col(text)).otherwise(F.array_join(swapped, ""))).drop("_map")
+    return joined.withColumn("restored_text", swapped(F.col(text), F.col("_map"))).drop("_map")
 
 
 def residues(anonymized: DataFrame, doc: str = "doc_id", text: str = "anonymized_text") -> DataFrame:

@@ -108,41 +108,72 @@ def csv_markdown(raw: bytes) -> str:
     return "\n".join([line(full[0]), line([":---"] * width), *map(line, full[1:])])
 
 
-def docx_markdown(raw: bytes) -> str:
-    """Paragraphs of a DOCX file as Markdown: headings by outline level or style, list items, bold and italic; tables at the end."""
+def docx_markdown(raw: bytes, margins: bool = False) -> str:
+    """A DOCX file's paragraphs as Markdown blocks, then its tables; with `margins` its headers before and its footers after."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
-    inside = {p for t in body.iter(f"{_W}tbl") for p in t.iter(f"{_W}p")}
-    lines = [_paragraph(p) for p in body.iter(f"{_W}p") if p not in inside]
-    for t in body.iter(f"{_W}tbl"):
-        rows = [[" ".join(_text(p) for p in c.iter(f"{_W}p")).strip() for c in r.iter(f"{_W}tc")] for r in t.iter(f"{_W}tr")]
-        if rows:
-            lines += ["| " + " | ".join(r) + " |" for r in (rows[0], [":---"] * len(rows[0]), *rows[1:])]
-    return _MARKUP.sub("", "\n".join(x for x in lines if x)).strip()
+        part = lambda name: ElementTree.fromstring(z.read(name)) if name in z.namelist() else ElementTree.Element("none")
+        body, styles = part("word/document.xml"), {x.get(f"{_W}styleId"): x.find(f"{_W}name") for x in part("word/styles.xml").iter(f"{_W}style")}
+        formats = _list_formats(part("word/numbering.xml"))
+        beside = {k: [_text(p).strip() for n in sorted(z.namelist()) if re.fullmatch(rf"word/{k}\d*\.xml", n) for p in part(n).iter(f"{_W}p")] if margins else [] for k in ("header", "footer")}
+    names = {k: v.get(f"{_W}val", "").lower() for k, v in styles.items() if v is not None}
+    in_tables = {p for t in body.iter(f"{_W}tbl") for p in t.iter(f"{_W}p")}
+    blocks = [*beside["header"], *(_block(p, names, formats) for p in body.iter(f"{_W}p") if p not in in_tables), *map(_docx_table, body.iter(f"{_W}tbl")), *beside["footer"]]
+    return _MARKUP.sub("", "\n\n".join(x for x in blocks if x)).strip()
 
 
 def _text(p: ElementTree.Element) -> str:
     return "".join(t.text or "" for t in p.iter(f"{_W}t"))
 
 
-def _paragraph(p: ElementTree.Element) -> str:
-    style, level = p.find(f"{_W}pPr/{_W}pStyle"), p.find(f"{_W}pPr/{_W}outlineLvl")
-    name = style.get(f"{_W}val", "").lower() if style is not None else ""
-    parts = []
-    for r in p.iter(f"{_W}r"):
-        text, props = "".join(t.text or "" for t in r.iter(f"{_W}t")), r.find(f"{_W}rPr")
-        marks = "".join(m for tag, m in (("b", "**"), ("i", "*")) if props is not None and props.find(f"{_W}{tag}") is not None)
-        parts.append(f"{marks}{text}{marks[::-1]}" if text.strip() and marks else text)
-    line = "".join(parts).strip()
-    heading = re.search(r"(?:heading|berschrift)\s*(\d)", name)
-    depth = int(level.get(f"{_W}val", "9")) + 1 if level is not None else int(heading.group(1)) if heading else 1 if name in ("title", "titel") else 0
-    if not line:
+def _value(p: ElementTree.Element, path: str) -> str | None:
+    found = p.find("/".join(_W + x for x in path.split("/")))
+    return None if found is None else found.get(f"{_W}val", "")
+
+
+def _list_formats(numbering: ElementTree.Element) -> dict[tuple[str, str], str]:
+    """(list id, level) -> its number format."""
+    kinds = {(a.get(f"{_W}abstractNumId"), x.get(f"{_W}ilvl")): _value(x, "numFmt") or "" for a in numbering.iter(f"{_W}abstractNum") for x in a.iter(f"{_W}lvl")}
+    lists = {n.get(f"{_W}numId"): _value(n, "abstractNumId") for n in numbering.iter(f"{_W}num")}
+    return {(n, level): kind for n, of in lists.items() for (a, level), kind in kinds.items() if a == of}
+
+
+def _docx_table(t: ElementTree.Element) -> str:
+    rows = [[" ".join(_text(p) for p in c.iter(f"{_W}p")).strip() for c in r.iter(f"{_W}tc")] for r in t.iter(f"{_W}tr")]
+    rows = [r for r in rows if any(r)]
+    if not rows:
+        return ""
+    width = len(rows[0])
+    return "\n".join("| " + " | ".join(r) + " |" for r in (rows[0], [":---"] * width, *((r + [""] * width)[:width] for r in rows[1:])))
+
+
+#: fixed values: styles that make a heading, by level
+_HEADINGS = {1: ("heading 1", "überschrift 1"), 2: ("heading 2", "überschrift 2"), 3: ("heading 3", "überschrift 3"), 4: ("heading 4", "überschrift 4")}
+_TITLES = {"title": 1, "titel": 1, "subtitle": 2, "untertitel": 2}
+
+
+def _block(p: ElementTree.Element, names: dict[str, str], formats: dict[tuple[str, str], str]) -> str:
+    """One paragraph: outline level, style, list kind, large bold line, or text with its marks."""
+    text = _text(p).strip()
+    if not text:
         return ""
-    if 1 <= depth <= 6:
-        return "#" * depth + " " + _text(p).strip()
-    if p.find(f"{_W}pPr/{_W}numPr") is not None or "list" in name:
-        return "- " + line
-    return "> " + line if "quote" in name or "zitat" in name else line
+    style = _value(p, "pPr/pStyle") or ""
+    name, outline, list_id = names.get(style, style.lower()), _value(p, "pPr/outlineLvl"), _value(p, "pPr/numPr/numId")
+    if outline and outline.isdigit() and int(outline) <= 5:
+        return "#" * (int(outline) + 1) + " " + text
+    level = _TITLES.get(name) or next((n for n, styles in _HEADINGS.items() if any(x in name or x.replace(" ", "") in name for x in styles)), 0)
+    if level:
+        return "#" * level + " " + text
+    if list_id or "list" in name:
+        kind = formats.get((list_id, _value(p, "pPr/numPr/ilvl") or "0"), "decimal" if "number" in name or "nummer" in name else "bullet")
+        return ("- " if kind == "bullet" else "1. ") + text
+    if "quote" in name or "zitat" in name:
+        return "> " + text
+    runs = [(_text(r), r.find(f"{_W}rPr/{_W}b") is not None, r.find(f"{_W}rPr/{_W}i") is not None, _value(r, "rPr/sz") or "0") for r in p.iter(f"{_W}r")]
+    large = any(size.isdigit() and int(size) >= 32 for *_, size in runs)
+    if large and len(text) < 60 and text[-1] not in ".!?" and all(bold for t, bold, *_ in runs if t.strip()):
+        return "## " + text
+    marked = lambda t, marks: f"{marks}{t.strip()}{marks}" if marks and t.strip() else t
+    return "".join(marked(t, "**" * bold + "*" * italic) for t, bold, italic, _ in runs).strip()
 
 
 def markdown_docx(text: str) -> bytes:

@@ -14,7 +14,7 @@ from maskwright.engine import Config, Engine, report
 from maskwright.functions import checks, sentences
 from maskwright.functions import text as T
 from maskwright.functions.spans import match_spans
-from maskwright.operators import assist, config, detect, glossary, label, resolve, review, tokens
+from maskwright.operators import assist, config, detect, glossary, label, provider, resolve, review, tokens
 from maskwright.sources import files
 from maskwright.streaming import anonymize_stream, drop_stale, write_stream
 
@@ -323,16 +323,72 @@ def test_pdf_markdown():
 
 def test_docx_round_trip(spark, tmp_path):
     raw = files.markdown_docx("# Titel\nText & mehr")
-    assert files.docx_markdown(raw) == "# Titel\nText & mehr" and zipfile.is_zipfile(io.BytesIO(raw))
+    assert files.docx_markdown(raw) == "# Titel\n\nText & mehr" and zipfile.is_zipfile(io.BytesIO(raw))
     (tmp_path / "a.docx").write_bytes(raw)
     (tmp_path / "b.TXT").write_text("<u>x</u> a@b.ch")
     (tmp_path / "c.exe").write_text("x")
     got = {r.path.rsplit("/", 1)[1]: (r.text, r.error) for r in files.read_documents(spark, str(tmp_path)).collect()}
-    assert got == {"a.docx": ("# Titel\nText & mehr", None), "b.TXT": ("x a@b.ch", None), "c.exe": (None, "unsupported")}
+    assert got == {"a.docx": ("# Titel\n\nText & mehr", None), "b.TXT": ("x a@b.ch", None), "c.exe": (None, "unsupported")}
     with pytest.raises(files.UnsupportedFormat):
         files.extract("exe", b"")
 
 
+def test_docx_rules():
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    p = lambda text, props="", run="": f"<w:p><w:pPr>{props}</w:pPr><w:r><w:rPr>{run}</w:rPr><w:t>{text}</w:t></w:r></w:p>"
+    body = p("Kopf", '<w:outlineLvl w:val="2"/>') + p("Punkt", '<w:numPr><w:ilvl w:val="0"/><w:numId w:val="1"/></w:numPr>') + p("Eins", '<w:numPr><w:ilvl w:val="0"/><w:numId w:val="2"/></w:numPr>') + p("Zitiert", '<w:pStyle w:val="Q"/>') + p("Gross", run='<w:b/><w:sz w:val="32"/>') + p("fett", run="<w:b/><w:i/>") + "<w:tbl><w:tr><w:tc>" + p("a") + "</w:tc><w:tc>" + p("b") + "</w:tc></w:tr><w:tr><w:tc>" + p("1") + "</w:tc></w:tr></w:tbl>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/styles.xml", f'<w:styles {w}><w:style w:styleId="Q"><w:name w:val="Intense Quote"/></w:style></w:styles>')
+        z.writestr("word/numbering.xml", f'<w:numbering {w}><w:abstractNum w:abstractNumId="0"><w:lvl w:ilvl="0"><w:numFmt w:val="bullet"/></w:lvl></w:abstractNum><w:abstractNum w:abstractNumId="5"><w:lvl w:ilvl="0"><w:numFmt w:val="decimal"/></w:lvl></w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="0"/></w:num><w:num w:numId="2"><w:abstractNumId w:val="5"/></w:num></w:numbering>')
+        z.writestr("word/header1.xml", f"<w:hdr {w}>{p('Kopfzeile')}</w:hdr>")
+    want = "### Kopf\n\n- Punkt\n\n1. Eins\n\n> Zitiert\n\n## Gross\n\n***fett***\n\n| a | b |\n| :--- | :--- |\n| 1 |  |"
+    assert files.docx_markdown(out.getvalue()) == want and files.docx_markdown(out.getvalue(), margins=True) == "Kopfzeile\n\n" + want
+
+
+def test_sessions_and_migration(tmp_path):
+    store = config.ProjectStore(tmp_path / "s")
+    a, b = store.save(config.Project("default", glossary={"SAP": "IT_SYSTEM"})), store.save(config.Project("b"))
+    session = config.Session(store, a.project_id)
+    session.mark("Sap", "ORGANIZATION")
+    assert session.glossary() == {"sap": "ORGANIZATION"}
+    with pytest.raises(config.UnsavedChanges):
+        session.switch(b.project_id)
+    with pytest.raises(PermissionError):
+        session.mark_system("x", "ROLE")
+    assert session.switch(b.project_id, discard=True) == b and session.glossary() == {}
+    old, new = tmp_path / "old.json", config.ProjectStore(tmp_path / "n")
+    old.write_text('{"entities": ["PERSON", "URL"], "glossary": {"A": "ROLE"}}')
+    done = config.migrate(old, new)
+    assert (done.modes["PERSON"], done.modes["URL"], done.modes["ROLE"]) == ("explicit_eupii", "all", "off") and not old.exists()
+    assert config.migrate(old, new) == done
+    old.write_text("{}")
+    with pytest.raises(ValueError):
+        config.migrate(old, new)
+
+
+def test_model_server_rules():
+    class Fake:
+        def __init__(self):
+            self.bodies = []
+
+        def post(self, url, body):
+            self.bodies.append(body)
+            return (422, []) if "reasoning_effort" in body else (200, [b'{"choices": [{"finish_reason": "length", ', b'"message": {"content": "x"}}]}'])
+
+    fake = Fake()
+    assert provider.complete(fake, "u", {"reasoning_effort": "low", "m": 1}) == "x" and fake.bodies[1] == {"m": 1}
+    with pytest.raises(ValueError):
+        provider.complete(fake, "u", {}, must_stop=True)
+    with pytest.raises(ValueError):
+        provider.limited_json([b"x" * 10], 5)
+    assert provider.root_url("http://localhost:1/v1/") == "http://localhost:1"
+    valid = lambda n: ":cloud" not in n
+    assert provider.model_status(lambda: (200, [b'{"models": [{"name": "a"}, {"name": "b:cloud"}]}']), valid) == ("success", ["a"])
+    assert [provider.model_status(f, valid)[0] for f in (lambda: (404, []), lambda: (200, [b"x"]), lambda: (200, [b'{"models": []}']), lambda: (_ for _ in ()).throw(TimeoutError()), lambda: (_ for _ in ()).throw(OSError()))] == ["unsupported", "invalid_response", "empty", "timeout", "unreachable"]
+
+
 def test_command_line(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.txt").write_text("Mail a@b.ch")
