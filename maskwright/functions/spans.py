@@ -18,11 +18,14 @@ def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def match_spans(text: str, pattern: str) -> Column:
-    """array<struct<start, end, value>> of the leftmost non-overlapping matches of pattern in column text."""
-    p = quoted(pattern)
+def match_spans(text: str, pattern: str, hint: str = "") -> Column:
+    """array<struct<start, end, value>> of the leftmost non-overlapping matches of pattern in column text.
+
+    hint: a string that every match holds; texts without it are not matched at all.
+    """
+    p, may = quoted(pattern), f"contains({text}, {quoted(hint)}) and " if hint else ""
     return F.expr(f"""
-        if({text} rlike {p}, aggregate(
+        if({may}{text} rlike {p}, aggregate(
             zip_with(regexp_extract_all({text}, {p}, 0), split({text}, {p}, -1), (m, gap) -> struct(m, gap)),
             named_struct('at', 0, 'out', cast(array() as array<{SPAN}>)),
             (a, x) -> if(x.m is null, a, named_struct('at', a.at + length(x.gap) + length(x.m), 'out',

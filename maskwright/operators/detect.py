@@ -39,9 +39,10 @@ class Detector:
     method: str = "regex"
     valid: Callable[[Column], Column] | None = None
     rescored: Callable[[Column], Column] | None = None
+    hint: str = ""  #: what every match holds
 
     def spans(self, text: str, seq: int) -> Column:
-        found = match_spans(text, self.pattern)
+        found = match_spans(text, self.pattern, self.hint)
         if self.valid:
             found = F.filter(found, lambda s: self.valid(s["value"]))
         score = self.rescored or (lambda _: F.lit(self.score))
@@ -65,16 +66,16 @@ def phone_score(value: Column) -> Column:
 DETECTORS: dict[str, Detector] = {
     d.name: d
     for d in (
-        Detector("email", "EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 1.0),
-        Detector("url", "URL", r"https?://[^\s<>\"]+", 0.6),
+        Detector("email", "EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 1.0, hint="@"),
+        Detector("url", "URL", r"https?://[^\s<>\"]+", 0.6, hint="://"),
         Detector("ip", "IP_ADDRESS", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", 0.95, valid=checks.ip_valid),
-        Detector("mac", "MAC_ADDRESS", r"\b[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}\b", 0.95),
+        Detector("mac", "MAC_ADDRESS", r"\b[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}\b", 0.95, hint=":"),
         Detector("card", "CREDIT_CARD", r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b", 1.0, valid=checks.luhn_valid),
         Detector("iban", "IBAN_CODE", r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b", 1.0, valid=checks.iban_valid),
         Detector("date", "DATE_TIME", r"\b(?:\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})\b", 0.6),
         Detector("phone", "PHONE_NUMBER", r"(?:\+\d{1,2}|\b0)[ ]?(?:\(\d{2,4}\)|\d{2,3})(?:[ -]\d{2,4}){2,4}\b", 1.0, method="library", rescored=phone_score),
-        Detector("ahv", "AHV_NUMBER", r"\b756\.\d{4}\.\d{4}\.\d{2}\b", 1.0, valid=checks.ahv_valid),
-        Detector("uid", "UID_NUMBER", r"\bCHE-\d{3}\.\d{3}\.\d{3}\b", 1.0, valid=checks.uid_valid),
+        Detector("ahv", "AHV_NUMBER", r"\b756\.\d{4}\.\d{4}\.\d{2}\b", 1.0, valid=checks.ahv_valid, hint="756."),
+        Detector("uid", "UID_NUMBER", r"\bCHE-\d{3}\.\d{3}\.\d{3}\b", 1.0, valid=checks.uid_valid, hint="CHE-"),
         Detector("address_full", "ADDRESS", rf"(?iU){_STREET}(?:\s*,\s*|\s+)(?:{_TOWN_CH}|{_TOWN_DE})", 1.0),
         Detector("address_street", "ADDRESS", rf"(?iU){_STREET}", 1.0),
         Detector("address_town", "ADDRESS", rf"(?iU)\b(?:{_TOWN_CH}|{_TOWN_DE})", 1.0, valid=lambda v: ~checks.bare_year_town(v)),

@@ -63,6 +63,8 @@ def placeholder(entity_type: Column, number: Column, role_tag: Column, surface:
 
 def label(spans: DataFrame, mode: str = "numbered", roles: DataFrame | None = None, links: DataFrame | None = None, doc: str = "doc_id") -> DataFrame:
     """spans with entity_id, role, surface_tag, placeholder and needs_review. One shuffle by document serves all of it."""
+    if roles is None and links is None:
+        return _labelled_in_place(spans, mode, doc)
     found = numbered(terms(spans, doc), links, doc)
     if roles is not None:
         own = roles.select(doc, F.col("norm_term").alias("rt"), "role")
@@ -77,6 +79,17 @@ def label(spans: DataFrame, mode: str = "numbered", roles: DataFrame | None = No
     return keyed.join(named.select(doc, "entity_type", "norm_term", "entity_id", "role", "surface_tag", "placeholder"), [doc, "entity_type", "norm_term"]).withColumn("needs_review", F.col("score") < REVIEW_BELOW)
 
 
+def _labelled_in_place(spans: DataFrame, mode: str, doc: str) -> DataFrame:
+    """Without roles and links: numbers by two windows over one partitioning by document, no join, spans read once."""
+    keyed = spans.withColumn("norm_term", F.lower(stripped(F.col("value"))))
+    first = F.min("start").over(Window.partitionBy(doc, "entity_type", "norm_term"))
+    number = F.dense_rank().over(Window.partitionBy(doc, "entity_type").orderBy("_first", "norm_term"))
+    named = keyed.repartition(doc).withColumn("_first", first).withColumn("entity_id", number).drop("_first")
+    none = F.lit(None).cast("string")
+    named = named.withColumn("role", none).withColumn("surface_tag", none)
+    return named.withColumn("placeholder", placeholder(F.col("entity_type"), F.col("entity_id"), F.lit(""), F.lit(""), mode)).withColumn("needs_review", F.col("score") < REVIEW_BELOW)
+
+
 def _with_collisions(found: DataFrame, doc: str) -> DataFrame:
     shared = collisions(found, doc).withColumn("shared", F.lit(True))
     return found.withColumn("role_tag", clean_tag(F.col("role"))).join(shared, [doc, "entity_type", "role_tag"], "left").withColumn("shared", F.coalesce("shared", F.lit(False))).drop("role_tag")

@@ -12,7 +12,7 @@ from ..operators.detect import ENTITY_TYPES
 from ..sources import files
 from .detection import EVENT_SPANS, event_spans
 from .labelling import TEXTS, labelled
-from .registry import inline, inline_sql, query, table
+from .registry import documents, inline, inline_sql, query, table
 
 SCOPED = """('app', 'ignore', 'Software', 'software', NULL, NULL), ('system', 'glossary', 'Kappa', 'kappa', 'IT_SYSTEM', NULL), ('system', 'ignore', 'Mail', 'mail', NULL, NULL), ('system', 'glossary', 'Gone', 'gone', 'ROLE', NULL),
     ('project', 'glossary', 'CAS', 'cas', 'ORGANIZATION', 'school'), ('project', 'ignore', 'CAS', 'cas', NULL, NULL), ('project', 'glossary', 'kappa', 'kappa', 'ORGANIZATION', NULL), ('project', 'ignore', 'Tel', 'tel', NULL, NULL),
@@ -109,7 +109,7 @@ def triage_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM w JOIN c ON c.doc_id = w.doc_id AND c.r = w.r + 1)
     SELECT doc_id, occ_id, tokens, batch FROM w""")
 def triage_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("doc_id"), F.col("doc_id").alias("occ_id"), F.col("doc_id").alias("position"), F.col("text").alias("context"), F.col("source").alias("role"), F.col("lang").alias("text"))
+    rows = documents(spark, sf_dir).select((F.col("doc_id") % 50).alias("doc_id"), F.col("doc_id").alias("occ_id"), F.col("doc_id").alias("position"), F.col("text").alias("context"), F.col("source").alias("role"), F.col("lang").alias("text"))
     return assist.triage_batches(rows, most_tokens=300, overhead=100).select("doc_id", "occ_id", "tokens", "batch")
 
 
@@ -127,7 +127,7 @@ FINDING_SQL = f"""{TEXTS}, f AS (SELECT doc_id, doc_id * 10 + k AS finding_id, (
 
 @query(f"WITH RECURSIVE {FINDING_SQL}")
 def postcheck_back_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     named = labelled(spark, sf_dir)
     done = label.anonymize(docs, named)
     k = F.col("k")
@@ -160,13 +160,13 @@ def catalog_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, ceil(length(text) / 3.5)::INT AS tokens, ceil(length(text) / 3.5)::INT + 100 <= 27904 AS fits FROM documents")
 def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"), assist.fits_budget(F.col("text")).alias("fits"))
+    return documents(spark, sf_dir).select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"), assist.fits_budget(F.col("text")).alias("fits"))
 
 
 @query("""WITH n AS (SELECT doc_id, len(regexp_extract_all(text, '[^ \\n]+')) AS n FROM documents)
     SELECT doc_id, w::INT AS "window", (w * 320)::INT AS first, least(w * 320 + 384, n)::INT AS last FROM (SELECT doc_id, n, unnest(range(0, greatest(1, ceil((n - 384) / 320.0)::INT + 1))) AS w FROM n WHERE n > 0)""")
 def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"[^ \n]+"), F.lit(0))).alias("n"))
+    n = documents(spark, sf_dir).select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"[^ \n]+"), F.lit(0))).alias("n"))
     return tokens.windows(n)
 
 
@@ -201,7 +201,7 @@ def clean_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, trim(regexp_replace(upper(trim(lang || ' / ' || source)), '[^A-Za-z0-9_ÄÖÜäöüß]+', '_', 'g'), '_') AS tag, replace(lower(source), 'ß', 'ss') AS key FROM documents")
 def tags_and_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.clean_tag(F.concat("lang", F.lit(" / "), "source")).alias("tag"), T.term_key(F.col("source")).alias("key"))
+    return documents(spark, sf_dir).select("doc_id", T.clean_tag(F.concat("lang", F.lit(" / "), "source")).alias("tag"), T.term_key(F.col("source")).alias("key"))
 
 
 @query("""SELECT * FROM (VALUES (1, true, true), (2, false, true), (3, true, false), (4, false, false), (5, false, false)) AS t(id, url_ok, name_ok)""")
@@ -224,12 +224,12 @@ def ignore_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows only; rules need both sides of a stop and are tested in tests/."""
-    return sentences.spans_of(table(spark, sf_dir, "documents"), "sentences")
+    return sentences.spans_of(documents(spark, sf_dir), "sentences")
 
 
 @query()
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.spans_of(table(spark, sf_dir, "documents"), "chunks")
+    return sentences.spans_of(documents(spark, sf_dir), "chunks")
 
 
 @query("""SELECT * FROM (VALUES ('csv', '| a | b |' || chr(10) || '| :--- | :--- |' || chr(10) || '| 1<br>2 | x\\|y |'), ('json', '{' || chr(10) || '  "ä": 1' || chr(10) || '}'), ('txt', 'Müller €')) AS t(suffix, text)""")
@@ -275,7 +275,7 @@ def run_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH a AS (SELECT DISTINCT lang AS t FROM documents UNION ALL SELECT 'xx'), b AS (SELECT 'en' AS t UNION ALL SELECT 'zz')
     SELECT 'union' AS op, t FROM (SELECT t FROM a UNION SELECT t FROM b) UNION ALL SELECT 'intersect', t FROM (SELECT t FROM a INTERSECT SELECT t FROM b) UNION ALL SELECT 'except', t FROM (SELECT t FROM a EXCEPT SELECT t FROM b)""")
 def term_set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "documents").select(F.col("lang").alias("t")).distinct().unionByName(inline(spark, "t", "('xx')"))
+    a = documents(spark, sf_dir).select(F.col("lang").alias("t")).distinct().unionByName(inline(spark, "t", "('xx')"))
     b = inline(spark, "t", "('en'), ('zz')")
     tag = lambda name, df: df.select(F.lit(name).alias("op"), "t")
     return tag("union", a.unionByName(b).distinct()).unionByName(tag("intersect", a.intersect(b))).unionByName(tag("except", a.subtract(b)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks
 from ..operators import detect, glossary, resolve
-from .registry import ORACLES, QUERIES, inline, inline_sql, query, table
+from .registry import ORACLES, QUERIES, documents, inline, inline_sql, query, table
 
 #: detector -> the same pattern for the oracle's expression engine, and a predicate on a match
 SCANNED = {
@@ -34,7 +34,7 @@ def _scan(kind: str) -> None:
 
     @query(f"WITH RECURSIVE {scan_sql(pattern, valid)} SELECT * FROM found", name=f"scan_{kind}_spans")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return detect.detect(table(spark, sf_dir, "documents"), [kind]).select("doc_id", "start", "end", "value")
+        return detect.detect(documents(spark, sf_dir), [kind]).select("doc_id", "start", "end", "value")
 
 
 for _kind in SCANNED:
@@ -46,7 +46,7 @@ for _kind in SCANNED:
         SELECT value, {LUHN.replace("len(d)", "16").replace("(d,", "(value,")} = 0 AS valid FROM c"""
 )
 def card_luhn_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"\b\d{16}\b"), F.lit(0))).alias("value")).distinct()
+    values = documents(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit(r"\b\d{16}\b"), F.lit(0))).alias("value")).distinct()
     return values.select("value", checks.luhn_valid(F.col("value")).alias("valid"))
 
 
@@ -107,7 +107,7 @@ EXACT_SQL = f"""WITH {inline_sql("terms", "term", _TERM_VALUES)},
 @query(EXACT_SQL.replace(" AND doc_id < 1000000000", ""))
 def glossary_exact_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect.term_spans("text", TERMS)
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("s"))
+    rows = documents(spark, sf_dir).select("doc_id", F.explode(found).alias("s"))
     return rows.select("doc_id", F.element_at(F.array(*map(F.lit, TERMS)), F.col("s.seq") + 1).alias("term"), "s.start", "s.end")
 
 
@@ -116,7 +116,7 @@ IGNORED = ("that", "with", "les")
 
 @query(EXACT_SQL.replace(_TERM_VALUES, ", ".join(f"('{t}')" for t in IGNORED)).replace(" AND doc_id < 1000000000", "").replace("SELECT doc_id, term, (p", "SELECT doc_id, (p"))
 def ignore_term_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(detect.term_spans("text", IGNORED)).alias("s")).select("doc_id", "s.start", "s.end")
+    return documents(spark, sf_dir).select("doc_id", F.explode(detect.term_spans("text", IGNORED)).alias("s")).select("doc_id", "s.start", "s.end")
 
 
 FUZZY = "('Zentralbank', 'ORGANIZATION'), ('eClaims', 'IT_SYSTEM'), ('ZHAW', 'ORGANIZATION'), ('thereon', 'ROLE')"
@@ -125,7 +125,7 @@ FUZZY = "('Zentralbank', 'ORGANIZATION'), ('eClaims', 'IT_SYSTEM'), ('ZHAW', 'OR
 @query()
 def glossary_fuzzy_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tested in tests/ against a dynamic-programming similarity; the longest common subsequence isn't expressible in plain SQL."""
-    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"(?U)\b[\w.-]+\b"), F.lit(0))).alias("token")).distinct()
+    words = documents(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit(r"(?U)\b[\w.-]+\b"), F.lit(0))).alias("token")).distinct()
     return glossary.fuzzy_matches(words, inline(spark, "term, entity_type", FUZZY))
 
 
@@ -225,7 +225,7 @@ def mode_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT entity_type, count(*) AS n_spans, count(DISTINCT doc_id) AS n_docs FROM (SELECT 'EMAIL_ADDRESS' AS entity_type, doc_id FROM email UNION ALL SELECT 'IP_ADDRESS', doc_id FROM ip
         UNION ALL SELECT 'CREDIT_CARD', doc_id FROM card UNION ALL SELECT 'PHONE_NUMBER', doc_id FROM phone) GROUP BY entity_type""")
 def detector_union_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detect.detect(table(spark, sf_dir, "documents"), list(SCANNED))
+    found = detect.detect(documents(spark, sf_dir), list(SCANNED))
     return found.groupBy("entity_type").agg(F.count(F.lit(1)).alias("n_spans"), F.countDistinct("doc_id").alias("n_docs"))
 
 

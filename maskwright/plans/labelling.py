@@ -9,7 +9,7 @@ from .. import engine
 from ..functions import text as T
 from ..operators import detect, label, resolve, review
 from .detection import EVENT_SPANS, SCANNED, event_spans, scan_sql
-from .registry import inline, inline_sql, query, table
+from .registry import documents, inline, inline_sql, query, table
 
 KINDS = ("email", "ip", "card", "phone")
 TYPES = {"email": "EMAIL_ADDRESS", "ip": "IP_ADDRESS", "card": "CREDIT_CARD", "phone": "PHONE_NUMBER"}
@@ -30,7 +30,7 @@ CONFIG = engine.Config(detectors=KINDS)
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine.Engine(spark, CONFIG).entities(table(spark, sf_dir, "documents"))
+    return engine.Engine(spark, CONFIG).entities(documents(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {CHAIN} SELECT doc_id, entity_type, "start", "end", value, placeholder FROM named""")
@@ -40,14 +40,14 @@ def anonymize_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {TEXTS} SELECT doc_id, anonymized_text, length(anonymized_text) AS n_chars FROM result""")
 def anonymize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = engine.Engine(spark, CONFIG).anonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = engine.Engine(spark, CONFIG).anonymize(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "anonymized_text", F.length("anonymized_text").cast("long").alias("n_chars"))
 
 
 @query("SELECT doc_id, text AS restored_text FROM documents")
 def restore_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = engine.Engine(spark, CONFIG)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     return e.restore(e.anonymize(docs).select("doc_id", "anonymized_text", "mapping")).select("doc_id", "restored_text")
 
 
@@ -65,7 +65,7 @@ def report_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     s AS (SELECT doc_id, coalesce(lag("end") OVER w, 0) AS raw_start, "start" AS raw_end, coalesce(sum(p - ("end" - "start")) OVER (PARTITION BY doc_id ORDER BY "start", last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY "start", last))
     SELECT doc_id, raw_start::INT AS raw_start, raw_end::INT AS raw_end, (raw_start + shift)::INT AS anon_start, (raw_end + shift)::INT AS anon_end FROM s WHERE raw_end > raw_start""")
 def unchanged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return label.segments(labelled(spark, sf_dir), table(spark, sf_dir, "documents"))
+    return label.segments(labelled(spark, sf_dir), documents(spark, sf_dir))
 
 
 @query(f"""WITH s AS ({EVENT_SPANS}) SELECT doc_id, entity_type, event_id % 7 AS grp, count(*) AS n, min(score) AS min_score, max(score) AS max_score, bool_or(score < 0.85) AS needs_review, min("start") AS first_start FROM s GROUP BY ALL""")
@@ -209,7 +209,7 @@ def link_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, md5(concat_ws('|', substr(text, greatest(s - 50, 0) + 1, s - greatest(s - 50, 0)), substr(text, s + 1, e - s), substr(text, e + 1, 50))) AS fingerprint FROM e""")
 def context_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = (F.col("doc_id") % 40).cast("int")
-    return table(spark, sf_dir, "documents").select("doc_id", T.fingerprint(F.col("text"), at, at + 6).alias("fingerprint"))
+    return documents(spark, sf_dir).select("doc_id", T.fingerprint(F.col("text"), at, at + 6).alias("fingerprint"))
 
 
 OVERRIDES = "('f1', 'g1', 'Weber', 'PERSON', 'chef'), ('f2', 'g2', 'Weber', 'PERSON', NULL), ('f2', 'g3', 'Weber', 'PERSON', NULL), ('f3', 'g4', 'Huber', 'PERSON', NULL), ('f4', 'b2', 'Moser', 'PERSON', NULL), ('f5', 'g5', 'Roth', 'PERSON', 'x'), ('f6', 'g5', 'Roth', 'PERSON', 'y'), ('f7', 'g7', 'Frei', 'ORGANIZATION', NULL)"
@@ -248,7 +248,7 @@ _ESCAPED = "replace(replace(replace(replace(replace(translate({c}, chr(13) || ch
     a3 AS (SELECT *, CASE WHEN a > 0 AND substr(text, a + 1, 1) IN (' ', chr(10)) THEN a + 1 ELSE a END AS x, CASE WHEN b < l AND substr(text, b + 1, 1) IN ('.', '!', '?') THEN b + 1 ELSE b END AS y FROM a2)
     SELECT doc_id, s AS "start", CASE WHEN x > 0 THEN '…' ELSE '' END || {_ESCAPED.format(c="substr(text, x + 1, s - x)")} || '<b>' || {_ESCAPED.format(c="substr(text, s + 1, e - s)")} || '</b>' || {_ESCAPED.format(c="substr(text, e + 1, y - e)")} || CASE WHEN y < l THEN '…' ELSE '' END AS snippet FROM a3""")
 def context_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labelled(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", "start", T.snippet(F.col("text"), F.col("start"), F.col("end")).alias("snippet"))
+    return labelled(spark, sf_dir).join(documents(spark, sf_dir).select("doc_id", "text"), "doc_id").select("doc_id", "start", T.snippet(F.col("text"), F.col("start"), F.col("end")).alias("snippet"))
 
 
 PEOPLE = "Anna Thin, Ernst Ber und Julia Onre: Annas Hund, Bers Haus, Julia's Ring; nicht Thinsel."
@@ -257,7 +257,7 @@ PEOPLE = "Anna Thin, Ernst Ber und Julia Onre: Annas Hund, Bers Haus, Julia's Ri
 @query(f"""WITH d AS (SELECT doc_id, length(substr(text, 1, 60)) + 1 AS shift FROM documents)
     SELECT doc_id, (shift + k)::INT AS "start", value FROM d, (VALUES ({PEOPLE.index("Annas")}, 'Annas'), ({PEOPLE.index("Bers")}, 'Bers'), ({PEOPLE.index("Julia's")}, 'Julia''s')) AS t(k, value)""")
 def genitive_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring("text", 1, 60), F.lit(" "), F.lit(PEOPLE)).alias("text"))
+    docs = documents(spark, sf_dir).select("doc_id", F.concat(F.substring("text", 1, 60), F.lit(" "), F.lit(PEOPLE)).alias("text"))
     docs = docs.withColumn("spans", detect.term_spans("text", ["Anna Thin", "Ernst Ber", "Julia Onre"], "PERSON"))
     return resolve.genitives(docs).select("doc_id", "start", "value")
 
@@ -276,5 +276,5 @@ def person_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, (p - 1)::INT AS "start" FROM t WHERE NOT regexp_matches(substr(text, p - 1, CASE WHEN p > 1 THEN 1 ELSE 0 END), '[\\p{{L}}\\p{{N}}_]') AND NOT regexp_matches(substr(text, p + 4, 1), '[\\p{{L}}\\p{{N}}_]')
         AND NOT EXISTS (SELECT 1 FROM named n WHERE n.doc_id = t.doc_id AND n."start" < p + 3 AND n."end" > p - 1)""")
 def manual_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("spans", engine.Engine(spark, CONFIG).spans())
+    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("spans", engine.Engine(spark, CONFIG).spans())
     return docs.select("doc_id", F.explode(detect.mark_term("from", "text", "spans", "ROLE")).alias("s")).select("doc_id", "s.start")

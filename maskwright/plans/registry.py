@@ -26,6 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table documents; where it comes in fewer splits than there are cores, dealt by id, as patterns are costly to match."""
+    docs = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores, "doc_id")
+
+
 def inline(spark: SparkSession, columns: str, values: str) -> DataFrame:
     """Rows given as SQL values; the text is also valid for the oracle."""
     return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
