@@ -12,7 +12,8 @@ compared by equality, as of two windows of that length that differ in an inner w
 
 Within a bucket a search compares paragraphs with those not reached yet, so a bucket of near copies costs little more than
 its size, and only a spanning forest is emitted. Buckets of more than `large` paragraphs are dealt again by a second family
-of bands. Nothing is capped or sampled. Rows of one doc id count as one document; null texts have no paragraphs.
+of bands; those that stay as large, as of near copies of one text, are compared with some of their paragraphs at a time in
+chunks of `large`, so no task grows with a bucket. Nothing is capped or sampled. Rows of one doc id count as one document; null texts have no paragraphs.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,6 +52,7 @@ class Settings:
     threshold: float = 0.8
     recall: float = 0.995
     large: int = 4096
+    pivots: int = 256
 
     @property
     def bands(self) -> tuple[int, int]:
@@ -247,9 +249,66 @@ def paragraph_links(docs: DataFrame, distinct: DataFrame, s: Settings) -> DataFr
     shared = materialize(keys.join(sizes, "k"))
     sketches = materialize(_sketches(docs, shared.select("h").distinct(), s))
     full = shared.join(sketches, "h")
-    small = full.where(F.col("n") <= s.large).select("k", "h", "shingles")
-    hot = full.where(F.col("n") > s.large).select("k", F.explode("again").alias("k2"), "h", "shingles")
-    return _links(small, ["k"], s.threshold).unionByName(_links(hot, ["k", "k2"], s.threshold))
+    links = _links(full.where(F.col("n") <= s.large).select("k", "h", "shingles"), ["k"], s.threshold)
+    if shared.where(F.col("n") > s.large).isEmpty():
+        return links
+    hot = materialize(full.where(F.col("n") > s.large).select("k", F.explode("again").alias("k2"), "h", "shingles").withColumn("k", F.xxhash64("k", "k2")).drop("k2"))
+    dealt = hot.join(hot.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "k")
+    links = links.unionByName(_links(dealt.where((F.col("n") > 1) & (F.col("n") <= s.large)).select("k", "h", "shingles"), ["k"], s.threshold))
+    return _pivoted(materialize(dealt.where(F.col("n") > s.large)), links, s)
+
+
+def _pivoted(rows: DataFrame, links: DataFrame, s: Settings) -> DataFrame:
+    """links with those within the buckets of rows(k, h, shingles, n), of any size, in tasks of `large` + `pivots` paragraphs.
+
+    Each round some paragraphs of a bucket, its pivots, are compared with all others of it, dealt into chunks. Two unlinked
+    components of a bucket can't both be its largest, so it is enough that every paragraph outside the largest component
+    has been a pivot once. Near copies of one text are one component after the first round.
+    """
+    links, done = materialize(links), None
+    while True:
+        known = components(links)
+        state = rows.select("k", "h").join(known, rows["h"] == known["node"], "left").select("k", "h", F.coalesce("component", "h").alias("root"))
+        weight = state.groupBy("k", "root").agg(F.count(F.lit(1)).alias("m"))
+        top = weight.groupBy("k").agg(F.max(F.struct("m", "root")).alias("top"))
+        rest = state.join(top, "k").where(F.col("root") != F.col("top.root")).select("k", "h")
+        rest = rest if done is None else rest.join(done, ["k", "h"], "left_anti")
+        turn = F.row_number().over(Window.partitionBy("k").orderBy("h"))
+        pivots = materialize(rest.withColumn("turn", turn).where(F.col("turn") <= s.pivots).select("k", "h"))
+        if pivots.isEmpty():
+            return links
+        chunks = F.ceil(F.col("n") / s.large).cast("int")
+        every = rows.join(state, ["k", "h"])
+        asking = every.join(pivots, ["k", "h"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).withColumn("pivot", F.lit(True))
+        asked = every.withColumn("chunk", F.pmod(F.xxhash64("h"), chunks).cast("int")).withColumn("pivot", F.lit(False))
+        columns = ["k", "chunk", "h", "root", "shingles", "pivot"]
+        found = asking.select(columns).unionByName(asked.select(columns)).groupBy("k", "chunk").applyInArrow(_compared(s.threshold), "a long, b long")
+        links = materialize(links.unionByName(found).distinct())
+        done = pivots if done is None else materialize(done.unionByName(pivots))
+
+
+def _compared(threshold: float):
+    """Links from a chunk's pivots to its other paragraphs, one to each component of theirs."""
+
+    def run(table: pa.Table) -> pa.Table:
+        h, root, pivot = (table.column(c).to_numpy() for c in ("h", "root", "pivot"))
+        sets = [np.frombuffer(x.as_py(), "<u8") for x in table.column("shingles")]
+        sizes = np.array([len(x) for x in sets])
+        _, local = np.unique(np.concatenate(sets), return_inverse=True)
+        owner, offsets = np.repeat(np.arange(len(sets)), sizes), np.concatenate(([0], np.cumsum(sizes)))
+        mark, a, b = np.zeros(local.max() + 1, bool), [], []
+        for x in np.flatnonzero(pivot).tolist():
+            mine = local[offsets[x] : offsets[x + 1]]
+            mark[mine] = True
+            both = np.bincount(owner[mark[local]], minlength=len(sets))
+            mark[mine] = False
+            near = np.flatnonzero((both >= threshold * (sizes + sizes[x] - both) - 1e-9) & (root != root[x]) & ~pivot)
+            _, first = np.unique(root[near], return_index=True)
+            a += [int(h[x])] * len(first)
+            b += h[near[first]].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
 
 
 def repeated_passages(docs: DataFrame, settings: Settings | None = None, text: str = "text", doc: str = "doc_id") -> DataFrame:

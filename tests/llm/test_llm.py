@@ -518,10 +518,32 @@ def test_substring_buckets(spark):
         w[rng.randrange(60)] = f"x{k}"
         rows.append((k, " ".join(w)))
     for large in (4, 4096):
-        got = substring.repeated_passages(table(spark, rows), substring.Settings(large=large))
+        got = substring.repeated_passages(table(spark, rows), substring.Settings(large=large, pivots=25))
         assert {r.doc_id for r in got.collect()} == set(range(60)) and got.where("not removed").select("doc_id").distinct().count() < 60
 
 
+def test_pivots_lose_no_component(spark):
+    rng = np.random.default_rng(5)
+    families = [np.unique(rng.integers(0, 10_000, 60).astype(np.uint64)) for _ in range(4)]
+    sets = []
+    for k in range(90):
+        s = families[k % 4].copy()
+        s[rng.integers(0, len(s), 3)] = rng.integers(20_000, 90_000, 3)
+        sets.append(np.unique(s))
+    sets += [np.unique(rng.integers(100_000, 900_000, 50).astype(np.uint64)) for _ in range(15)]
+    group = list(range(len(sets)))
+    for _ in range(8):
+        for a in range(len(sets)):
+            for b in range(len(sets)):
+                if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])):
+                    group[a] = group[b] = min(group[a], group[b])
+    assert 15 < len(set(group)) < 60
+    rows = spark.createDataFrame([(7, k, bytearray(x.astype("<u8").tobytes()), len(sets)) for k, x in enumerate(sets)], "k long, h long, shingles binary, n long")
+    links = substring._pivoted(rows, spark.createDataFrame([], "a long, b long"), substring.Settings(large=20, pivots=30))
+    got = {r.node: r.component for r in components(links).collect()}
+    assert [got.get(k, k) for k in range(len(sets))] == group
+
+
 def test_bands_reach_the_recall():
     for threshold in (0.5, 0.8, 0.9):
         bands, rows = substring.tune(threshold, 0.995)
