@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20  #: bytes handled at once; a longer document is one chunk of its own
+CHUNK = 1 << 19  #: bytes handled at once; a longer document is one chunk of its own
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

@@ -27,7 +27,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 
 from .store import materialize, prepare
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 _ENCODERS: dict[int, Encoder] = {}
 _LATIN = "\u0250"  #: below it, letters are composed already and have one lower form each
 
