@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import Row
 
-from maskwright.llm import chat, decontam, kernels, langid, lm, packing, queries, secrets, simhash, substring, topk, toxicity
+from maskwright.llm import chat, decontam, kernels, langid, lm, packing, queries, secrets, simhash, store, substring, topk, toxicity
 from maskwright.llm.components import components
 
 LOW = lambda s: re.sub("[A-Z]", lambda m: m.group().lower(), s or "")
@@ -68,6 +68,16 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_intermediate_tables_are_shared_and_cleared(spark):
+    from pathlib import Path
+
+    kept = store.materialize(spark.range(5).toDF("a"))
+    folder = Path(kept.inputFiles()[0].removeprefix("file://")).parent
+    assert kept.count() == 5 and str(folder).startswith(store.shared_dir(spark).removeprefix("file://"))
+    store.clear(spark)
+    assert not folder.exists()
+
+
 # 1 toxicity
 
 
