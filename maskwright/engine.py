@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .functions.spans import let
 from .functions.text import stripped
 from .operators import detect, label, resolve
+from .shipping import sound_unions
 
 
 @dataclass(frozen=True)
@@ -40,6 +41,7 @@ class Config:
 class Engine:
     def __init__(self, spark: SparkSession, config: Config | None = None):
         self.spark, self.config = spark, config or Config()
+        sound_unions(spark)
 
     def spans(self, text: str = "text") -> Column:
         """Resolved entities of a text, sorted by start: array of candidates."""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_tag, stripped
+from ..shipping import sound_unions
 from .resolve import REVIEW_BELOW
 
 MODES = ("numbered", "numbered_role", "role_only")
@@ -23,6 +24,7 @@ def numbered(found: DataFrame, links: DataFrame | None = None, doc: str = "doc_i
     if links is None:
         order = Window.partitionBy(doc, "entity_type").orderBy("first_start", "norm_term")
         return found.withColumn("entity_id", F.row_number().over(order)).withColumn("surface_tag", F.lit(None).cast("string")).withColumn("parent_term", F.lit(None).cast("string"))
+    sound_unions(found.sparkSession)
     joined = found.join(links.select(doc, F.col("child_term").alias("norm_term"), "parent_term", F.col("surface_tag").alias("tag")), [doc, "norm_term"], "left")
     child = F.col("parent_term").isNotNull() & (F.col("parent_term") != F.col("norm_term"))
     marked = joined.withColumn("is_child", child)
@@ -142,6 +144,7 @@ def residues(anonymized: DataFrame, doc: str = "doc_id", text: str = "anonymized
 
 def segments(labelled: DataFrame, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, raw_start, raw_end, anon_start, anon_end): what stays between placeholders, by a running sum of length changes."""
+    sound_unions(docs.sparkSession)
     ends = docs.select(doc, F.length(text).alias("start"), F.length(text).alias("end"), F.lit("").alias("placeholder"), F.lit(1).alias("last"))
     rows = labelled.select(doc, "start", "end", "placeholder", F.lit(0).alias("last")).unionByName(ends)
     order = Window.partitionBy(doc).orderBy("start", "last")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import sound_unions
+
 #: fixed values: titles before a name
 HONORIFICS = ("frau", "herr", "herrn", "dr", "dr.", "prof", "prof.", "prof. dr.", "dozent", "dozentin", "mr", "mr.", "mrs", "mrs.", "ms", "ms.", "miss", "sir", "madam")
 
@@ -18,6 +20,7 @@ def link_proposals(people: DataFrame, scope: list[str] | None = None) -> DataFra
 
     Four equi-joins on name parts, each candidate once under its first rule: genitive stem, first name, last name, title.
     """
+    sound_unions(people.sparkSession)
     scope = scope or []
     free = people.where((F.col("entity_type") == "PERSON") & (F.coalesce("parent_id", F.lit("")) == ""))
     w = free.select(*scope, "id", F.lower(F.trim("name")).alias("low"), F.trim("name").alias("name"), F.split(F.trim("name"), r"\s+").alias("ws"))

@@ -1,4 +1,4 @@
-"""Makes this package importable in the executors' Python workers, whatever the driver's module path is."""
+"""What a session needs before plans of this package run: sound unions, and the package on the executors."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+_REUSE = "spark.sql.unionOutputPartitioning"
 
 
 def ship(spark: SparkSession) -> None:
@@ -24,3 +25,9 @@ def ship(spark: SparkSession) -> None:
             z.write(f, Path(here.name) / f.relative_to(here))
     spark.sparkContext.addPyFile(target)
     _SHIPPED.add(app)
+
+
+def sound_unions(spark: SparkSession) -> None:
+    """Turns off the reuse of a union's partitioning by what follows it: with Spark 4.1, windows over such unions lose and repeat rows."""
+    if spark.version.startswith("4.") and spark.conf.get(_REUSE, None) != "false":
+        spark.conf.set(_REUSE, "false")

@@ -230,6 +230,13 @@ def test_segments(spark):
     assert [tuple(r)[1:] for r in label.segments(named, docs).orderBy("raw_start").collect()] == [(0, 6, 0, 6), (10, 15, 16, 21), (18, 19, 31, 32)]
 
 
+def test_segments_of_documents_dealt_by_id(spark):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = rows(spark, [f"x a@b{k}.ch y {k}" for k in range(200)]).repartition(n, "doc_id")
+    got = label.segments(Engine(spark, Config(detectors=("email",))).entities(docs), docs).groupBy("doc_id").agg(F.sum(F.col("raw_end") - F.col("raw_start")).alias("kept"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(got) == 200 and all(r.n == 2 and r.kept == len(f"x  y {r.doc_id}") for r in got)
+
+
 def test_snippets_reach_sentence_ends(spark):
     text = "x" * 90 + ". " + "y" * 200 + "\n<&'\">Anna " + "z" * 160 + "! Rest"
     a = text.index("Anna")
