@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import discard, materialize
+from .store import discard, materialize, prepare
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,6 +15,7 @@ def components(edges: DataFrame) -> DataFrame:
     the last one. Jumping halves the way to the root each round, so rounds grow with the logarithm of a chain's
     length. Nothing is collected but that sum.
     """
+    prepare(edges.sparkSession)
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("component")))
     total = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]

@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..shipping import ship
+from ..shipping import ship, sound_unions
 
 
 _WRITTEN: list[str] = []
@@ -55,5 +55,6 @@ def _delete(spark: SparkSession, path: str) -> None:
 def prepare(spark: SparkSession, rows: int = 1000) -> None:
     """Before Python runs on executors: they get the package, and batches of few rows, as texts are long (an own setting stays)."""
     ship(spark)
+    sound_unions(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
