@@ -171,17 +171,22 @@ def _anchored(docs: DataFrame, s: Settings) -> DataFrame:
     return _units(docs, f"doc {kind}, start int, end int, h long", make)
 
 
+def bitmap(wanted: DataFrame) -> np.ndarray:
+    """BITMAP bits, one set for each of wanted(h)."""
+    bit = F.pmod("h", F.lit(BITMAP))
+    rows = wanted.select(F.shiftright(bit, 15).alias("part"), bit.bitwiseAND(32767).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    out = np.zeros(BITMAP // 8, np.uint8)
+    for r in rows:
+        out[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
 def _sketches(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
     """(h, shingles, again) of the paragraphs in wanted(h): sorted distinct shingle hashes, and the second family's band keys.
 
     A bitmap of fixed size, built by executors, drops most other paragraphs before the shuffle; the join drops the rest.
     """
-    bit = F.pmod("h", F.lit(BITMAP))
-    rows = wanted.select(F.shiftright(bit, 15).alias("part"), bit.bitwiseAND(32767).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
-    bitmap = np.zeros(BITMAP // 8, np.uint8)
-    for r in rows:
-        bitmap[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted))
     count, per = s.bands
 
     def make(ids, i, data, off, j):

@@ -477,6 +477,64 @@ def test_hot_buckets_lose_no_link(spark):
     assert {n: got.get(n, n) for n in nodes} == group
 
 
+# pipeline's near duplicates
+
+
+def _word_sets(text):
+    w = SPACE.findall(LOW(text))
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def _jaccard_classes(rows):
+    """Smallest id of each component of the graph that links 5-word Jaccard similarities of 0.8 or more, over all pairs."""
+    sets = {k: _word_sets(t) for k, t in rows}
+    least = {k: k for k in sets}
+    pairs = [(a, b) for a in sets for b in sets if b < a and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            if least[a] != least[b]:
+                least[a] = least[b] = min(least[a], least[b])
+                changed = True
+    return least
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    from maskwright.llm import neardup
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    rows = [(k, t) for k, t in enumerate(["one two", "One  two", "two one", "", None, " ", "a b c d e", "a b c d e f"])]
+    for _ in range(25):
+        base = [word() for _ in range(rng.choice([30, 90, 200]))]
+        for _ in range(6):
+            w = list(base)
+            for at in rng.sample(range(len(w)), max(1, len(w) * rng.choice([1, 2, 3, 4]) // 100)):
+                w[at] = word()
+            rows.append((len(rows), " ".join(w)))
+    want = _jaccard_classes(rows)
+    prints = [_fingerprint(t) for _, t in rows]
+    assert any(want[a] == want[b] and (prints[a] ^ prints[b]).bit_count() > 3 for a in range(8, len(rows)) for b in range(8, a)) and len(set(want.values())) > 20
+    for s in (neardup.Settings(), neardup.Settings(large=2, pivots=3)):
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(table(spark, rows), s).collect()}
+        assert got == want
+    nodes = neardup._signatures(table(spark, rows, "doc long, text string"), neardup.Settings()).dropDuplicates(["h"])
+    links = neardup.similar_links(table(spark, rows, "doc long, text string"), nodes, neardup.Settings())
+    assert "InArrow" not in links._jdf.queryExecution().toString()  # a second reading must not search anew, in another order
+    assert neardup.near_duplicates(table(spark).where("false")).count() == 0
+    assert neardup.near_duplicates(table(spark)).count() == len(ODD)
+
+
+def test_near_dedup_stage_leaves_no_similar_pair(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = documents(spark, sf_dir)
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, queries.table(spark, sf_dir, "documents"), sf_dir).collect()}
+    want = _jaccard_classes(docs.items())
+    assert kept == {k for k, c in want.items() if k == c} and len(kept) < len(docs)
+
+
 # 8 substring
 
 
