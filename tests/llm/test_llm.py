@@ -191,48 +191,101 @@ def _lm_tokens(text):
     return [*SPACE.findall(LOW(text)), "</s>"]
 
 
-def test_lm_query_against_counts(spark, sf_dir):
+def _lm_brute(texts, learn, order, mu, smoothing=0.1):
+    """By the definition: (tokens, known, train tokens, base, score) of each text, by plain counts and recursion."""
+    counts = Counter()
+    for t, on in zip(texts, learn, strict=True):
+        stream = ["</s>", *_lm_tokens(t)]
+        for i in range(1, len(stream) if on else 0):
+            for n in range(1, order + 1):
+                if i - n + 1 >= 0:
+                    counts[tuple(stream[i - n + 1 : i + 1])] += 1
+    total, distinct = sum(c for g, c in counts.items() if len(g) == 1), sum(len(g) == 1 for g in counts)
+    of = lambda h: counts[h] if h != ("</s>",) else sum(learn)
+
+    def p(history, w):
+        if not history:
+            return (counts[w,] + smoothing) / (total + smoothing * (distinct + 1))
+        m = mu[len(history) - 1]
+        return (counts[(*history, w)] + m * p(history[1:], w)) / (of(history) + m)
+
+    out = []
+    for t in texts:
+        stream = ["</s>", *_lm_tokens(t)]
+        logs = [math.log10(p(tuple(stream[max(0, i - order + 1) : i]), stream[i])) for i in range(1, len(stream))]
+        base = sum(math.log10(p((), w)) for w in stream[1:])
+        out.append((len(stream) - 1, sum(counts[w,] > 0 for w in stream[1:]), total, base, sum(logs)))
+    return out, p, {g[0] for g in counts if len(g) == 1}
+
+
+def test_lm_query_against_brute_force(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    counts = Counter(w for k, t in docs.items() if crc(k, 10) for w in _lm_tokens(t))
-    n, v = sum(counts.values()), len(counts)
+    learn = [crc(k, 10) != 0 for k in docs]
+    s = lm.Settings()
+    want = dict(zip(docs, _lm_brute(list(docs.values()), learn, s.order, s.mu)[0], strict=True))
     held = []
     for r in queries.op3_lm_scoring(spark, sf_dir).collect():
-        tokens = _lm_tokens(docs[r.doc_id])
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(tokens), sum(w in counts for w in tokens), n, crc(r.doc_id, 10) == 0)
-        assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens))
+        assert (r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:3] and r.held_out == (crc(r.doc_id, 10) == 0)
+        assert (r.base_score, r.score) == pytest.approx(want[r.doc_id][3:])
         held += [(r.base_score, r.score)] if r.held_out else []
-    assert sum(s for _, s in held) > sum(b for b, _ in held)
-
-
-def test_lm_arcs_and_failures_give_a_distribution(spark):
-    texts = ["a b c a b d", "a b c", "b c a b", "d d a", "a b d c a b c"] * 3
-    model, unigrams = lm.train(table(spark, list(enumerate(texts))).select("text"), order=3)
-    counts = Counter(w for t in texts for w in _lm_tokens(t))
-    assert model.total == sum(counts.values()) and model.distinct == len(counts) and len(model.keys) == 2 and len(model.keys[1])
-    vocabulary = ["a", "b", "c", "d"]
-    for history in ("", "a", "a b", "b c", "d d", "c a b"):
-        total = 0.0
-        probes = [f"{history} {w}".strip() for w in vocabulary] + [history, f"{history} zz".strip()]
-        for k, probe in enumerate(probes):
-            _, _, t = next(lm.tokens(pa.array([probe])))
-            count = np.array([counts.get(w, 0) for w in _lm_tokens(probe)])
-            _, log = model.score(t, count)
-            at = len(history.split())
-            total += 10 ** log[at]
-            if k == len(vocabulary):
-                assert at == len(log) - 1
-        assert total == pytest.approx(1, abs=1e-9), history
+    assert len(want) == len(docs) and sum(s for _, s in held) > sum(b for b, _ in held)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_blocks_pieces_and_orders(spark, order):
+    rng = random.Random(order)
+    texts = [" ".join(rng.choices("abcdefg", k=rng.choice([0, 1, 2, 5, 40, 900]))) for _ in range(60)] + [None, "Zz", "zz zz"]
+    learn = [k % 5 != 0 for k in range(len(texts))]
+    mu = (3.0, 2.0, 1.0)
+    want, p, words = _lm_brute(texts, learn, order, mu)
+    docs = table(spark, [(k, t, on) for k, (t, on) in enumerate(zip(texts, learn, strict=True))], "doc_id long, text string, learn boolean")
+    from pyspark.sql import functions as F
+
+    for tokens, keys in ((50, 7), (1_000_000, 2_000_000)):
+        got = {r.doc_id: tuple(r)[2:] for r in lm.score(docs, F.col("learn"), lm.Settings(order=order, mu=mu, block_tokens=tokens, range_keys=keys)).collect()}
+        assert len(got) == len(texts)
+        for k, x in enumerate(want):
+            assert got[k][:3] == x[:3] and got[k][3:] == pytest.approx(x[3:])
+    for history in ((), ("a",), ("b", "c"), ("</s>", "a"), ("zz",))[: 2 * order]:
+        assert sum(p(history[-order + 1 :] if order > 1 else (), w) for w in words | {"never"}) == pytest.approx(1)
+
+
+def test_lm_walk_carries_its_state(spark):
+    t = lm.tokens(pa.array(["a b c a b c " * 300, "b c", "", "c a b d"]))
+    s = lm.Settings(order=3, mu=(3.0, 2.0))
+    some = lm.grams(t, 3)
+    own = t.doc >= 0
+    counts = [np.bincount(g.at[own & (g.at >= 0)], minlength=len(g.keys)) for g in some]
+    model = lm.Automaton(some, counts, int(own.sum()), int((counts[0] > 0).sum()), s)
+    word, log, state = some[0].at, [], 0
+    arcs = dict(zip(model.arcs.tolist(), zip(model.logs.tolist(), model.targets.tolist(), strict=True), strict=True))
+    for i in range(1, len(word)):
+        state, total = model.start if t.place[i] == 0 else state, 0.0
+        while state and state * model.words + word[i] not in arcs:
+            state, total = int(model.fail[state]), total + model.weight[state]
+        step, state = arcs[state * model.words + word[i]] if state else (model.base[word[i]], int(model.first[word[i]]))
+        log.append(total + step)
+    assert model.walk(t, word, 3)[1:] == pytest.approx(log)
 
 
 def test_lm_edges(spark):
+    from pyspark.sql import functions as F
+
     docs = table(spark)
-    model, unigrams = lm.train(docs.where("doc_id > 3").select("text"))
-    got = lm.score(docs.selectExpr("doc_id", "text", "1 as block", "2 as n", "3 as k"), model, unigrams).collect()
+    got = lm.score(docs.selectExpr("doc_id", "text", "1 as block", "2 as n", "3 as keys", "4 as learn"), F.col("doc_id") > 3).collect()
     assert len(got) == len(ODD) and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in got)
-    assert {r.n_tokens for r in got if r.doc_id in (1, 2, 3)} == {1}
-    empty, table_ = lm.train(docs.where("false").select("text"))
-    assert {r.base_score for r in lm.score(docs.where("doc_id = 1"), empty, table_).collect()} == {0.0}
-    assert lm.score(docs.where("false"), model, unigrams).count() == 0
+    assert {r.n_tokens for r in got if r.doc_id in (1, 2, 3)} == {1} and Counter(r.doc_id for r in got) == Counter(k for k, _ in ODD)
+    want = _lm_brute([t for _, t in ODD], [k is not None and k > 3 for k, _ in ODD], 2, lm.Settings().mu)[0]
+    assert sorted((r.n_tokens, r.n_known, r.train_tokens) for r in got) == sorted(x[:3] for x in want)
+    assert sorted(r.score for r in got) == pytest.approx(sorted(x[4] for x in want))
+    assert {r.base_score for r in lm.score(docs.where("doc_id = 1"), F.lit(False)).collect()} == {0.0}
+    assert lm.score(docs.where("false"), F.lit(True)).count() == 0
+
+
+def test_lm_numbers_survive_packing():
+    for values in ([], [0], [1, 2**63, 2**64 - 1, 0, 5], list(range(1000))):
+        a = np.array(values, np.uint64)
+        assert lm.unpack(lm.pack(a), len(a)).tolist() == values
 
 
 # 4 top-k
