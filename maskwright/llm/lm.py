@@ -281,8 +281,11 @@ def score(docs: DataFrame, learn: Column, settings: Settings | None = None, text
     s = settings or Settings()
     prepare(docs.sparkSession)
     blocks = _blocks(docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn")), s)
-    ranges = max(1, -(-(blocks.agg(F.sum("n_tokens")).first()[0] or 0) // s.range_keys))
-    added = _offered(blocks, ranges, s).groupBy("n", "part").applyInArrow(_added, "n int, part long, block long, m long, totals binary, seen long, kinds long")
+    count, n_tokens = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    ranges = max(1, -(-n_tokens // s.range_keys))
+    deal = lambda df, count, *keys: df.repartition(max(count, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+    offered = deal(_offered(blocks, ranges, s), ranges * s.order, "n", "part")
+    added = offered.groupBy("n", "part").applyInArrow(_added, "n int, part long, block long, m long, totals binary, seen long, kinds long")
     totals = materialize(added)
     total, distinct = totals.where("n = 1").agg(F.coalesce(F.sum("seen"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     schema = T.StructType([T.StructField("doc", docs.schema[doc].dataType), *(T.StructField(n, t) for n, t, _ in SCORES)])
@@ -304,5 +307,6 @@ def score(docs: DataFrame, learn: Column, settings: Settings | None = None, text
         ids = ids.chunk(0).flatten() if isinstance(ids, pa.ChunkedArray) else ids.flatten()
         return pa.table([ids, *(pa.array(c, k[2]) for c, k in zip(columns, SCORES, strict=True))], names=schema.names)
 
-    result = blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(scored, schema)
+    left, right = (deal(x, count, "block").groupBy("block") for x in (blocks, totals))
+    result = left.cogroup(right).applyInArrow(scored, schema)
     return result.withColumnRenamed("doc", doc)
