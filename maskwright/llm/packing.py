@@ -20,6 +20,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,12 +86,15 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
     def _plainer(self, text: str) -> str:
-        """A text of the same ids with fewer different words: ASCII is lowered, and a sign after a letter stands alone."""
+        """A text of the same ids with fewer different words: ASCII is lowered, and a sign after a Latin letter stands alone.
+
+        Not after a letter whose lower form ends in a mark, which joins the sign.
+        """
         if text.isascii() and not self.holds_special(low := text.lower()):
             text = low
         for stop in (", ", ". ", ".\n"):
             pieces = text.split(stop)
-            if all(p[-1:].isalpha() for p in pieces[:-1]):
+            if all(p[-1:].isalpha() and p[-1] < _LATIN and p[-1] != "\u0130" for p in pieces[:-1]):
                 text = f" {stop}".join(pieces)
         return text
 
@@ -103,7 +107,7 @@ def _encoder(definition: str) -> Encoder:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 1, text: str = "text", doc: str = "doc_id", keep_ids: bool = False) -> DataFrame:
-    """(doc, piece, start, length, ids_crc32, salt[, ids]) per piece. Null text is empty: it has the end id only.
+    """(doc, piece, start, length, ids_crc32, salt[, ids]) per piece; salts differ. Null text is empty: it has the end id only.
 
     The tokenizer's file is read on the driver and broadcast (a vocabulary: its size is fixed).
     """
@@ -115,7 +119,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int =
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode, salt = _encoder(shared.value).encode, 0
+        encode, salt = _encoder(shared.value).encode, TaskContext.get().partitionId() << 40
         for batch in batches:
             rows, out, ids = [], [[] for _ in longs], []
             for r, t in enumerate(batch.column(text)):
@@ -170,24 +174,25 @@ def pack(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack_pieces(parts: DataFrame, size: int = 4096, shard_rows: int = 60_000) -> DataFrame:
-    """parts (with length, salt and others) with sequence_id and offset instead of salt."""
+    """parts (with length, salt and others) with sequence_id and offset. They are stored before they are dealt: salts must not change."""
     parts = materialize(parts)
     shards = max(1, -(-parts.count() // shard_rows))
-    keys = [c for c in parts.columns if c != "ids"]
-    dealt = parts.withColumn("_mw_shard", F.pmod(F.xxhash64(*keys), F.lit(shards)))
-    schema = T.StructType([*(f for f in parts.schema.fields if f.name != "salt"), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    dealt = parts.drop("ids").withColumn("_mw_shard", F.pmod(F.xxhash64("salt"), F.lit(shards)))
+    placed = T.StructType([T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    schema = T.StructType([*(f for f in parts.schema.fields if f.name != "ids"), *placed.fields])
 
     def run(table: pa.Table) -> pa.Table:
         bins, offsets = pack(table.column("length").to_numpy(), size)
         shard = table.column("_mw_shard")[0].as_py()
-        return table.drop_columns(["salt", "_mw_shard"]).append_column("sequence_id", pa.array(bins + (shard << 36))).append_column("offset", pa.array(offsets))
+        return table.drop_columns(["_mw_shard"]).append_column("sequence_id", pa.array(bins + (shard << 36))).append_column("offset", pa.array(offsets))
 
-    return dealt.groupBy("_mw_shard").applyInArrow(run, schema)
+    out = dealt.groupBy("_mw_shard").applyInArrow(run, schema)
+    return out.join(parts.select("salt", "ids"), "salt") if "ids" in parts.columns else out
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 1, text: str = "text", doc: str = "doc_id") -> DataFrame:
     """(doc, piece, start, length, ids_crc32, sequence_id, offset) per piece of docs; repeated rows are packed each."""
-    return pack_pieces(pieces(docs, tokenizer_path, size, end_id, text, doc), size)
+    return pack_pieces(pieces(docs, tokenizer_path, size, end_id, text, doc), size).drop("salt")
 
 
 def sequences(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 1, text: str = "text", doc: str = "doc_id") -> DataFrame:
