@@ -2,17 +2,18 @@
 
 Text is lower-cased, whatever is not a letter becomes one space, and n-grams of 1 to 3 characters are hashed into
 2 ** `bits` features. A feature's value is its share of the document's n-grams times its inverse document frequency
-among the training rows, times a constant. Training is follow-the-regularised-leader (proximal) with L1 and L2
+among all training rows, times a constant. Training is follow-the-regularised-leader (proximal) with L1 and L2
 penalties; a temperature is then fitted on a part of the sample that was held back.
 
 The classifier learns from a bounded sample of labelled rows: `sample` rows in all, shared equally by the languages,
-chosen by hashed id among rows of at most `sample_chars` characters. Whatever is predicted is predicted over all rows
-and whole texts. Null texts and texts without letters are `und` with score 0, as is everything if nothing could be learnt.
+chosen by a hash of id and text among rows of at most `sample_chars` characters, equal rows once, so that repeated or
+null ids neither swell nor bend it. Document frequencies are counted over all training rows. Whatever is predicted is
+predicted over all rows and whole texts. Null texts and texts without letters (as str.isalpha has them) are `und` with
+score 0, as is everything if nothing could be learnt.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -73,7 +74,7 @@ def ngrams(texts: list[str], bits: int) -> Iterator[tuple[int, int, list[tuple[n
 
 
 def has_letter(text: str) -> bool:
-    return re.search(r"[^\W\d_]", text) is not None
+    return any(map(str.isalpha, text))
 
 
 @dataclass(frozen=True)
@@ -94,7 +95,7 @@ class LanguageModel:
                 counts += np.bincount(doc, minlength=j - i)
                 if len(some):
                     total[some] += np.add.reduceat(self.weights[features], starts, axis=0)
-            z = (total / counts[:, None] + self.bias) / self.temperature
+            z = (total / np.maximum(counts, 1)[:, None] + self.bias) / self.temperature
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             for d, (best, value) in enumerate(zip(p.argmax(axis=1).tolist(), p.max(axis=1).tolist(), strict=True)):
@@ -107,18 +108,17 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(samples: list[tuple[str, np.ndarray, np.ndarray]], bits: int, epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02) -> LanguageModel:
-    """samples: language, features, their shares of the document's n-grams; in the order of training."""
+def fit(samples: list[tuple[str, np.ndarray, np.ndarray]], bits: int, epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, frequencies: tuple[int, np.ndarray] | None = None) -> LanguageModel:
+    """samples: language, features, their shares of the document's n-grams; in the order of training. frequencies: documents, and those that hold each feature."""
     langs = tuple(sorted({s[0] for s in samples}))
     size, k = 1 << bits, len(langs)
     if not samples:
         return LanguageModel((), np.zeros((size, 0), np.float32), np.zeros(0), 1.0, bits)
     held = samples[::5] if len(samples) >= 25 else samples
     train = [s for n, s in enumerate(samples) if n % 5] if len(samples) >= 25 else samples
-    df = np.zeros(size)
-    for _, f, _ in train:
-        df[f] += 1
-    idf = np.log((1 + len(train)) / (1 + df)) + 1
+    if frequencies is None:
+        frequencies = len(train), np.bincount(np.concatenate([f for _, f, _ in train]), minlength=size)
+    idf = np.log((1 + frequencies[0]) / (1 + frequencies[1])) + 1
     z, n = np.zeros((size + 1, k)), np.zeros((size + 1, k))
 
     def weights(rows: np.ndarray | slice) -> np.ndarray:
@@ -143,8 +143,28 @@ def fit(samples: list[tuple[str, np.ndarray, np.ndarray]], bits: int, epochs: in
     return LanguageModel(langs, (w[:size] * (idf * _SCALE)[:, None]).astype(np.float32), w[size], temperature, bits)
 
 
+def document_frequencies(texts: DataFrame, bits: int) -> tuple[int, np.ndarray]:
+    """Rows of texts(text) that hold a letter, and how many of them hold each feature: 2 ** bits numbers, whatever the input."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((1 << bits) + 1, np.int64)
+        for batch in batches:
+            held = [t for t in batch.column(0).to_pylist() if has_letter(t)]
+            counts[-1] += len(held)
+            for _, j, found in ngrams(held, bits):
+                f, d = (np.concatenate([x[s] for x in found]) for s in (0, 1))
+                counts += np.bincount(np.unique(d.astype(np.int64) << bits | f) & ((1 << bits) - 1), minlength=len(counts))
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["f", "n"])
+
+    out = np.zeros((1 << bits) + 1, np.int64)
+    for f, n in texts.mapInArrow(run, "f long, n long").groupBy("f").agg(F.sum("n")).collect():
+        out[f] = n
+    return int(out[-1]), out[:-1]
+
+
 def train(labelled: DataFrame, sample: int = 4000, sample_chars: int = 20_000, bits: int = 16, text: str = "text", lang: str = "lang", doc: str = "doc_id") -> LanguageModel:
-    """Fits on at most `sample` rows of labelled(doc, text, lang), about as many of each language."""
+    """Fits on about `sample` rows of labelled(doc, text, lang), in no case over twice as many, shared equally by the languages."""
     prepare(labelled.sparkSession)
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc).cast("string").alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     counts = {r[0]: r[1] for r in labelled.where(F.col(lang).isNotNull()).groupBy(lang).count().collect()}
@@ -152,11 +172,13 @@ def train(labelled: DataFrame, sample: int = 4000, sample_chars: int = 20_000, b
         return fit([], bits)
     each = max(1, sample // len(counts))
     share = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, each / n)))))[F.col("lang")]
-    chosen = rows.where((F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1 << 20)) < share * (1 << 20)) & (F.length("text") <= sample_chars)).repartition(4, "id", F.length("text"))
+    key = F.xxhash64("id", "text", F.lit("langid"))
+    chosen = rows.withColumn("key", key).where((F.pmod("key", F.lit(1 << 20)) < share * (1 << 20)) & (F.length("text") <= sample_chars))
+    chosen = chosen.groupBy("lang", "key").agg(F.any_value("id").alias("id"), F.any_value("text").alias("text"))
 
     def features(batches):
         for batch in batches:
-            ids, langs, texts = (batch.column(c).to_pylist() for c in ("id", "lang", "text"))
+            ids, langs, texts = (batch.column(c).to_pylist() for c in ("key", "lang", "text"))
             keep = [k for k, t in enumerate(texts) if has_letter(t)]
             out = []
             for i, j, found in ngrams([texts[k] for k in keep], bits):
@@ -168,14 +190,15 @@ def train(labelled: DataFrame, sample: int = 4000, sample_chars: int = 20_000, b
                 for r in range(j - i):
                     part = slice(cut[r], cut[r + 1])
                     out.append(((key[part] & ((1 << bits) - 1)).astype("<u4").tobytes(), (n[part] / total[r]).astype("<f4").tobytes()))
-            yield pa.RecordBatch.from_pydict({"id": [ids[k] for k in keep], "lang": [langs[k] for k in keep], "f": [o[0] for o in out], "s": [o[1] for o in out]}, schema=pa.schema([("id", pa.string()), ("lang", pa.string()), ("f", pa.binary()), ("s", pa.binary())]))
+            yield pa.RecordBatch.from_pydict({"key": [ids[k] for k in keep], "lang": [langs[k] for k in keep], "f": [o[0] for o in out], "s": [o[1] for o in out]}, schema=pa.schema([("key", pa.int64()), ("lang", pa.string()), ("f", pa.binary()), ("s", pa.binary())]))
 
-    got = chosen.mapInArrow(features, "id string, lang string, f binary, s binary").collect()
-    got.sort(key=lambda r: (zlib.crc32(f"order{r['id']}".encode()), r["id"] or "", r["f"]))
-    return fit([(r["lang"], np.frombuffer(r["f"], "<u4").astype(np.int64), np.frombuffer(r["s"], "<f4").astype(float)) for r in got], bits)
+    got = chosen.mapInArrow(features, "key long, lang string, f binary, s binary").orderBy("key").limit(2 * sample).collect()
+    got.sort(key=lambda r: (zlib.crc32(f"order{r['key']}".encode()), r["key"], r["lang"], r["f"]))
+    samples = [(r["lang"], np.frombuffer(r["f"], "<u4").astype(np.int64), np.frombuffer(r["s"], "<f4").astype(float)) for r in got]
+    return fit(samples, bits, frequencies=document_frequencies(rows.select("text"), bits))
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score (0 to 1). The model's size is fixed by its parameters, so it is broadcast."""
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text", fields: T.StructType = FIELDS) -> DataFrame:
+    """docs with lang_pred and score (0 to 1), or under the names of `fields`. The model's size is fixed by its parameters, so it is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return add_columns(docs, FIELDS, lambda batch: list(shared.value.predict(batch.column(text).to_pylist())))
+    return add_columns(docs, fields, lambda batch: list(shared.value.predict(batch.column(text).to_pylist())))
