@@ -6,8 +6,8 @@ so labels of documents alone locate the offending sentences: those whose own p i
 
 Features are hashed lower-cased words (letters only) and their first characters, once a sentence. Sentences end at .!? and
 line ends, and after `SENTENCE_WORDS` words. The model is fitted on a bounded sample of labelled rows (`sample` of each
-label, texts of at most `sample_chars` characters), weighted back to the labels' true shares; every row is scored over its
-whole text. Null and empty texts have no sentence and score 0; without labels of both kinds all scores are 0.
+label, texts of at most `sample_chars` characters, chosen by a hash of id and text, equal rows once, so that repeated ids
+don't swell it), weighted back to the labels' true shares; every row is scored over its whole text. Null and empty texts have no sentence and score 0; without labels of both kinds all scores are 0.
 """
 
 from __future__ import annotations
@@ -158,7 +158,7 @@ def fit(docs: list[tuple[float, float, np.ndarray, np.ndarray]], epochs: int = 4
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, sample_chars: int = 20_000, text: str = "text", doc: str = "doc_id", label: str = "toxic") -> ToxicityModel:
-    """Fits on at most about `sample` rows of each label of labels(doc, label), 0 or 1; the rest of labels is ignored."""
+    """Fits on about `sample` rows of each label of labels(doc, label), 0 or 1, in no case over 4 * sample in all; the rest of labels is ignored."""
     prepare(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc).isNotNull()).select(F.col(doc).alias("id"), F.col(label).cast("int").alias("y")).distinct()
     counts = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
@@ -168,25 +168,28 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, sample_chars:
     some = known.where(F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1 << 20)) < share * (1 << 20))
     # of both labels together no more than about 2 * sample rows of two numbers: a bound by parameter, small enough to broadcast
     texts = docs.where(F.col(text).isNotNull() & (F.length(text) <= sample_chars)).select(F.col(doc).alias("id"), F.col(text).alias("text"))
-    chosen = texts.join(F.broadcast(some), "id")
+    chosen = texts.join(F.broadcast(some), "id").withColumn("key", F.xxhash64("id", "text", F.lit("toxicity rows")))
+    rows_of = {r[0]: r[1] for r in chosen.groupBy("y").count().collect()}
+    share = F.create_map(*(x for y in counts for x in (F.lit(y), F.lit(min(1.0, sample / rows_of.get(y, 1))))))[F.col("y")]
+    chosen = chosen.where(F.pmod("key", F.lit(1 << 20)) < share * (1 << 20)).groupBy("y", "key").agg(F.any_value("text").alias("text"))
 
     def features(batches):
         for batch in batches:
-            rows = {"id": [], "y": [], "s": [], "f": []}
-            ids, ys = (batch.column(c).to_pylist() for c in ("id", "y"))
+            rows = {"key": [], "y": [], "s": [], "f": []}
+            keys, ys = (batch.column(c).to_pylist() for c in ("key", "y"))
             for s in sentences(batch.column("text")):
                 first = np.searchsorted(s.doc, np.arange(s.j - s.i + 1))
                 cut = np.searchsorted(s.owner, first)
                 for d in range(s.j - s.i):
                     part = slice(cut[d], cut[d + 1])
-                    rows["id"].append(str(ids[s.i + d]))
+                    rows["key"].append(keys[s.i + d])
                     rows["y"].append(ys[s.i + d])
                     rows["s"].append((s.owner[part] - first[d]).astype("<u4").tobytes())
                     rows["f"].append(s.feature[part].astype("<u4").tobytes())
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("id", pa.string()), ("y", pa.int32()), ("s", pa.binary()), ("f", pa.binary())]))
+            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("key", pa.int64()), ("y", pa.int32()), ("s", pa.binary()), ("f", pa.binary())]))
 
-    got = chosen.mapInArrow(features, "id string, y int, s binary, f binary").collect()
-    got.sort(key=lambda r: (zlib.crc32(f"order{r['id']}".encode()), r["id"], r["f"]))
+    got = chosen.mapInArrow(features, "key long, y int, s binary, f binary").orderBy("key").limit(4 * sample).collect()
+    got.sort(key=lambda r: (zlib.crc32(f"order{r['key']}".encode()), r["key"], r["y"], r["f"]))
     weights = {y: n / max(1, sum(r["y"] == y for r in got)) for y, n in counts.items()}
     mean = sum(weights[r["y"]] for r in got) / max(1, len(got))
     return fit([(float(r["y"]), weights[r["y"]] / mean, np.frombuffer(r["s"], "<u4").astype(np.int32), np.frombuffer(r["f"], "<u4").astype(np.int32)) for r in got])
