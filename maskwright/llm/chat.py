@@ -98,12 +98,17 @@ def format_conversations(rows: DataFrame, template: Template | None = None) -> D
     return dealt.mapInArrow(run, schema)
 
 
-def read_back(segments: DataFrame, template: Template | None = None) -> DataFrame:
+def read_back(segments: DataFrame, template: Template | None = None, in_order: bool = False) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid) from the output of format_conversations.
 
     Only segments' texts and loss flags are read: turns are parsed from the text, as a consumer of the output would.
+    Segments may come in any order, as from a table; in_order spares the sort right after format_conversations, whose
+    rows are in order.
     """
     template = template or Template()
+    if not in_order:
+        prepare(segments.sparkSession)
+        segments = segments.repartition("conv_id").sortWithinPartitions("conv_id", "segment")
     kind = segments.schema["conv_id"].dataType
     kinds = [("n_turns", T.LongType(), pa.int64()), ("turns_sha256", T.StringType(), pa.string()), ("loss_chars", T.LongType(), pa.int64()), ("loss_sha256", T.StringType(), pa.string()), ("formatted_chars", T.LongType(), pa.int64()), ("valid", T.BooleanType(), pa.bool_())]
     schema = T.StructType([T.StructField("conv_id", kind), *(T.StructField(n, t) for n, t, _ in kinds)])

@@ -5,7 +5,8 @@ alternatives unions, sequences products; strings of three bytes or more give AND
 of the needed trigrams are built over lower-cased bytes, the queries intersect and unite them, and only candidates
 are matched. A rule without mandatory trigrams scans all documents (runs of a byte class through a vectorised scan).
 
-Spans are in code points, end exclusive. Null and empty texts have none. Repeated rows are scanned alike.
+Every rule takes time in proportion to a text, also a hostile one: what may run long is anchored where it starts. Spans
+are in code points, end exclusive. Null and empty texts have none. Repeated rows are scanned alike.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chatbot", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 FIELD = T.StructType([T.StructField("secrets", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
 

@@ -6,10 +6,10 @@ k-th best of all), counts are added up over tasks, and the bin that holds the k-
 until bins are one score wide. Then a last scoring emits what lies above the k-th score, and of each task's ties the
 smallest ids; ranks order both. Every count is over all rows; nothing is sampled or approximated.
 
-Queries are taken in chunks of at most `chunk` rows, each broadcast (its size is bounded) and carried through all rounds;
+Queries are taken in chunks of at most `chunk` rows and `chunk_bytes`, each broadcast and carried through all rounds;
 vectors stay where they are, packed in blocks, and are never shuffled. Vectors that are null or hold null or non-finite
 components, and rows with null ids, take no part. Shorter vectors count as padded with zeros. Repeated rows are rows of
-their own. Scores beyond 64 bits wrap.
+their own. Components or scores that 64 bits can't hold raise an OverflowError.
 """
 
 from __future__ import annotations
@@ -29,7 +29,10 @@ _EXACT = float(1 << 53)
 
 
 def _integers(values: np.ndarray, scale: int) -> np.ndarray:
-    return np.clip(np.floor(scale * values), -(2.0**62), 2.0**62).astype(np.int64)
+    out = np.floor(scale * values)
+    if len(out) and np.abs(out).max() >= 2.0**62:
+        raise OverflowError("a component is beyond 64 bits")
+    return out.astype(np.int64)
 
 
 def vector_blocks(vectors: DataFrame, scale: int, id_col: str, vector: str) -> DataFrame:
@@ -78,7 +81,9 @@ class Queries:
         self.places = np.array([r["place"] for r in rows], np.int64)
         reach = np.ceil(np.sqrt((self.matrix.astype(float) ** 2).sum(axis=1)) * np.sqrt(top)) + 1
         self.exact = bool((reach < _EXACT / 4).all())
-        reach = np.minimum(reach, 2.0**62).astype(np.int64)
+        if len(rows) and reach.max() >= 2.0**62:
+            raise OverflowError("a score may be beyond 64 bits")
+        reach = reach.astype(np.int64)
         self.high = reach
         self.step = np.maximum(1, -(-2 * (reach + 1) // BINS))
         self.above = np.zeros(len(rows), np.int64)
@@ -145,7 +150,7 @@ def _rows(q: Queries, at: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> pa
     return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(q.ids[at]), pa.array(ids), pa.array(scores)], names=["q", "query_id", "vec_id", "score"])
 
 
-def exact_top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_col: str = "vec_id", vector: str = "embedding", chunk: int = 16_384) -> DataFrame:
+def exact_top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_col: str = "vec_id", vector: str = "embedding", chunk: int = 16_384, chunk_bytes: int = 64 << 20) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose id is divisible by `every`, against every row but the query's own."""
     spark = vectors.sparkSession
     blocks = vector_blocks(vectors, scale, id_col, vector)
@@ -157,8 +162,9 @@ def exact_top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 6
                 yield pa.RecordBatch.from_pydict({"block": [block] * len(at), "place": at, "id": ids[at], "width": [m.shape[1]] * len(at), "vector": [m[a].tobytes() for a in at]}, schema=pa.schema([("block", pa.int64()), ("place", pa.int64()), ("id", pa.int64()), ("width", pa.int64()), ("vector", pa.binary())]))
 
     asked = materialize(blocks.mapInArrow(chosen, "block long, place long, id long, width long, vector binary"))
-    top, n = blocks.agg(F.max("top")).first()[0] or 0.0, asked.count()
-    parts = max(1, -(-n // chunk))
+    top, width = blocks.agg(F.coalesce(F.max("top"), F.lit(0.0)), F.coalesce(F.max("width"), F.lit(0))).first()
+    n = asked.count()
+    parts = max(1, -(-n // max(1, min(chunk, chunk_bytes // (8 * max(1, width))))))
     results = []
     for c in range(parts):
         mine = asked if parts == 1 else asked.where(F.pmod(F.xxhash64("block", "place"), F.lit(parts)) == c)
