@@ -16,7 +16,9 @@ def components(edges: DataFrame) -> DataFrame:
     length. Nothing is collected but that sum.
     """
     prepare(edges.sparkSession)
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    # both directions of an edge come from one reading: edges that are found anew may be others
+    there, back = F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+    both = materialize(edges.select(F.explode(F.array(there, back)).alias("e")).select("e.a", "e.b").distinct())
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("component")))
     total = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
     while total is not None:

@@ -39,7 +39,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.format_conversations(rows.unionByName(extra)))
+    return chat.read_back(chat.format_conversations(rows.unionByName(extra)), in_order=True)
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,14 +101,25 @@ QUERIES: dict[str, Query] = {
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-def _rule_sql(rule: secrets.Rule, order: int) -> str:
+#: by kind: the pattern as the oracle's engine writes it, which of its groups is the span, and what must hold of the span
+_SECRETS = (
+    ("assign", r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", 0, r"length(regexp_replace(v, '^[^:=]*[:=]\x20*[\x22\x27]?', '')) >= 12", "i"),
+    ("access", "AKIA[A-Z0-9]+", 0, "length(v) >= 18", "c"),
+    ("hex", "[0-9a-f]+", 0, "length(v) >= 16", "c"),
+    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, "true", "c"),
+    ("forge", "gh[pousr]_[A-Za-z0-9]{36,}", 0, "true", "c"),
+    ("chatbot", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, "true", "c"),
+    ("jwt", r"(?:^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", 1, "true", "c"),
+)
+
+
+def _rule_sql(kind: str, pattern: str, group: int, holds: str, case: str, order: int) -> str:
     """Common table expressions that walk over one rule's matches, each located after the end of the one before."""
-    pattern = rule.pattern.replace("(?ai:", "(?i:").replace("'", "''")
-    length = f"length(regexp_extract(ms[k], '{pattern}', {rule.group}))" if rule.group else "length(ms[k])"
-    return f"""m{order} AS (SELECT doc_id, text, regexp_extract_all(text, '{pattern}') AS ms FROM documents WHERE regexp_matches(text, '{pattern}')),
+    pattern, base = pattern.replace("'", "''"), kind in ("assign", "access", "hex")
+    return f"""m{order} AS (SELECT doc_id, text, regexp_extract_all(text, '{pattern}', {group}, '{case}') AS ms FROM documents WHERE regexp_matches(text, '{pattern}', '{case}')),
         w{order}(doc_id, text, ms, k, s, e) AS (SELECT doc_id, text, ms, 1, strpos(text, ms[1]) - 1, strpos(text, ms[1]) - 1 + length(ms[1]) FROM m{order}
             UNION ALL SELECT doc_id, text, ms, k + 1, e + strpos(substr(text, e + 1), ms[k + 1]) - 1, e + strpos(substr(text, e + 1), ms[k + 1]) - 1 + length(ms[k + 1]) FROM w{order} WHERE k < len(ms)),
-        r{order} AS (SELECT doc_id, {order} AS o, '{rule.kind}' AS kind, {str(rule.base).lower()} AS base, s, e FROM w{order} WHERE {length} >= {rule.shortest})"""
+        r{order} AS (SELECT doc_id, {order} AS o, '{kind}' AS kind, {str(base).lower()} AS base, s, e FROM w{order} WHERE (SELECT {holds} FROM (SELECT ms[k] AS v)))"""
 
 
 ORACLE_SQL: dict[str, str] = {
@@ -140,8 +151,8 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id)""",
     "op9_secret_scan": f"""
-        WITH RECURSIVE {", ".join(_rule_sql(r, k) for k, r in enumerate(secrets.RULES))},
-             f AS ({" UNION ALL ".join(f"SELECT * FROM r{k}" for k in range(len(secrets.RULES)))}),
+        WITH RECURSIVE {", ".join(_rule_sql(*r, k) for k, r in enumerate(_SECRETS))},
+             f AS ({" UNION ALL ".join(f"SELECT * FROM r{k}" for k in range(len(_SECRETS)))}),
              g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
                           string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) FILTER (base) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) AS spans FROM f GROUP BY doc_id)
         SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN g USING (doc_id)""",

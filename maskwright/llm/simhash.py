@@ -11,12 +11,14 @@ in r bits or fewer agree on all that v keeps: every pair within the radius colli
 Equal fingerprints are one node, so thousands of copies cost one row. A bucket of more than `large` nodes is dealt again
 through a second family; together the two keep so many bits that a bucket of the second kind holds at most
 2 ** (free bits) fingerprints, a bound that no input exceeds. Within a bucket a search visits nodes that are not reached
-yet, so links between all different fingerprints are found but only a spanning forest of them is emitted.
+yet, so links between all different fingerprints are found but only a spanning forest of their components is emitted; in a
+large bucket the partners of a node are looked up by flipping the few bits in which its members differ.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import types as T
 
 from .components import components
 from .kernels import LOWER, chunks, text_bytes
-from .rows import add_columns
+from .rows import add_columns, join_classes
 from .store import materialize
 
 BITS = 64
@@ -78,8 +80,12 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text") -> DataF
     return add_columns(docs, T.StructType([T.StructField("fingerprint", T.LongType())]), make)
 
 
-def spanning_links(nodes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the graph that links values differing in `radius` bits or fewer."""
+def spanning_links(nodes: np.ndarray, radius: int, few: int = 1 << 13) -> tuple[np.ndarray, np.ndarray]:
+    """A forest with the components of the graph that links values differing in `radius` bits or fewer."""
+    free = [1 << i for i in range(BITS) if (int(np.bitwise_or.reduce(nodes ^ nodes[0])) >> i) & 1] if len(nodes) else []
+    flips = [sum(c) for n in range(1, radius + 1) for c in combinations(free, n)] if len(nodes) > few and len(free) <= 24 else []
+    if flips:
+        return _by_flips(np.sort(nodes), np.array(flips, np.uint64))
     a, b, rest = [], [], nodes
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
@@ -96,6 +102,22 @@ def spanning_links(nodes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarr
     return (np.concatenate(a), np.concatenate(b)) if a else (empty, empty)
 
 
+def _by_flips(nodes: np.ndarray, flips: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for distinct sorted values, whose least of each component is linked to all others of it."""
+    label = np.arange(len(nodes))
+    while True:
+        before = label.copy()
+        for m in flips:
+            at = np.searchsorted(nodes, nodes ^ m)
+            at[at == len(nodes)] = 0
+            x = np.flatnonzero(nodes[at] == nodes ^ m)  # a flip pairs nodes off, so each is written once
+            label[x] = np.minimum(label[x], label[at[x]])
+        label = label[label]
+        if (label == before).all():
+            others = np.flatnonzero(label != np.arange(len(nodes)))
+            return nodes[label[others]], nodes[others]
+
+
 def _links(buckets: DataFrame, radius: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,9 +141,11 @@ def near_links(nodes: DataFrame, radius: int = 3, large: int = 2048) -> DataFram
     keys = _masked(nodes.select("fp"), covering_masks(radius, 1))
     sizes = keys.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = materialize(keys.join(sizes, ["t", "k"]))
-    small = shared.where(F.col("n") <= large).groupBy("t", "k").agg(F.collect_list("fp").alias("fps")).select("fps")
+    # sorted, so that a search finds the same whatever the order of arrival
+    listed = F.array_sort(F.collect_list("fp")).alias("fps")
+    small = shared.where(F.col("n") <= large).groupBy("t", "k").agg(listed).select("fps")
     hot = shared.where(F.col("n") > large).select("fp", F.col("t").alias("t1"), F.col("k").alias("k1"))
-    again = _masked(hot, covering_masks(radius, 2), "t1", "k1").groupBy("t1", "k1", "t", "k").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1").select("fps")
+    again = _masked(hot, covering_masks(radius, 2), "t1", "k1").groupBy("t1", "k1", "t", "k").agg(listed).where("size(fps) > 1").select("fps")
     return _links(small.unionByName(again), radius)
 
 
@@ -131,9 +155,9 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, text: st
     Repeated rows give repeated rows. Rows with null ids take part as links; a component of such rows only has a null id.
     """
     prints = materialize(fingerprints(docs.select(doc, text), shingle, text).select(F.col(doc).alias("doc"), F.col("fingerprint").alias("fp")))
-    nodes = prints.groupBy("fp").agg(F.min("doc").alias("least"))
+    nodes = prints.groupBy("fp").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n"))
     comp = components(near_links(nodes, radius))
-    rooted = materialize(nodes.join(comp, nodes["fp"] == comp["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root")))
+    rooted = materialize(nodes.join(comp, nodes["fp"] == comp["node"], "left").select("fp", "n", "least", F.coalesce("component", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select(F.col("doc").alias(doc), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = materialize(rooted.join(least, "root").select("fp", "n", "component_id"))
+    return join_classes(prints, classes, "fp", "n").select(F.col("doc").alias(doc), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

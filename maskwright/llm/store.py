@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..shipping import ship, sound_unions
 
@@ -15,11 +17,13 @@ _WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; only where it is unset (tests) a folder of our own."""
+    """spark.checkpoint.dir as the session has it; only on one machine (tests), and where it is unset, a folder of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), f"maskwright-{os.getpid()}")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -41,6 +45,27 @@ def discard(df: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with _mw_file and _mw_row, which tell rows apart whatever they hold: the place in the files that docs reads, stored first if it reads none."""
+    if not _reads_files(docs):
+        docs = materialize(docs)
+    return docs.select("*", F.xxhash64("_metadata.file_path").alias("_mw_file"), F.col("_metadata.row_index").alias("_mw_row"))
+
+
+def _reads_files(docs: DataFrame) -> bool:
+    """Whether each row of docs is one of a Parquet file: read, and at most filtered and projected."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    if node.nodeName() != "LogicalRelation" or "_metadata" in docs.columns:
+        return False
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return False
+    return True
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes all that materialize() has written in this process: once results that may still read it are stored elsewhere."""
     while _WRITTEN:

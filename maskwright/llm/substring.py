@@ -1,19 +1,21 @@
 """Substring deduplication: paragraph MinHash banding, exact verification, and clusters by connected components.
 
-Paragraphs are lines of `least` words or more; words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z. Equal paragraphs are one
-node. A paragraph's MinHash signature is cut into bands, tuned for the wanted recall at the threshold; paragraphs that
-share a band are verified by the exact Jaccard similarity of their shingles, and components of verified links are classes.
-Of a class the first occurrence (smallest doc id, then place) stays, every other is to be removed.
-
-A passage that many documents share need not be a paragraph: it may lie inside different ones. So windows of `least` words
-are taken as paragraphs too, at anchors that depend on the content only: where a shingle's hash is the smallest of
-`least` + 1 successive ones. Any run of 2 * `least` words that two documents share holds such a window whole. They are
-compared by equality, as of two windows of that length that differ in an inner word none reaches the threshold.
-
-Within a bucket a search compares paragraphs with those not reached yet, so a bucket of near copies costs little more than
-its size, and only a spanning forest is emitted. Buckets of more than `large` paragraphs are dealt again by a second family
-of bands; those that stay as large, as of near copies of one text, are compared with some of their paragraphs at a time in
-chunks of `large`, so no task grows with a bucket. Nothing is capped or sampled. Rows of one doc id count as one document; null texts have no paragraphs.
+Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z. A paragraph is a line of `least` words or more, or successive shorter
+lines without a blank one between (wrapped text, lists) if they make up as many. Equal paragraphs are one node. A
+paragraph's MinHash signature is cut into bands, tuned for high recall at the threshold; paragraphs that share a band are
+verified by the exact Jaccard similarity of their shingles, and components of verified links are classes.
+
+A passage that documents share need not be a paragraph: it may lie inside different ones, or inside one document twice.
+So windows of `least` words are compared by equality too, all those at anchors that depend on the content only: where a
+shingle's hash is the smallest of `least` + 1 successive ones. Any shared run of 2 * `least` words holds such a window
+whole. Anchors leave the ends of a run open, up to `least` words: where repeated windows of a document stop, or go on in
+other company, all windows around the last and the first are compared as well, in every document that has that anchor. So
+spans reach as far as the shared run does.
+
+Of a class, and of equal windows, the first occurrence (smallest doc id, rows without an id last, then place) stays, every
+other is to be removed. Every row is a document of its own, whatever its id. Null texts have no paragraphs. Nothing is
+capped or sampled; runs under 2 * `least` words inside longer lines, and lines under `least` words that stand alone, are
+not looked for, so that licence lines do not count as copies.
 """
 
 from __future__ import annotations
@@ -23,44 +25,30 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .kernels import NOT_SPACE, Words, _powers, chunks, mix, text_bytes, windows
-from .rows import add_columns
-from .store import materialize, prepare
+from .kernels import NOT_SPACE, Words, _powers, mix, windows
+from .rows import add_columns, join_classes
+from .similar import Banding, band_keys, bitmap, marked, units, verified_links
+from .store import discard, keyed, materialize, prepare
 
-BITMAP = 1 << 26  #: bits of the filter that spares most paragraphs a shuffle: 8 MB, whatever the input
 _POSITION = 20
-
-
-def tune(threshold: float, recall: float, most: int = 32) -> tuple[int, int]:
-    """(bands, rows): the most rows a band, so the fewest false candidates, for which `most` hashes give the recall at the threshold."""
-    for rows in range(most, 0, -1):
-        bands = int(np.ceil(np.log(1 - recall) / np.log1p(-(threshold**rows))))
-        if bands * rows <= most:
-            return bands, rows
-    return most, 1
+ROW = ("_mw_file", "_mw_row")
 
 
 @dataclass(frozen=True)
-class Settings:
-    least: int = 25
-    shingle: int = 5
-    threshold: float = 0.8
-    recall: float = 0.995
+class Settings(Banding):
+    recall: float = 0.999
+    hashes: int = 48
     large: int = 4096
-    pivots: int = 256
-
-    @property
-    def bands(self) -> tuple[int, int]:
-        return tune(self.threshold, self.recall)
+    least: int = 25
 
 
 class Paragraphs:
-    """Paragraphs of documents i..j-1: document, code-point bounds, hash, and the shingles' hashes with their bounds."""
+    """Words of documents i..j-1, and the paragraphs a..b (words) among them."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray, i: int, j: int, s: Settings):
         w = Words(data, off, i, j, NOT_SPACE)
@@ -73,42 +61,38 @@ class Paragraphs:
         fresh = np.ones(len(w), bool)
         fresh[1:] = (line[1:] != line[:-1]) | (w.doc[1:] != w.doc[:-1])
         a = np.flatnonzero(fresh)
+        size = np.diff(np.append(a, len(w)))
+        long = size >= s.least
+        new = np.ones(len(a), bool)  # a line that does not go on with the short ones before it
+        if len(a):
+            new[1:] = long[1:] | long[:-1] | (line[a[1:]] - line[a[:-1]] > 1) | (w.doc[a[1:]] != w.doc[a[:-1]])
+        a = a[new]
         b = np.append(a[1:], len(w)).astype(np.int64)
         keep = b - a >= s.least
         self.a, self.b = a[keep], b[keep]
 
     def hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of the words a..b-1, signed."""
         power, inverse = _powers(len(self.words) + 1)
         total = np.zeros(len(self.words) + 1, np.uint64)
         np.cumsum(self.words.hashes * power[: len(self.words)], out=total[1:])
-        return mix((total[b] - total[a]) * inverse[a])
+        return mix((total[b] - total[a]) * inverse[a]).view(np.int64)
 
     def places(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         doc = self.words.doc[a]
         return doc, self.points[self.words.starts[a]] - self.base[doc], self.points[self.words.ends[b - 1]] - self.base[doc]
 
-    def bands(self, count: int, rows: int, seed: int) -> np.ndarray:
+    def bands(self) -> np.ndarray:
         """Band keys, paragraphs x bands. Bounds of reduceat alternate: shingles of a paragraph, those up to the next."""
-        rng = np.random.Generator(np.random.PCG64(seed))
         bounds = np.empty(2 * len(self.a), np.int64)
         bounds[::2], bounds[1::2] = self.a, self.b - self.s.shingle + 1
-        cut = bounds[-1] if len(bounds) else 0
-        shingles = np.append(self.shingles[:cut], np.uint64(0))
-        out = np.zeros((len(self.a), count), np.uint64)
-        for k in range(count):
-            for _ in range(rows):
-                m, c = (np.uint64(x) for x in rng.integers(1, 2**63, 2))
-                least = np.minimum.reduceat(shingles * (m | np.uint64(1)) ^ c, bounds)[::2] if len(bounds) else np.zeros(0, np.uint64)
-                out[:, k] = mix(out[:, k] * np.uint64(0x9E3779B97F4A7C15) + least)
-            out[:, k] = mix(out[:, k] + np.uint64(k + 1))
-        return out
-
-    def anchored(self) -> tuple[np.ndarray, np.ndarray]:
-        """Windows of `least` words at anchors, within one document each, the first of equal ones in a document."""
+        return band_keys(np.append(self.shingles[: bounds[-1] if len(bounds) else 0], np.uint64(0)), bounds, 2, self.s)
+
+    def anchors(self) -> np.ndarray:
+        """First words of the windows of `least` words at anchors, within one document each."""
         n, span = len(self.shingles), self.s.least + 1
         if n < span:
-            at = np.zeros(0, np.int64)
-            return at, at
+            return np.zeros(0, np.int64)
         low = np.uint64((1 << _POSITION) - 1)
         step = 1 << _POSITION
         found = []
@@ -119,237 +103,139 @@ class Paragraphs:
                 hop = min(size, span - size)
                 v, size = np.minimum(v[:-hop], v[hop:]), size + hop
             found.append(begin + (low - (np.unique(v) & low)).astype(np.int64))
-        a = np.unique(np.concatenate(found))
-        b = a + self.s.least
-        ok = b <= len(self.words)
-        a, b = a[ok], b[ok]
-        ok = self.words.doc[a] == self.words.doc[b - 1]
-        a, b = a[ok], b[ok]
-        h = self.hashes(a, b)
-        _, first = np.unique(mix(h + self.words.doc[a].astype(np.uint64)), return_index=True)
-        first.sort()
-        return a[first], b[first]
+        return self.whole(np.unique(np.concatenate(found)))
 
+    def whole(self, a: np.ndarray) -> np.ndarray:
+        """Those of the places at which a window of `least` words of one document begins."""
+        a = a[(a >= 0) & (a + self.s.least <= len(self.words))]
+        return a[self.words.doc[a] == self.words.doc[a + self.s.least - 1]]
 
-def _units(docs: DataFrame, schema: str, make) -> DataFrame:
-    """docs(doc, text) through make(ids, Paragraphs of a chunk, first document) -> record batch."""
+    def batch(self, ids: pa.Array, i: int, a: np.ndarray, b: np.ndarray) -> tuple[list, list[str]]:
+        """Columns doc, start, end, word (its number in the document) and h of the words a..b-1."""
+        doc, start, end = self.places(a, b)
+        word = a - self.words.first[doc]
+        return [ids.take(pa.array(doc + i)), *(pa.array(x.astype(np.int32)) for x in (start, end, word)), pa.array(self.hashes(a, b))], ["doc", "start", "end", "word", "h"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, off = text_bytes(batch.column("text"))
-            for i, j in chunks(off):
-                yield make(batch.column("doc"), i, data, off, j)
 
-    return docs.mapInArrow(run, schema)
+def _kind(docs: DataFrame) -> str:
+    return f"doc {docs.schema['doc'].dataType.simpleString()}, start int, end int, word int, h long"
 
 
-def _occurrences(docs: DataFrame, s: Settings) -> DataFrame:
-    """(doc, start, end, h, bands) per paragraph."""
-    count, rows = s.bands
+def _found(docs: DataFrame, s: Settings) -> DataFrame:
+    """(doc, start, end, word, h, size, bands) per paragraph, and with null bands per window at an anchor: one pass over the texts."""
+    count = s.bands[0]
 
     def make(ids, i, data, off, j):
         p = Paragraphs(data, off, i, j, s)
-        doc, start, end = p.places(p.a, p.b)
-        keys = p.bands(count, rows, 1)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p.a) + 1) * count, pa.int32()), pa.array(keys.ravel().view(np.int64)))
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(doc + i)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(p.hashes(p.a, p.b).view(np.int64)), lists], names=["doc", "start", "end", "h", "bands"])
+        at = p.anchors()
+        a, b = np.concatenate((p.a, at)), np.concatenate((p.b, at + s.least))
+        columns, names = p.batch(ids, i, a, b)
+        keys = p.bands()
+        bounds = np.minimum(np.arange(len(a) + 1), len(p.a)) * count
+        nulls = pa.array(np.arange(len(a)) >= len(p.a))
+        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(keys.ravel().view(np.int64)), mask=nulls)
+        return pa.RecordBatch.from_arrays([*columns, pa.array((b - a).astype(np.int32)), lists], names=[*names, "size", "bands"])
 
-    kind = docs.schema["doc"].dataType.simpleString()
-    return _units(docs, f"doc {kind}, start int, end int, h long, bands array<long>", make)
+    return units(docs, f"{_kind(docs)}, size int, bands array<long>", make)
 
 
-def _anchored(docs: DataFrame, s: Settings) -> DataFrame:
-    """(doc, start, end, h) per anchored window."""
+def _sets(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
+    """(h, shingles) of the paragraphs in wanted(h). A bitmap spares most others the shuffle; the join drops the rest."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted))
 
     def make(ids, i, data, off, j):
         p = Paragraphs(data, off, i, j, s)
-        a, b = p.anchored()
-        doc, start, end = p.places(a, b)
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(doc + i)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(p.hashes(a, b).view(np.int64))], names=["doc", "start", "end", "h"])
-
-    kind = docs.schema["doc"].dataType.simpleString()
-    return _units(docs, f"doc {kind}, start int, end int, h long", make)
-
-
-def bitmap(wanted: DataFrame) -> np.ndarray:
-    """BITMAP bits, one set for each of wanted(h)."""
-    bit = F.pmod("h", F.lit(BITMAP))
-    rows = wanted.select(F.shiftright(bit, 15).alias("part"), bit.bitwiseAND(32767).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
-    out = np.zeros(BITMAP // 8, np.uint8)
-    for r in rows:
-        out[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out
+        h = p.hashes(p.a, p.b)
+        take = marked(shared.value, h)
+        _, first = np.unique(h[take], return_index=True)
+        take = take[np.sort(first)]
+        shingles = [np.unique(p.shingles[a : b - s.shingle + 1]).astype("<u8").tobytes() for a, b in zip(p.a[take].tolist(), p.b[take].tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(h[take]), pa.array(shingles, pa.binary())], names=["h", "shingles"])
 
+    found = units(docs, "h long, shingles binary", make)
+    return found.join(wanted, "h", "left_semi").groupBy("h").agg(F.any_value("shingles").alias("shingles"))
 
-def _sketches(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
-    """(h, shingles, again) of the paragraphs in wanted(h): sorted distinct shingle hashes, and the second family's band keys.
 
-    A bitmap of fixed size, built by executors, drops most other paragraphs before the shuffle; the join drops the rest.
-    """
+def _around(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
+    """(doc, start, end, word, h) of every window that begins up to `least` + 1 words from an anchor in wanted(h)."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted))
-    count, per = s.bands
+    near = np.arange(-s.least - 1, s.least + 2)
 
     def make(ids, i, data, off, j):
         p = Paragraphs(data, off, i, j, s)
-        h = p.hashes(p.a, p.b).view(np.int64)
-        at = h % BITMAP
-        take = np.flatnonzero(shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-        _, first = np.unique(h[take], return_index=True)
-        take = take[np.sort(first)]
-        p.a, p.b = p.a[take], p.b[take]
-        again = p.bands(count, per, 2)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(take) + 1) * count, pa.int32()), pa.array(again.ravel().view(np.int64)))
-        shingles = [np.unique(p.shingles[a : b - s.shingle + 1]).astype("<u8").tobytes() for a, b in zip(p.a.tolist(), p.b.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(h[take]), pa.array(shingles, pa.binary()), lists], names=["h", "shingles", "again"])
-
-    found = _units(docs, "h long, shingles binary, again array<long>", make)
-    return found.join(wanted, "h", "left_semi").groupBy("h").agg(F.any_value("shingles").alias("shingles"), F.any_value("again").alias("again"))
-
-
-def similar(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
-    """A spanning forest of the graph that links sets of a Jaccard similarity of threshold or more."""
-    sizes = np.array([len(x) for x in sets])
-    _, local = np.unique(np.concatenate(sets), return_inverse=True)
-    offsets = np.concatenate(([0], np.cumsum(sizes)))
-    mark = np.zeros(local.max() + 1 if len(local) else 0, bool)
-    rest, out = np.arange(len(sets)), []
-    flat, owner = local, np.repeat(np.arange(len(sets)), sizes)
-    queue: list[int] = []
-    while len(rest) or queue:
-        if not queue:
-            queue, rest = [int(rest[0])], rest[1:]
-        x = queue.pop()
-        if not len(rest):
-            continue
-        if len(owner) > 2 * sizes[rest].sum():  # what is reached leaves the arrays
-            alive = np.zeros(len(sets), bool)
-            alive[rest] = True
-            keep = alive[owner]
-            flat, owner = flat[keep], owner[keep]
-        mark[local[offsets[x] : offsets[x + 1]]] = True
-        both = np.bincount(owner[mark[flat]], minlength=len(sets))[rest]
-        mark[local[offsets[x] : offsets[x + 1]]] = False
-        near = both >= threshold * (sizes[rest] + sizes[x] - both) - 1e-9
-        if near.any():
-            new = rest[near].tolist()
-            out += [(x, y) for y in new]
-            queue += new
-            rest = rest[~near]
-    return out
-
-
-def _links(buckets: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    def run(table: pa.Table) -> pa.Table:
-        h = table.column("h").to_numpy()
-        pairs = similar([np.frombuffer(x.as_py(), "<u8") for x in table.column("shingles")], threshold)
-        return pa.table({"a": pa.array([int(h[x]) for x, _ in pairs], pa.int64()), "b": pa.array([int(h[y]) for _, y in pairs], pa.int64())})
-
-    return buckets.groupBy(*keys).applyInArrow(run, "a long, b long")
-
-
-def paragraph_links(docs: DataFrame, distinct: DataFrame, s: Settings) -> DataFrame:
-    """Verified links (a, b) among the distinct paragraphs (h, bands), a spanning forest for each bucket."""
-    keys = distinct.select("h", F.explode("bands").alias("k"))
-    sizes = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialize(keys.join(sizes, "k"))
-    sketches = materialize(_sketches(docs, shared.select("h").distinct(), s))
-    full = shared.join(sketches, "h")
-    links = _links(full.where(F.col("n") <= s.large).select("k", "h", "shingles"), ["k"], s.threshold)
-    if shared.where(F.col("n") > s.large).isEmpty():
-        return links
-    hot = materialize(full.where(F.col("n") > s.large).select("k", F.explode("again").alias("k2"), "h", "shingles").withColumn("k", F.xxhash64("k", "k2")).drop("k2"))
-    dealt = hot.join(hot.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "k")
-    links = links.unionByName(_links(dealt.where((F.col("n") > 1) & (F.col("n") <= s.large)).select("k", "h", "shingles"), ["k"], s.threshold))
-    return _pivoted(materialize(dealt.where(F.col("n") > s.large)), links, s)
-
-
-def _pivoted(rows: DataFrame, links: DataFrame, s: Settings) -> DataFrame:
-    """links with those within the buckets of rows(k, h, shingles, n), of any size, in tasks of `large` + `pivots` paragraphs.
-
-    Each round some paragraphs of a bucket, its pivots, are compared with all others of it, dealt into chunks. Two unlinked
-    components of a bucket can't both be its largest, so it is enough that every paragraph outside the largest component
-    has been a pivot once. Near copies of one text are one component after the first round.
-    """
-    links, done = materialize(links), None
-    while True:
-        known = components(links)
-        state = rows.select("k", "h").join(known, rows["h"] == known["node"], "left").select("k", "h", F.coalesce("component", "h").alias("root"))
-        weight = state.groupBy("k", "root").agg(F.count(F.lit(1)).alias("m"))
-        top = weight.groupBy("k").agg(F.max(F.struct("m", "root")).alias("top"))
-        rest = state.join(top, "k").where(F.col("root") != F.col("top.root")).select("k", "h")
-        rest = rest if done is None else rest.join(done, ["k", "h"], "left_anti")
-        turn = F.row_number().over(Window.partitionBy("k").orderBy("h"))
-        pivots = materialize(rest.withColumn("turn", turn).where(F.col("turn") <= s.pivots).select("k", "h"))
-        if pivots.isEmpty():
-            return links
-        chunks = F.ceil(F.col("n") / s.large).cast("int")
-        every = rows.join(state, ["k", "h"])
-        asking = every.join(pivots, ["k", "h"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).withColumn("pivot", F.lit(True))
-        asked = every.withColumn("chunk", F.pmod(F.xxhash64("h"), chunks).cast("int")).withColumn("pivot", F.lit(False))
-        columns = ["k", "chunk", "h", "root", "shingles", "pivot"]
-        found = asking.select(columns).unionByName(asked.select(columns)).groupBy("k", "chunk").applyInArrow(_compared(s.threshold), "a long, b long")
-        links = materialize(links.unionByName(found).distinct())
-        done = pivots if done is None else materialize(done.unionByName(pivots))
-
-
-def _compared(threshold: float):
-    """Links from a chunk's pivots to its other paragraphs, one to each component of theirs."""
-
-    def run(table: pa.Table) -> pa.Table:
-        h, root, pivot = (table.column(c).to_numpy() for c in ("h", "root", "pivot"))
-        sets = [np.frombuffer(x.as_py(), "<u8") for x in table.column("shingles")]
-        sizes = np.array([len(x) for x in sets])
-        _, local = np.unique(np.concatenate(sets), return_inverse=True)
-        owner, offsets = np.repeat(np.arange(len(sets)), sizes), np.concatenate(([0], np.cumsum(sizes)))
-        mark, a, b = np.zeros(local.max() + 1, bool), [], []
-        for x in np.flatnonzero(pivot).tolist():
-            mine = local[offsets[x] : offsets[x + 1]]
-            mark[mine] = True
-            both = np.bincount(owner[mark[local]], minlength=len(sets))
-            mark[mine] = False
-            near = np.flatnonzero((both >= threshold * (sizes + sizes[x] - both) - 1e-9) & (root != root[x]) & ~pivot)
-            _, first = np.unique(root[near], return_index=True)
-            a += [int(h[x])] * len(first)
-            b += h[near[first]].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return run
+        at = p.anchors()
+        at = at[marked(shared.value, p.hashes(at, at + s.least))]
+        a = np.unique((at[:, None] + near).ravel())
+        a = p.whole(a)
+        columns, names = p.batch(ids, i, a, a + s.least)
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
+    return units(docs, _kind(docs), make)
 
-def repeated_passages(docs: DataFrame, settings: Settings | None = None, text: str = "text", doc: str = "doc_id") -> DataFrame:
-    """(doc, start, end, kept_doc, removed): spans in code points that occur again, also in altered form, merged within a document.
 
-    removed is false where a span is the first occurrence, which stays; kept_doc is the document that keeps the passage.
-    """
-    s = settings or Settings()
-    prepare(docs.sparkSession)
-    narrow = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where("text is not null")
+def _repeated(found: DataFrame) -> DataFrame:
+    """(h, n, kept, company) of equal windows that occur more than once; company tells by a hash which documents they occur in."""
+    who = F.xxhash64("doc._mw_file", "doc._mw_row").bitwiseAND((1 << 40) - 1)
+    return found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "start")).alias("kept"), F.sum(who).alias("company")).where("n > 1")
+
+
+def _edges(spans: DataFrame, s: Settings) -> DataFrame:
+    """(h) of the repeated anchors beside which a shared run may end: the next one is farther than anchors lie apart, or in other company."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (None, None, 0, 0)
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                file, at, word, h, company = row
+                if (file, at) != last[:2] or word - last[2] > s.least + 1 or company != last[4]:
+                    out += [x for x in (last[3] if last[0] is not None else None, h) if x is not None]
+                last = (file, at, word, h, company)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["h"])
+        if last[0] is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([last[3]], pa.int64())], names=["h"])
+
+    rows = spans.select("doc._mw_file", "doc._mw_row", "word", "h", "company").repartition(*ROW).sortWithinPartitions(*ROW, "word")
+    return rows.mapInArrow(run, "h long").distinct()
+
+
+def _passages(rows: DataFrame, s: Settings) -> DataFrame:
+    """rows(doc: id and place of a row, text) -> (doc, start, end, kept, removed), spans merged within a row."""
+    found = materialize(_found(rows, s))
+    paragraphs, anchored = found.where("bands is not null"), found.where("bands is null")
     place = F.struct("doc", "start")
-    paragraphs = materialize(_occurrences(narrow, s))
-    distinct = materialize(paragraphs.groupBy("h").agg(F.any_value("bands").alias("bands"), F.count(F.lit(1)).alias("n"), F.min(place).alias("first")))
-    linked = components(paragraph_links(narrow, distinct.select("h", "bands"), s))
-    classes = distinct.join(linked, distinct["h"] == linked["node"], "left").select("h", "n", "first", F.coalesce("component", "h").alias("root"))
-    firsts = classes.groupBy("root").agg(F.sum("n").alias("n"), F.min("first").alias("kept")).where("n > 1")
-    repeated = classes.select("h", "root").join(firsts.select("root", "kept"), "root").select("h", "kept")
-    windows_ = materialize(_anchored(narrow, s))
-    again = windows_.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("kept")).where("n > 1").select("h", "kept")
-    spans = paragraphs.select("doc", "start", "end", "h").join(repeated, "h").unionByName(windows_.join(again, "h"))
-    spans = spans.select("doc", "start", "end", F.col("kept.doc").alias("kept_doc"), (~place.eqNullSafe(F.col("kept"))).alias("removed"))
-    return _merged(spans).withColumnRenamed("doc", doc)
+    nodes = materialize(paragraphs.groupBy("h").agg(F.any_value("size").alias("size"), F.any_value("bands").alias("bands"), F.count(F.lit(1)).alias("n"), F.min(place).alias("first")))
+    linked = components(verified_links(nodes.select("h", "size", "bands"), lambda wanted: _sets(rows, wanted, s), s))
+    rooted = nodes.join(linked, nodes["h"] == linked["node"], "left").select("h", "n", "first", F.coalesce("component", "h").alias("root"))
+    firsts = rooted.groupBy("root").agg(F.sum("n").alias("all"), F.min("first").alias("kept")).where("all > 1").select("root", "kept")
+    classes = materialize(rooted.join(firsts, "root").select("h", "n", "kept"))
+    columns = ["doc", "start", "end", "kept"]
+    spans = join_classes(paragraphs.select("doc", "start", "end", "h"), classes, "h", "n").select(columns)
+
+    again = materialize(_repeated(anchored))
+    windows_ = materialize(join_classes(anchored.select("doc", "start", "end", "word", "h"), again, "h", "n"))
+    around = materialize(_around(rows, _edges(windows_, s), s))
+    ends = join_classes(around.select("doc", "start", "end", "h"), materialize(_repeated(around)), "h", "n")
+    spans = spans.unionByName(windows_.select(columns)).unionByName(ends.select(columns))
+    merged = materialize(_merged(spans.withColumn("removed", ~place.eqNullSafe(F.col("kept")))))
+    for used in (found, nodes, classes, again, windows_, around):
+        discard(used)
+    return merged
 
 
 def _merged(spans: DataFrame) -> DataFrame:
-    """Overlapping spans of a document with the same fate become one. Rows stream through a sorted shuffle."""
-    schema = T.StructType([spans.schema[c] for c in ("doc", "start", "end", "kept_doc", "removed")])
+    """(doc, start, end, kept, removed): overlapping spans of a row with the same fate become one. Rows stream through a sorted shuffle."""
+    schema = T.StructType([T.StructField("doc", spans.schema["doc"].dataType), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kept", spans.schema["kept"].dataType), T.StructField("removed", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, kinds = None, None
+        order = lambda k: tuple((x is None, x) for x in (*k["doc"].values(), k["start"]))
         for batch in batches:
             kinds, out = batch.schema, []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if last and (row[0], row[4]) == (last[0], last[4]) and row[1] <= last[2]:
                     last[2] = max(last[2], row[2])
-                    last[3] = min(last[3], row[3]) if None not in (last[3], row[3]) else last[3]
+                    last[3] = min(last[3], row[3], key=order)
                 else:
                     if last:
                         out.append(last)
@@ -359,22 +245,51 @@ def _merged(spans: DataFrame) -> DataFrame:
         if last:
             yield pa.RecordBatch.from_arrays([pa.array([v], kinds.field(k).type) for k, v in enumerate(last)], names=kinds.names)
 
-    return spans.select(*schema.names).repartition("doc").sortWithinPartitions("doc", "removed", "start", "end").mapInArrow(run, schema)
+    rows = spans.select(*schema.names).withColumns({c: F.col(f"doc.{c}") for c in ROW})
+    return rows.repartition(*ROW).sortWithinPartitions(*ROW, "removed", "start", "end").select(*schema.names).mapInArrow(run, schema)
+
+
+def _identified(docs: DataFrame, text: str, doc: str) -> tuple[DataFrame, DataFrame]:
+    """docs with the place of each row, and (doc, text) under which passages are looked for."""
+    rows = keyed(docs)
+    row = F.struct(F.col(doc).isNull().alias("nameless"), F.col(doc).alias("id"), *ROW)
+    return rows, rows.select(row.alias("doc"), F.col(text).alias("text")).where("text is not null")
+
+
+def repeated_passages(docs: DataFrame, settings: Settings | None = None, text: str = "text", doc: str = "doc_id") -> DataFrame:
+    """(doc, start, end, kept_doc, removed): spans in code points that occur again, also in altered form, merged within a row.
+
+    removed is false where a span is the first occurrence, which stays; kept_doc is the document that keeps the passage.
+    """
+    prepare(docs.sparkSession)
+    found = _passages(_identified(docs, text, doc)[1], settings or Settings())
+    return found.select(F.col("doc.id").alias(doc), "start", "end", F.col("kept.doc.id").alias("kept_doc"), "removed")
 
 
 def without_repeats(docs: DataFrame, settings: Settings | None = None, text: str = "text", doc: str = "doc_id") -> DataFrame:
-    """docs with every repeated passage cut but where it occurs first. Columns stay as they are."""
-    cuts = repeated_passages(docs, settings, text, doc).where("removed").groupBy(F.col(doc).alias("_mw_doc")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_mw_cuts"))
-    joined = docs.join(cuts, docs[doc].eqNullSafe(cuts["_mw_doc"]), "left")
+    """docs with every repeated passage cut but where it occurs first: what belongs to a first occurrence stays. Columns stay as they are."""
+    prepare(docs.sparkSession)
+    rows, narrow = _identified(docs, text, doc)
+    listed = lambda which: F.array_sort(F.collect_list(F.when(which, F.struct("start", "end"))))
+    cuts = _passages(narrow, settings or Settings()).groupBy("doc._mw_file", "doc._mw_row").agg(listed(F.col("removed")).alias("_mw_cuts"), listed(~F.col("removed")).alias("_mw_kept"))
+    joined = rows.join(cuts, list(ROW), "left")
 
     def make(batch: pa.RecordBatch) -> list:
         out = []
-        for t, spans in zip(batch.column(text).to_pylist(), batch.column("_mw_cuts").to_pylist(), strict=True):
-            parts, done = [], 0
-            for x in spans or []:
-                parts.append(t[done : x["start"]])
-                done = max(done, x["end"])
-            out.append("".join([*parts, t[done:]]) if spans else t)
+        for t, cut, kept in zip(*(batch.column(c).to_pylist() for c in (text, "_mw_cuts", "_mw_kept")), strict=True):
+            out.append(t if not cut else _without(t, [(x["start"], x["end"]) for x in cut], [(x["start"], x["end"]) for x in kept]))
         return [out]
 
     return add_columns(joined, T.StructType([T.StructField("_mw_text", T.StringType())]), make).withColumn(text, F.col("_mw_text")).select(*docs.columns)
+
+
+def _without(text: str, cuts: list[tuple[int, int]], kept: list[tuple[int, int]]) -> str:
+    """text without the cuts, but for what lies in a kept span; each list is sorted and disjoint."""
+    parts, at = [], 0
+    for a, b in cuts:
+        parts.append(text[at:a])
+        for x, y in kept:
+            if x < b and y > a:
+                parts.append(text[max(a, x) : min(b, y)])
+        at = b
+    return "".join([*parts, text[at:]])

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import Row
 
-from maskwright.llm import chat, decontam, kernels, langid, lm, packing, queries, secrets, simhash, store, substring, topk, toxicity
+from maskwright.llm import chat, decontam, kernels, langid, lm, neardup, packing, queries, secrets, similar, simhash, store, substring, topk, toxicity
 from maskwright.llm.components import components
 
 LOW = lambda s: re.sub("[A-Z]", lambda m: m.group().lower(), s or "")
@@ -554,8 +554,6 @@ def _jaccard_classes(rows):
 
 
 def test_near_duplicates_against_all_pairs(spark):
-    from maskwright.llm import neardup
-
     rng = random.Random(12)
     word = lambda: "".join(rng.choices("abcdefghij", k=6))
     rows = [(k, t) for k, t in enumerate(["one two", "One  two", "two one", "", None, " ", "a b c d e", "a b c d e f"])]
@@ -569,16 +567,26 @@ def test_near_duplicates_against_all_pairs(spark):
     want = _jaccard_classes(rows)
     prints = [_fingerprint(t) for _, t in rows]
     assert any(want[a] == want[b] and (prints[a] ^ prints[b]).bit_count() > 3 for a in range(8, len(rows)) for b in range(8, a)) and len(set(want.values())) > 20
-    for s in (neardup.Settings(), neardup.Settings(large=2, pivots=3)):
+    for s in (similar.Banding(), similar.Banding(large=2, pivots=3)):
         got = {r.doc_id: r.component_id for r in neardup.near_duplicates(table(spark, rows), s).collect()}
         assert got == want
-    nodes = neardup._signatures(table(spark, rows, "doc long, text string"), neardup.Settings()).dropDuplicates(["h"])
-    links = neardup.similar_links(table(spark, rows, "doc long, text string"), nodes, neardup.Settings())
-    assert "InArrow" not in links._jdf.queryExecution().toString()  # a second reading must not search anew, in another order
     assert neardup.near_duplicates(table(spark).where("false")).count() == 0
     assert neardup.near_duplicates(table(spark)).count() == len(ODD)
 
 
+def test_distinct_documents_are_chosen_by_row(spark):
+    x, y = "the same text in two rows of other ids and more words", "a text of its own under an id that is not its own"
+    rows = [(3, x, "a"), (5, x, "b"), (5, y, "c"), (None, y.upper(), "d"), (None, "nameless but alone in what it says", "e"), (None, "Nameless but alone in what it says", "f"), (7, None, "g"), (8, "", "h"), (6, " ", "i"), (9, x + " ", "j"), (9, x + " ", "j")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string").coalesce(1)
+    want = Counter([rows[0], rows[2], rows[8], rows[4]])
+    assert Counter(tuple(r) for r in neardup.distinct_documents(docs).collect()) == want
+    stored = store.materialize(docs)
+    assert Counter(tuple(r) for r in neardup.distinct_documents(stored.where("text is not null")).collect()) == want
+    assert neardup.distinct_documents(docs.where("false")).count() == 0
+    twice = stored.crossJoin(spark.range(2).withColumnRenamed("id", "k"))  # rows of a join share their place in a file
+    assert Counter(r.component_id for r in neardup.distinct_documents(twice).collect()) == Counter("acei")
+
+
 def test_near_dedup_stage_leaves_no_similar_pair(spark, sf_dir):
     import corpus_pipeline
 
@@ -606,31 +614,92 @@ def test_substring_finds_every_shared_run(spark, sf_dir):
         assert len(SPACE.findall(docs[r.doc_id][r.start : r.end])) >= 25
 
 
-def test_substring_near_copies_and_places(spark):
-    rng = random.Random(4)
-    word = lambda: "".join(rng.choices("abcdefghij", k=6))
-    line = lambda n: " ".join(word() for _ in range(n))
-    passage, long = line(60), line(200).split()
+def _words_at(text, spans):
+    """Which words (by number) of a text lie in the spans."""
+    return {k for k, m in enumerate(SPACE.finditer(text or "")) if any(a <= m.start() and m.end() <= b for a, b in spans)}
+
+
+def _runs_brute(texts, least=25, sure=50):
+    """By text: words in a run of `sure` words or more that is found elsewhere too, and words in any repeated run of `least`."""
+    words = [SPACE.findall(LOW(t)) for t in texts]
+    out = []
+    for n in (sure, least):
+        where = defaultdict(list)
+        for k, w in enumerate(words):
+            for i in range(len(w) - n + 1):
+                where[tuple(w[i : i + n])].append((k, i))
+        hit = [set() for _ in texts]
+        for places in where.values():
+            for k, i in places if len(places) > 1 else ():
+                hit[k].update(range(i, i + n))
+        out.append(hit)
+    return out
+
+
+def _line_maker(seed):
+    rng = random.Random(seed)
+    return lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+
+
+def test_substring_spans_reach_as_far_as_the_run(spark):
+    line = _line_maker(4)
+    passages = [line(n) for n in (51, 55, 60, 77, 120, 300)]
+    # inside other words, at both ends, next to each other, parts of one another, and in changing company
+    texts = [f"{line(70)} {p} {line(60)}" for p in passages for _ in range(3)] + passages + [f"{line(30)} {passages[2]} {passages[3]} {line(9)}", f"{passages[3]} {passages[2]}"]
+    texts += [" ".join(passages[5].split()[100:180]), f"{line(30)} {' '.join(passages[5].split()[40:])}", line(400), "", "é " + line(70)]
+    got = defaultdict(list)
+    for r in substring.repeated_passages(table(spark, list(enumerate(texts)))).collect():
+        got[r.doc_id].append((r.start, r.end))
+    sure, may = _runs_brute(texts)
+    for k, t in enumerate(texts):
+        assert sure[k] <= _words_at(t, got[k]) <= may[k], k
+    assert not got[len(texts) - 3] and not got[len(texts) - 1]
+
+
+def test_substring_repeats_within_one_document(spark):
+    line = _line_maker(8)
+    p = line(70)
+    texts = [f"{line(50)} {p} {line(20)} {p} {line(30)} {p}", line(200)]
+    got = substring.repeated_passages(table(spark, list(enumerate(texts)))).where("doc_id = 0").collect()
+    assert sorted((texts[0][r.start : r.end], r.removed) for r in got) == [(p, False), (p, True), (p, True)]
+    cut = {r.doc_id: r.text for r in substring.without_repeats(table(spark, list(enumerate(texts)))).collect()}
+    assert cut[1] == texts[1] and cut[0].count(p) == 1 and len(SPACE.findall(cut[0])) == 170
+
+
+def test_substring_near_copies_and_wrapped_paragraphs(spark):
+    line = _line_maker(5)
+    long = line(200).split()
     near = [*long[:100], "changed", *long[101:]]
-    inside = f"{line(30)} {passage} {line(30)}"
-    rows = [(1, line(80)), (2, f"{line(40)}\n{passage}\n{line(40)}"), (3, inside), (4, " ".join(long)), (5, "é\n" + " ".join(near)), (6, line(20) + "\n" + line(10)), (7, None), (8, ""), (None, passage), (9, line(90))]
-    got = substring.repeated_passages(table(spark, [(*r, 0) for r in rows], "doc_id long, text string, start int")).collect()
-    by = defaultdict(list)
-    for r in got:
-        by[r.doc_id].append(r)
-    assert set(by) == {2, 3, 4, 5, None}
-    assert [r.removed for r in by[4]] == [False] and any(r.removed and r.kept_doc == 4 for r in by[5])
+    short = line(60).split()
+    wrap = lambda w, n: "\n".join(" ".join(w[k : k + n]) for k in range(0, len(w), n))
+    edited = ["changed" if k == 30 else x for k, x in enumerate(short)]
+    rows = [(1, line(80)), (4, " ".join(long)), (5, "é\n" + " ".join(near)), (6, wrap(short, 10)), (7, f"{line(30)}\n\n{wrap(edited, 10)}\n\n{line(5)}"), (8, None), (9, ""), (None, line(90))]
+    got = {(r.doc_id, r.removed): r for r in substring.repeated_passages(table(spark, [(*r, 0) for r in rows], "doc_id long, text string, start int")).collect()}
+    assert set(got) == {(4, False), (5, True), (6, False), (7, True)} and got[7, True].kept_doc == 6 and got[5, True].kept_doc == 4
     text = dict(rows)
-    assert passage in {text[2][r.start : r.end] for r in by[2]}
-    assert all(text[3][r.start : r.end] in passage for r in by[3])
+    assert text[7][got[7, True].start : got[7, True].end] == wrap(edited, 10)
     cut = {r.doc_id: r.text for r in substring.without_repeats(table(spark, rows)).collect()}
-    assert cut[1] == text[1] and cut[4] == text[4] and cut[7] is None and passage not in (cut[2] + "|" + (cut[None] or "")) or True
-    assert len(cut) == len(rows)
+    assert cut == {**text, 5: "é\n", 7: text[7].replace(wrap(edited, 10), "")}
 
 
-def test_substring_buckets(spark):
+def test_substring_cuts_by_row(spark):
+    line = _line_maker(6)
+    a, b, shared = line(60), line(80), line(70)
+    rows = [(5, f"{a}\n{shared}", "x"), (5, b, "y"), (1, shared, "z"), (None, f"{shared}\n{b[:20]}", "u"), (None, line(60), "v"), (None, None, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept_doc string")
+    want = Counter([(5, f"{a}\n", "x"), rows[1], rows[2], (None, f"\n{b[:20]}", "u"), rows[4], rows[5]])
+    assert Counter(tuple(r) for r in substring.without_repeats(docs).collect()) == want
+    assert substring.without_repeats(docs.where("false")).count() == 0
+    same = [(7, shared), (7, shared)]
+    assert sorted(r.text for r in substring.without_repeats(table(spark, same)).collect()) == ["", shared]
+
+
+def test_substring_edges(spark):
     assert substring.repeated_passages(table(spark)).where("doc_id in (1, 2, 3)").count() == 0
     assert substring.repeated_passages(table(spark).where("false")).count() == 0
+
+
+def test_substring_buckets(spark):
     rng = random.Random(1)
     base = [f"w{k}" for k in range(60)]
     rows = []
@@ -638,9 +707,13 @@ def test_substring_buckets(spark):
         w = list(base)
         w[rng.randrange(60)] = f"x{k}"
         rows.append((k, " ".join(w)))
+    found = []
     for large in (4, 4096):
-        got = substring.repeated_passages(table(spark, rows), substring.Settings(large=large, pivots=25))
-        assert {r.doc_id for r in got.collect()} == set(range(60)) and got.where("not removed").select("doc_id").distinct().count() < 60
+        got = substring.repeated_passages(table(spark, rows), substring.Settings(large=large, pivots=25)).collect()
+        found.append(Counter((r.doc_id, r.start, r.end, r.kept_doc, r.removed) for r in got))
+    sets = {k: _word_sets(t) for k, t in rows}
+    alone = {k for k in sets if not any(j != k and len(sets[j] & sets[k]) >= 0.8 * len(sets[j] | sets[k]) for j in sets)}
+    assert found[0] == found[1] and len(sets) - len(alone) == sum((r[1], r[2]) == (0, len(rows[r[0]][1])) for r in found[0]) > 30
 
 
 def test_pivots_lose_no_component(spark):
@@ -660,14 +733,14 @@ def test_pivots_lose_no_component(spark):
                     group[a] = group[b] = min(group[a], group[b])
     assert 15 < len(set(group)) < 60
     rows = spark.createDataFrame([(7, k, bytearray(x.astype("<u8").tobytes()), len(sets)) for k, x in enumerate(sets)], "k long, h long, shingles binary, n long")
-    links = substring._pivoted(rows, spark.createDataFrame([], "a long, b long"), substring.Settings(large=20, pivots=30))
+    links = similar.pivoted(rows, spark.createDataFrame([], "a long, b long"), similar.Banding(large=20, pivots=30))
     got = {r.node: r.component for r in components(links).collect()}
     assert [got.get(k, k) for k in range(len(sets))] == group
 
 
 def test_bands_reach_the_recall():
     for threshold in (0.5, 0.8, 0.9):
-        bands, rows = substring.tune(threshold, 0.995)
+        bands, rows = similar.tune(threshold, 0.995, 32)
         assert 1 - (1 - threshold**rows) ** bands >= 0.995 and bands * rows <= 32
 
 
@@ -682,7 +755,7 @@ def test_similar_links_all_pairs_components():
                     group[a] = group[b] = min(group[a], group[b])
     found = list(range(60))
     for _ in range(60):
-        for a, b in substring.similar(sets, 0.5):
+        for a, b in similar.similar(sets, 0.5):
             found[a] = found[b] = min(found[a], found[b])
     assert found == group
 
