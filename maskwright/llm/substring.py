@@ -36,13 +36,14 @@ from .similar import Banding, band_keys, bitmap, marked, units, verified_links
 from .store import discard, keyed, materialize, prepare
 
 _POSITION = 20
+_LEFT = 0x5A4D3C2B1A09F8E7  #: turns a hash that is looked for on its left side
 ROW = ("_mw_file", "_mw_row")
 
 
 @dataclass(frozen=True)
 class Settings(Banding):
-    recall: float = 0.999
-    hashes: int = 48
+    recall: float = 0.995
+    hashes: int = 32
     large: int = 4096
     least: int = 25
 
@@ -156,23 +157,35 @@ def _sets(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
     return found.join(wanted, "h", "left_semi").groupBy("h").agg(F.any_value("shingles").alias("shingles"))
 
 
-def _around(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
-    """(doc, start, end, word, h) of every window that begins up to `least` + 1 words from an anchor in wanted(h)."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted))
-    near = np.arange(-s.least - 1, s.least + 2)
+def _around(docs: DataFrame, edges: DataFrame, s: Settings) -> DataFrame:
+    """(doc, start, end, word, h) of every window that begins up to `least` + 1 words after an anchor in edges(h), or before one in edges(h turned by _LEFT)."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(edges))
+    steps = np.arange(1, s.least + 2)
 
     def make(ids, i, data, off, j):
         p = Paragraphs(data, off, i, j, s)
         at = p.anchors()
-        at = at[marked(shared.value, p.hashes(at, at + s.least))]
-        a = np.unique((at[:, None] + near).ravel())
-        a = p.whole(a)
+        h = p.hashes(at, at + s.least)
+        after, before = at[marked(shared.value, h)], at[marked(shared.value, h ^ _LEFT)]
+        a = p.whole(np.unique(np.concatenate(((after[:, None] + steps).ravel(), (before[:, None] - steps).ravel()))))
         columns, names = p.batch(ids, i, a, a + s.least)
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     return units(docs, _kind(docs), make)
 
 
+def _again(found: DataFrame) -> DataFrame:
+    """Rows of found(.., h) whose h occurs more than once, and a few others. Only hashes and counts are dealt for it."""
+    twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    shared = found.sparkSession.sparkContext.broadcast(bitmap(twice))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.take(pa.array(marked(shared.value, batch.column("h").to_numpy())))
+
+    return found.mapInArrow(run, found.schema)
+
+
 def _repeated(found: DataFrame) -> DataFrame:
     """(h, n, kept, company) of equal windows that occur more than once; company tells by a hash which documents they occur in."""
     who = F.xxhash64("doc._mw_file", "doc._mw_row").bitwiseAND((1 << 40) - 1)
@@ -180,17 +193,20 @@ def _repeated(found: DataFrame) -> DataFrame:
 
 
 def _edges(spans: DataFrame, s: Settings) -> DataFrame:
-    """(h) of the repeated anchors beside which a shared run may end: the next one is farther than anchors lie apart, or in other company."""
+    """(h) of the repeated anchors after which a shared run may end, and turned by _LEFT of those before which one may begin.
+
+    It may where the next window does not follow on this one, or is in other company.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None, 0, 0)
+        last: tuple = (None, None, 0, 0, 0)
         for batch in batches:
             out = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 file, at, word, h, company = row
-                if (file, at) != last[:2] or word - last[2] > s.least + 1 or company != last[4]:
-                    out += [x for x in (last[3] if last[0] is not None else None, h) if x is not None]
-                last = (file, at, word, h, company)
+                if (file, at) != last[:2] or word - last[2] > s.least or company != last[4]:
+                    out += ([last[3]] if last[0] is not None else []) + [h ^ _LEFT]
+                last = row
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["h"])
         if last[0] is not None:
             yield pa.RecordBatch.from_arrays([pa.array([last[3]], pa.int64())], names=["h"])
@@ -212,13 +228,20 @@ def _passages(rows: DataFrame, s: Settings) -> DataFrame:
     columns = ["doc", "start", "end", "kept"]
     spans = join_classes(paragraphs.select("doc", "start", "end", "h"), classes, "h", "n").select(columns)
 
-    again = materialize(_repeated(anchored))
-    windows_ = materialize(join_classes(anchored.select("doc", "start", "end", "word", "h"), again, "h", "n"))
+    def repeats(found: DataFrame) -> DataFrame:
+        some = materialize(_again(found))
+        classes = materialize(_repeated(some))
+        out = materialize(join_classes(some, classes, "h", "n"))
+        for used in (some, classes):
+            discard(used)
+        return out
+
+    windows_ = repeats(anchored.select("doc", "start", "end", "word", "h"))
     around = materialize(_around(rows, _edges(windows_, s), s))
-    ends = join_classes(around.select("doc", "start", "end", "h"), materialize(_repeated(around)), "h", "n")
+    ends = repeats(around.select("doc", "start", "end", "h"))
     spans = spans.unionByName(windows_.select(columns)).unionByName(ends.select(columns))
     merged = materialize(_merged(spans.withColumn("removed", ~place.eqNullSafe(F.col("kept")))))
-    for used in (found, nodes, classes, again, windows_, around):
+    for used in (found, nodes, classes, windows_, around, ends):
         discard(used)
     return merged
 
