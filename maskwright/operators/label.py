@@ -1,10 +1,15 @@
-"""Numbering, roles, placeholders, substitution and restoring. Placeholders are numbered within a document."""
+"""Numbering, roles, placeholders, substitution and restoring. Placeholders are numbered within a document.
+
+Where spans come with `text_key`, a hash of the text they were found in (as Engine.detect gives them), a document is an id
+and a text: rows that share an id, or have none, each keep their own spans. Without it a document is its id.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.spans import blocks, let
 from ..functions.text import clean_tag, stripped
 from ..shipping import sound_unions
 from .resolve import REVIEW_BELOW
@@ -12,36 +17,57 @@ from .resolve import REVIEW_BELOW
 MODES = ("numbered", "numbered_role", "role_only")
 #: fixed values: a placeholder right before a capitalised word
 RESIDUE = r"(\[[A-Z0-9_ÄÖÜ]+\])\s+([A-ZÄÖÜ][a-zäöüßA-ZÄÖÜ\-]{2,})"
+KEY = "text_key"
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _keys(spans: DataFrame, doc: str) -> list[str]:
+    return [doc, KEY] if KEY in spans.columns else [doc]
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right on keys, nulls being equal; right's keys go."""
+    named = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = [left[k].eqNullSafe(named[f"_r_{k}"]) for k in keys]
+    return left.join(named, on, how).drop(*(f"_r_{k}" for k in keys))
 
 
 def terms(spans: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, entity_type, norm_term, first_start, n, min_score, max_score): the distinct terms of each document."""
-    return spans.groupBy(doc, "entity_type", F.lower(stripped(F.col("value"))).alias("norm_term")).agg(F.min("start").alias("first_start"), F.count(F.lit(1)).alias("n"), F.min("score").alias("min_score"), F.max("score").alias("max_score"))
+    norm = F.lower(stripped(F.col("value"))).alias("norm_term")
+    summary = [F.min("start").alias("first_start"), F.count(F.lit(1)).alias("n"), F.min("score").alias("min_score"), F.max("score").alias("max_score")]
+    return spans.groupBy(*_keys(spans, doc), "entity_type", norm).agg(*summary)
 
 
 def numbered(found: DataFrame, links: DataFrame | None = None, doc: str = "doc_id") -> DataFrame:
     """terms with entity_id: by type in order of first appearance. Linked terms share their parent's number and come after all others."""
+    keys = [*_keys(found, doc), "entity_type"]
     if links is None:
-        order = Window.partitionBy(doc, "entity_type").orderBy("first_start", "norm_term")
-        return found.withColumn("entity_id", F.row_number().over(order)).withColumn("surface_tag", F.lit(None).cast("string")).withColumn("parent_term", F.lit(None).cast("string"))
+        order = Window.partitionBy(*keys).orderBy("first_start", "norm_term")
+        none = F.lit(None).cast("string")
+        return found.withColumn("entity_id", F.row_number().over(order)).withColumn("surface_tag", none).withColumn("parent_term", none)
     sound_unions(found.sparkSession)
-    joined = found.join(links.select(doc, F.col("child_term").alias("norm_term"), "parent_term", F.col("surface_tag").alias("tag")), [doc, "norm_term"], "left")
+    linked = links.select(doc, F.col("child_term").alias("norm_term"), "parent_term", F.col("surface_tag").alias("tag"))
     child = F.col("parent_term").isNotNull() & (F.col("parent_term") != F.col("norm_term"))
-    marked = joined.withColumn("is_child", child)
-    masters = marked.where(~F.col("is_child")).select(doc, "entity_type", F.col("norm_term").alias("parent_term"), F.lit(True).alias("has_parent"))
-    placed = marked.join(masters, [doc, "entity_type", "parent_term"], "left").withColumn("follows", F.col("is_child") & F.coalesce("has_parent", F.lit(False)))
-    order = Window.partitionBy(doc, "entity_type").orderBy("is_child", "first_start", "norm_term")
+    marked = _joined(found, linked, [doc, "norm_term"], "left").withColumn("is_child", child)
+    masters = marked.where(~F.col("is_child")).select(*keys, F.col("norm_term").alias("parent_term"), F.lit(True).alias("has_parent"))
+    placed = _joined(marked, masters, [*keys, "parent_term"], "left").withColumn("follows", F.col("is_child") & F.coalesce("has_parent", F.lit(False)))
+    order = Window.partitionBy(*keys).orderBy("is_child", "first_start", "norm_term")
     own = placed.where(~F.col("follows")).withColumn("entity_id", F.row_number().over(order))
-    ids = own.where(~F.col("is_child")).select(doc, "entity_type", F.col("norm_term").alias("parent_term"), "entity_id")
-    inherited = placed.where("follows").join(ids, [doc, "entity_type", "parent_term"])
-    both = own.unionByName(inherited)
-    return both.withColumn("surface_tag", F.when(F.col("is_child"), F.coalesce(F.nullif("tag", F.lit("")), F.lit("VARIANT"))).otherwise(F.col("tag"))).drop("tag", "has_parent", "follows", "is_child")
+    ids = own.where(~F.col("is_child")).select(*keys, F.col("norm_term").alias("parent_term"), "entity_id")
+    inherited = _joined(placed.where("follows"), ids, [*keys, "parent_term"])
+    tag = F.when(F.col("is_child"), F.coalesce(F.nullif("tag", F.lit("")), F.lit("VARIANT"))).otherwise(F.col("tag"))
+    return own.unionByName(inherited).withColumn("surface_tag", tag).drop("tag", "has_parent", "follows", "is_child")
 
 
 def collisions(labelled: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, entity_type, role_tag): roles that entities of different numbers share."""
+    keys = [*_keys(labelled, doc), "entity_type", "role_tag"]
     tagged = labelled.withColumn("role_tag", clean_tag(F.col("role"))).where("role_tag <> ''")
-    return tagged.groupBy(doc, "entity_type", "role_tag").agg(F.countDistinct("entity_id").alias("n_ids")).where("n_ids > 1").select(doc, "entity_type", "role_tag")
+    return tagged.groupBy(*keys).agg(F.countDistinct("entity_id").alias("n_ids")).where("n_ids > 1").select(*keys)
 
 
 def placeholder(entity_type: Column, number: Column, role_tag: Column, surface: Column, mode: str, colliding: Column | None = None, collision_adds_role: bool = True) -> Column:
@@ -70,55 +96,81 @@ def label(spans: DataFrame, mode: str = "numbered", roles: DataFrame | None = No
     found = numbered(terms(spans, doc), links, doc)
     if roles is not None:
         own = roles.select(doc, F.col("norm_term").alias("rt"), "role")
+        found = _joined(found, own.withColumnRenamed("rt", "norm_term"), [doc, "norm_term"], "left")
         of_parent = own.select(doc, F.col("rt").alias("parent_term"), F.col("role").alias("parent_role"))
-        found = found.join(own.withColumnRenamed("rt", "norm_term"), [doc, "norm_term"], "left").join(of_parent, [doc, "parent_term"], "left")
+        found = _joined(found, of_parent.where("parent_term is not null"), [doc, "parent_term"], "left")
         found = found.withColumn("role", F.coalesce(F.nullif("parent_role", F.lit("")), "role")).drop("parent_role")
         found = _with_collisions(found, doc)
     else:
         found = found.withColumn("role", F.lit(None).cast("string")).withColumn("shared", F.lit(False))
-    named = found.withColumn("placeholder", placeholder(F.col("entity_type"), F.col("entity_id"), clean_tag(F.col("role")), clean_tag(F.col("surface_tag")), mode, F.col("shared")))
+    made = placeholder(F.col("entity_type"), F.col("entity_id"), clean_tag(F.col("role")), clean_tag(F.col("surface_tag")), mode, F.col("shared"))
+    keys = [*_keys(spans, doc), "entity_type", "norm_term"]
+    named = found.withColumn("placeholder", made).select(*keys, "entity_id", "role", "surface_tag", "placeholder")
     keyed = spans.withColumn("norm_term", F.lower(stripped(F.col("value"))))
-    return keyed.join(named.select(doc, "entity_type", "norm_term", "entity_id", "role", "surface_tag", "placeholder"), [doc, "entity_type", "norm_term"]).withColumn("needs_review", F.col("score") < REVIEW_BELOW)
+    return _joined(keyed, named, keys).withColumn("needs_review", F.col("score") < REVIEW_BELOW)
 
 
 def _labelled_in_place(spans: DataFrame, mode: str, doc: str) -> DataFrame:
     """Without roles and links: numbers by two windows over one partitioning by document, no join, spans read once."""
+    keys = _keys(spans, doc)
     keyed = spans.withColumn("norm_term", F.lower(stripped(F.col("value"))))
-    first = F.min("start").over(Window.partitionBy(doc, "entity_type", "norm_term"))
-    number = F.dense_rank().over(Window.partitionBy(doc, "entity_type").orderBy("_first", "norm_term"))
-    named = keyed.repartition(doc).withColumn("_first", first).withColumn("entity_id", number).drop("_first")
+    first = F.min("start").over(Window.partitionBy(*keys, "entity_type", "norm_term"))
+    number = F.dense_rank().over(Window.partitionBy(*keys, "entity_type").orderBy("_first", "norm_term"))
+    named = keyed.repartition(*keys).withColumn("_first", first).withColumn("entity_id", number).drop("_first")
     none = F.lit(None).cast("string")
     named = named.withColumn("role", none).withColumn("surface_tag", none)
-    return named.withColumn("placeholder", placeholder(F.col("entity_type"), F.col("entity_id"), F.lit(""), F.lit(""), mode)).withColumn("needs_review", F.col("score") < REVIEW_BELOW)
+    made = placeholder(F.col("entity_type"), F.col("entity_id"), F.lit(""), F.lit(""), mode)
+    return named.withColumn("placeholder", made).withColumn("needs_review", F.col("score") < REVIEW_BELOW)
 
 
 def _with_collisions(found: DataFrame, doc: str) -> DataFrame:
     shared = collisions(found, doc).withColumn("shared", F.lit(True))
-    return found.withColumn("role_tag", clean_tag(F.col("role"))).join(shared, [doc, "entity_type", "role_tag"], "left").withColumn("shared", F.coalesce("shared", F.lit(False))).drop("role_tag")
+    tagged = found.withColumn("role_tag", clean_tag(F.col("role")))
+    return _joined(tagged, shared, [*_keys(found, doc), "entity_type", "role_tag"], "left").withColumn("shared", F.coalesce("shared", F.lit(False))).drop("role_tag")
 
 
 def mapping(labelled: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, placeholder, original): the first occurrence's text of each term; of terms that share a placeholder, the last one's."""
-    first = labelled.groupBy(doc, "placeholder", "norm_term").agg(F.min_by("value", "start").alias("original"), F.min("start").alias("at"))
-    return first.groupBy(doc, "placeholder").agg(F.max_by("original", "at").alias("original"))
+    keys = [*_keys(labelled, doc), "placeholder"]
+    first = labelled.groupBy(*keys, "norm_term").agg(F.min_by("value", "start").alias("original"), F.min("start").alias("at"))
+    return first.groupBy(*keys).agg(F.max_by("original", "at").alias("original"))
 
 
 def render(text: Column, spans: Column) -> Column:
     """Text with each span (start, end, placeholder; disjoint, sorted) replaced: kept pieces and placeholders joined once."""
-    pieces = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(text.substr(a["at"] + 1, s["start"] - a["at"]), s["placeholder"])).alias("out")),
-        lambda a: F.array_append(a["out"], text.substr(a["at"] + 1, F.length(text))),
-    )
-    return F.array_join(pieces, "")
+    chained = F.transform(spans, lambda s, i: F.struct(F.coalesce(F.get(spans, i - 1)["end"], F.lit(0)).alias("after"), s["start"].alias("start"), s["end"].alias("end"), s["placeholder"].alias("placeholder")))
+
+    def pieces(part: Column) -> Column:
+        low = F.get(part, F.lit(0))["after"]
+        # places are counted from the beginning of a string, so a block of spans looks at its own part of the text only
+        of = lambda x: F.transform(part, lambda s: F.concat(x["t"].substr(s["after"] - x["low"] + 1, s["start"] - s["after"]), s["placeholder"]))
+        return let(F.struct(low.alias("low"), text.substr(low + 1, F.element_at(part, -1)["end"] - low).alias("t")), of)
+
+    joined = lambda chained: F.concat(F.array_join(F.flatten(F.transform(blocks(chained), pieces)), ""), text.substr(F.element_at(chained, -1)["end"] + 1, F.length(text)))
+    return F.when(F.size(spans) == 0, text).otherwise(let(chained, joined))
+
+
+def _per_text(docs: DataFrame, of: DataFrame, doc: str, text: str) -> tuple[DataFrame, list[str]]:
+    """docs with the keys that spans or mappings `of` have. If that is the id alone, it must tell texts apart."""
+    if KEY in of.columns:
+        return docs.withColumn(KEY, text_key(F.col(text))), [doc, KEY]
+    unclear = docs.groupBy(doc).agg((F.countDistinct(F.xxhash64(text)) > 1).alias("_unclear"))
+    return _joined(docs, unclear.where("_unclear"), [doc], "left"), [doc]
+
+
+def _sure(result: Column, rows: DataFrame) -> Column:
+    if "_unclear" not in rows.columns:
+        return result
+    return F.when(F.col("_unclear"), F.raise_error(F.lit("several texts share an id, and spans don't say by text_key which they belong to"))).otherwise(result)
 
 
 def anonymize(docs: DataFrame, labelled: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with anonymized_text: the spans of a document meet its text in one join."""
-    per_doc = labelled.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("start", "end", "placeholder"))).alias("_spans"))
-    joined = docs.join(per_doc, doc, "left")
-    return joined.withColumn("anonymized_text", F.when(F.col("_spans").isNull(), F.col(text)).otherwise(render(F.col(text), F.col("_spans")))).drop("_spans")
+    """docs with anonymized_text: the spans of a document meet its text in one join. Null ids are one id."""
+    rows, keys = _per_text(docs, labelled, doc, text)
+    per_doc = labelled.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("start", "end", "placeholder"))).alias("_spans"))
+    joined = _joined(rows, per_doc, keys, "left")
+    made = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(render(F.col(text), F.col("_spans")))
+    return joined.withColumn("anonymized_text", _sure(made, joined)).drop("_spans", "_unclear", *(c for c in (KEY,) if c not in docs.columns and KEY not in labelled.columns))
 
 
 def swapped(text: Column, mapping: Column) -> Column:
@@ -129,26 +181,40 @@ def swapped(text: Column, mapping: Column) -> Column:
 
 
 def restore(docs: DataFrame, mapped: DataFrame, doc: str = "doc_id", text: str = "anonymized_text") -> DataFrame:
-    """docs with restored_text: one pass over bracketed keys, so that an original that looks like a key is not replaced again."""
-    per_doc = mapped.groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "original"))).alias("_map"))
-    joined = docs.join(per_doc, doc, "left")
-    return joined.withColumn("restored_text", swapped(F.col(text), F.col("_map"))).drop("_map")
+    """docs with restored_text: one pass over bracketed keys, so that an original that looks like a key is not replaced again.
+
+    docs must hold text_key if the mapping does, as the anonymised text no longer tells it.
+    """
+    keys = [c for c in _keys(mapped, doc) if c in docs.columns]
+    if keys != _keys(mapped, doc):
+        raise ValueError(f"the mapping goes by {KEY}, which the documents lack")
+    rows = docs if KEY in keys else _per_text(docs, mapped, doc, text)[0]
+    per_doc = mapped.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "original"))).alias("_map"))
+    joined = _joined(rows, per_doc, keys, "left")
+    return joined.withColumn("restored_text", _sure(swapped(F.col(text), F.col("_map")), joined)).drop("_map", "_unclear")
+
+
+def residues_of(text: Column) -> Column:
+    """array<struct<placeholder, word>>: placeholders right before a capitalised word left in the text."""
+    return F.arrays_zip(F.regexp_extract_all(text, F.lit(RESIDUE), F.lit(1)).alias("placeholder"), F.regexp_extract_all(text, F.lit(RESIDUE), F.lit(2)).alias("word"))
 
 
 def residues(anonymized: DataFrame, doc: str = "doc_id", text: str = "anonymized_text") -> DataFrame:
-    """(doc, placeholder, trailing_word): placeholders right before a capitalised word left in the text; the first such word each."""
-    pair = F.arrays_zip(F.regexp_extract_all(text, F.lit(RESIDUE), F.lit(1)).alias("placeholder"), F.regexp_extract_all(text, F.lit(RESIDUE), F.lit(2)).alias("word"))
-    rows = anonymized.select(doc, F.posexplode(pair).alias("k", "x"))
+    """(doc, placeholder, trailing_word): the first such word of each placeholder."""
+    rows = anonymized.select(doc, F.posexplode(residues_of(F.col(text))).alias("k", "x"))
     return rows.groupBy(doc, F.col("x.placeholder").alias("placeholder")).agg(F.min_by("x.word", "k").alias("trailing_word"))
 
 
 def segments(labelled: DataFrame, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, raw_start, raw_end, anon_start, anon_end): what stays between placeholders, by a running sum of length changes."""
     sound_unions(docs.sparkSession)
-    ends = docs.select(doc, F.length(text).alias("start"), F.length(text).alias("end"), F.lit("").alias("placeholder"), F.lit(1).alias("last"))
-    rows = labelled.select(doc, "start", "end", "placeholder", F.lit(0).alias("last")).unionByName(ends)
-    order = Window.partitionBy(doc).orderBy("start", "last")
+    keys = _keys(labelled, doc)
+    ids = [F.col(doc), *([text_key(F.col(text)).alias(KEY)] if KEY in keys else [])]
+    ends = docs.select(*ids, F.length(text).alias("start"), F.length(text).alias("end"), F.lit("").alias("placeholder"), F.lit(1).alias("last")).distinct()
+    rows = labelled.select(*keys, "start", "end", "placeholder", F.lit(0).alias("last")).distinct().unionByName(ends)
+    order = Window.partitionBy(*keys).orderBy("start", "last")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     shift = F.coalesce(F.sum(F.length("placeholder") - (F.col("end") - F.col("start"))).over(before), F.lit(0))
-    raw = rows.select(doc, F.coalesce(F.lag("end").over(order), F.lit(0)).alias("raw_start"), F.col("start").alias("raw_end"), shift.cast("int").alias("shift"))
-    return raw.where("raw_end > raw_start").select(doc, "raw_start", "raw_end", (F.col("raw_start") + F.col("shift")).alias("anon_start"), (F.col("raw_end") + F.col("shift")).alias("anon_end"))
+    raw = rows.select(*keys, F.coalesce(F.lag("end").over(order), F.lit(0)).alias("raw_start"), F.col("start").alias("raw_end"), shift.cast("int").alias("shift"))
+    shifted = [(F.col(c) + F.col("shift")).alias(f"anon_{c.removeprefix('raw_')}") for c in ("raw_start", "raw_end")]
+    return raw.where("raw_end > raw_start").select(*keys, "raw_start", "raw_end", *shifted)

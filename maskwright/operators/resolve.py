@@ -1,14 +1,17 @@
 """Overlap resolution on a document's array of candidates: row-local, so the whole chain needs no shuffle.
 
-Candidates are structs as in detect.CANDIDATE. Where order matters, ties go to the earlier candidate of the array.
+Candidates are structs as in detect.CANDIDATE; `seq` is their order where nothing else decides. What concerns overlapping
+spans only is worked out cluster by cluster, so a text with many hits takes time in proportion to them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.spans import let, overlap
+from ..functions.spans import beside, by_start, in_clusters, let, overlap, placed, running
 from ..functions.text import gender_suffix, trim_bounds
 from .detect import CANDIDATE
 
@@ -17,6 +20,7 @@ REVIEW_BELOW = 0.85
 PRIORITY = {"glossary": 4, "regex": 3, "library": 3, "eupii": 2, "gliner": 1}
 #: fixed values: types found before the token classifier, which it must not cut into
 PROTECTED = ("AHV_NUMBER", "UID_NUMBER", "ADDRESS", "IBAN_CODE", "EMAIL_ADDRESS", "PHONE_NUMBER", "URL", "DATE_TIME")
+NONE = f"cast(array() as array<{CANDIDATE}>)"
 
 
 def priority(method: Column) -> Column:
@@ -28,12 +32,13 @@ def numbered(spans: Column) -> Column:
     return F.transform(spans, lambda s, i: s.withField("seq", i))
 
 
-def trimmed(spans: Column, text: Column) -> Column:
+def trimmed(spans: Column) -> Column:
     """Spans without tags, markdown and punctuation at their ends; those with nothing left go."""
 
     def one(s: Column) -> Column:
         start, end = trim_bounds(s["value"], s["start"], s["end"])
-        return s.withField("start", start).withField("end", end).withField("value", text.substr(start + 1, F.greatest(end - start, F.lit(0))))
+        value = F.substring(s["value"], start - s["start"] + 1, F.greatest(end - start, F.lit(0)))
+        return s.withField("start", start).withField("end", end).withField("value", value)
 
     return F.filter(F.transform(spans, one), lambda s: s["end"] > s["start"])
 
@@ -55,26 +60,50 @@ def allowed_by_mode(spans: Column, modes: dict[str, str]) -> Column:
     return F.filter(spans, passes)
 
 
+def _beside_blockers(spans: Column, blockers: dict[int, Column], keeps: Callable[[Column, Callable], Column]) -> Column:
+    """Spans for which keeps(span, hits) holds; hits(kind) tells whether the span overlaps a blocker of that kind."""
+    tagged = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(0).alias("kind"), s.alias("s")))
+    none = F.lit(None).cast(CANDIDATE)
+
+    def other(kind: int) -> Callable[[Column], Column]:
+        return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), none.alias("s"))
+
+    others = [F.transform(b, other(kind)) for kind, b in blockers.items()]
+
+    def kept(cluster: Column) -> Column:
+        hits = lambda x: lambda kind: F.exists(cluster, lambda y: (y["kind"] == kind) & overlap(x, y))
+        return F.filter(cluster, lambda x: (x["kind"] == 0) & keeps(x["s"], hits(x)))
+
+    return F.transform(let(F.concat(tagged, *others), lambda all_: in_clusters(all_, kept)), lambda x: x["s"])
+
+
 def ignoring(spans: Column, user: Column, default: Column) -> Column:
     """Anti-join: an overlap with a user's ignore span kills any candidate, one with a default span spares glossary hits."""
-    hit = lambda s, blockers: F.exists(blockers, lambda b: overlap(s, b))
-    return F.filter(spans, lambda s: ~hit(s, user) & ~(hit(s, default) & (s["method"] != "glossary")))
+    return _beside_blockers(spans, {1: user, 2: default}, lambda s, hits: ~hits(1) & ~(hits(2) & (s["method"] != "glossary")))
 
 
 def without(spans: Column, blockers: Column) -> Column:
     """Interval anti-join: spans that share no character with a blocker."""
-    return F.filter(spans, lambda s: ~F.exists(blockers, lambda b: overlap(s, b)))
+    return _beside_blockers(spans, {1: blockers}, lambda s, hits: ~hits(1))
+
+
+def protected(spans: Column) -> Column:
+    """Drops hits of the two models that overlap a span of a protected type found by rules or the glossary."""
+    model = lambda s: s["method"].isin("eupii", "gliner")
+    safe = F.filter(spans, lambda s: ~model(s) & s["entity_type"].isin(*PROTECTED))
+    return _beside_blockers(spans, {1: safe}, lambda s, hits: ~(model(s) & hits(1)))
 
 
 def with_gender_suffix(spans: Column, text: Column) -> Column:
     """Spans extended by a gender suffix; stray suffixes found as entities of their own go."""
 
-    def one(s: Column) -> Column:
-        end = s["end"] + gender_suffix(text.substr(s["end"] + 1, F.lit(12)))
-        return s.withField("end", end).withField("value", text.substr(s["start"] + 1, end - s["start"]))
+    def one(s: Column, at: Callable) -> Column:
+        end = s["end"] + gender_suffix(at(s["end"], 12))
+        stray = F.lower(F.trim(s["value"])).isin("in", "innen", ":in", ":innen", "*in", "*innen") & (s["start"] > 0) & at(s["start"] - 1, 1).isin(":", "*", "_", "/", " ")
+        return F.struct(s.withField("end", end).withField("value", F.concat(s["value"], at(s["end"], end - s["end"]))).alias("s"), stray.alias("stray"))
 
-    stray = lambda s: F.lower(F.trim(s["value"])).isin("in", "innen", ":in", ":innen", "*in", "*innen") & (s["start"] > 0) & text.substr(s["start"], F.lit(1)).isin(":", "*", "_", "/", " ")
-    return F.filter(F.transform(spans, one), lambda s: ~stray(s))
+    found = let(by_start(spans), lambda ordered: beside(text, ordered, one))
+    return F.transform(F.filter(found, lambda x: ~x["stray"]), lambda x: x["s"])
 
 
 def absorbed(spans: Column) -> Column:
@@ -95,66 +124,107 @@ def absorbed(spans: Column) -> Column:
         pairs = F.transform(F.filter(spans, lambda s: s["method"] == "glossary"), lambda g: F.struct(g.alias("g"), around(g).alias("m")))
         return let(pairs, lambda p: F.concat(F.transform(p, grown), F.filter(others, lambda m: ~F.exists(p, lambda x: x["m"]["seq"].eqNullSafe(m["seq"])))))
 
-    return let(numbered(spans), of)
+    return let(spans, lambda spans: in_clusters(spans, of))
 
 
 def packed(spans: Column, *keys: str) -> Column:
     """Greedy interval packing: in order of the keys (priority, length, score; all descending), what overlaps an accepted span goes."""
     order = {"priority": lambda s: -priority(s["method"]), "length": lambda s: s["start"] - s["end"], "score": lambda s: -s["score"]}
-    ranked = F.array_sort(F.transform(numbered(spans), lambda s: F.struct(*(order[k](s).alias(f"k{n}") for n, k in enumerate(keys)), s["seq"].alias("seq"), s.alias("s"))))
-    return F.aggregate(F.transform(ranked, lambda x: x["s"]), F.expr(f"cast(array() as array<{CANDIDATE}>)"), lambda acc, s: F.when(F.exists(acc, lambda a: overlap(a, s)), acc).otherwise(F.array_append(acc, s)))
+
+    def accepted(cluster: Column) -> Column:
+        ranked = F.array_sort(F.transform(cluster, lambda s: F.struct(*(order[k](s).alias(f"k{n}") for n, k in enumerate(keys)), s["seq"].alias("seq"), s.alias("s"))))
+        step = lambda acc, s: F.when(F.exists(acc, lambda a: overlap(a, s)), acc).otherwise(F.array_append(acc, s))
+        return F.aggregate(F.transform(ranked, lambda x: x["s"]), F.expr(NONE), step)
+
+    return let(spans, lambda spans: in_clusters(spans, accepted))
 
 
 def without_contained(spans: Column) -> Column:
     """Drops a span inside another of the same type with a higher score, or with the same score and more length."""
-    beats = lambda o, s: (o["entity_type"] == s["entity_type"]) & (o["start"] <= s["start"]) & (o["end"] >= s["end"]) & ((o["score"] > s["score"]) | ((o["score"] == s["score"]) & ((o["end"] - o["start"] > s["end"] - s["start"]) | ((o["start"] == s["start"]) & (o["end"] == s["end"]) & (o["seq"] < s["seq"])))))
-    return let(numbered(spans), lambda spans: F.filter(spans, lambda s: ~F.exists(spans, lambda o: beats(o, s))))
 
+    def beats(o: Column, s: Column) -> Column:
+        around = (o["entity_type"] == s["entity_type"]) & (o["start"] <= s["start"]) & (o["end"] >= s["end"])
+        longer = o["end"] - o["start"] > s["end"] - s["start"]
+        first = (o["start"] == s["start"]) & (o["end"] == s["end"]) & (o["seq"] < s["seq"])
+        return around & ((o["score"] > s["score"]) | ((o["score"] == s["score"]) & (longer | first)))
 
-def whole_words(spans: Column, text: Column) -> Column:
-    """Rejects spans cut out of a word: letters or digits on both sides of an edge."""
+    of = lambda cluster: F.filter(cluster, lambda s: ~F.exists(cluster, lambda o: beats(o, s)))
+    return let(spans, lambda spans: in_clusters(spans, of))
+
+
+def whole_words(spans: Column, text: Column, methods: tuple[str, ...] | None = None) -> Column:
+    """Rejects spans (of those methods) cut out of a word: letters or digits on both sides of an edge."""
     part = lambda c: c.rlike(r"(?U)^[\p{Alnum}]$")
-    at = lambda k: text.substr(k, F.lit(1))
-    cut = lambda s: ((s["start"] > 0) & part(at(s["start"])) & part(at(s["start"] + 1))) | (part(at(s["end"])) & part(at(s["end"] + 1)))
-    return F.filter(spans, lambda s: ~F.coalesce(cut(s), F.lit(False)))
+
+    def one(s: Column, at: Callable) -> Column:
+        cut = ((s["start"] > 0) & part(at(s["start"] - 1, 1)) & part(at(s["start"], 1))) | (part(at(s["end"] - 1, 1)) & part(at(s["end"], 1)))
+        cut = F.coalesce(cut, F.lit(False))
+        return F.struct(s.alias("s"), (cut if methods is None else cut & s["method"].isin(*methods)).alias("cut"))
+
+    found = let(by_start(spans), lambda ordered: beside(text, ordered, one))
+    return F.transform(F.filter(found, lambda x: ~x["cut"]), lambda x: x["s"])
 
 
 def merged_persons(spans: Column, text: Column) -> Column:
-    """Adjacent PERSON spans of two words in all, only white space between, become one with the smaller score. Compares with the merged row."""
-    words = lambda s: F.size(F.split(F.trim(text.substr(s["start"] + 1, s["end"] - s["start"])), r"\s+"))
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), s["seq"].alias("c"), s.alias("s"))))
+    """Neighbouring PERSON spans of one word each, only white space between, become one, in pairs from the left, with the smaller score."""
+    single = lambda s: (s["entity_type"] == "PERSON") & ~F.trim(s["value"]).rlike(r"\s")
 
-    def step(acc: Column, x: Column) -> Column:
-        s, last = x["s"], F.try_element_at(acc, F.lit(-1))
-        gap = text.substr(last["end"] + 1, s["start"] - last["end"])
-        joins = (F.size(acc) > 0) & (s["entity_type"] == "PERSON") & (last["entity_type"] == "PERSON") & (s["start"] >= last["end"]) & (F.length(F.regexp_replace(gap, r"\s", "")) == 0) & (words(last) + words(s) <= 2)
-        grown = last.withField("end", s["end"]).withField("score", F.least(last["score"], s["score"])).withField("value", text.substr(last["start"] + 1, s["end"] - last["start"]))
-        return F.when(F.coalesce(joins, F.lit(False)), F.array_append(F.slice(acc, 1, F.size(acc) - 1), grown)).otherwise(F.array_append(acc, s))
+    def of(ordered: Column) -> Column:
+        def joins(s: Column, i: Column) -> Column:
+            last = F.get(ordered, i - 1)
+            gap = text.substr(last["end"] + 1, s["start"] - last["end"])
+            return F.coalesce(single(s) & single(last) & (s["start"] >= last["end"]) & ~gap.rlike(r"\S"), F.lit(False))
 
-    return F.aggregate(ordered, F.expr(f"cast(array() as array<{CANDIDATE}>)"), step)
+        def pairs(joined: Column) -> Column:
+            alone = F.transform(joined, lambda j, i: F.when(j, F.lit(-1)).otherwise(i))
+            begin = running(alone, F.lit(-1), F.greatest)  # where the run of joined spans before one began
 
+            def merged(begin: Column) -> Column:
+                second = lambda i: F.get(joined, i) & ((i - F.get(begin, i)) % 2 == 1)
 
-def genitives(accepted: DataFrame, ignored: DataFrame | None = None, terms: list[str] | None = None, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """accepted(doc, text, spans) with the genitives of accepted persons' name parts found elsewhere in the text, as further persons.
+                def one(s: Column, i: Column) -> Column:
+                    after = F.get(ordered, i + 1)
+                    value = F.concat(s["value"], text.substr(s["end"] + 1, after["start"] - s["end"]), after["value"])
+                    grown = s.withField("end", after["end"]).withField("score", F.least(s["score"], after["score"])).withField("value", value)
+                    return F.struct(F.when(F.coalesce(second(i + 1), F.lit(False)), grown).otherwise(s).alias("s"), second(i).alias("gone"))
+
+                return F.transform(F.filter(F.transform(ordered, one), lambda x: ~x["gone"]), lambda x: x["s"])
+
+            return let(begin, merged)
+
+        return let(F.transform(ordered, joins), pairs)
+
+    return let(by_start(spans), of)
+
+
+def genitive_spans(accepted: Column, text: Column, keep: tuple[str, ...] = ()) -> Column:
+    """Genitives of accepted persons' name parts found elsewhere in the text, as further persons that touch no accepted span.
 
-    Row-local: parts become one alternation per row, matches that overlap an accepted or ignored span are dropped.
+    Row-local: the parts become one alternation. Parts under three letters, and those in keep, are left alone.
     """
-    parts = F.array_distinct(F.flatten(F.transform(F.filter("spans", lambda s: s["entity_type"] == "PERSON"), lambda s: F.transform(F.filter(F.regexp_extract_all(s["value"], F.lit(r"(?U)\b[A-ZÄÖÜ][a-zäöüßA-ZÄÖÜ-]+\b"), F.lit(0)), lambda p: F.length(p) >= 3), lambda p: F.struct(p.alias("part"), F.least(s["score"], F.lit(REVIEW_BELOW)).alias("score"))))))
-    if terms:
-        parts = F.filter(parts, lambda p: ~F.lower(p["part"]).isin([t.strip().lower() for t in terms]))
-    rows = accepted.withColumn("_p", F.explode(parts)).withColumn("_re", F.concat(F.lit(r"(?U)\b"), F.col("_p.part"), F.lit(r"(?:'s|’s|s)\b")))
-    found = rows.withColumn("_m", F.regexp_extract_all(text, F.col("_re"), F.lit(0))).where(F.size("_m") > 0)
-    gaps = F.split(F.col(text), F.col("_re"), -1)
-    upto = lambda arr, k: F.aggregate(F.slice(arr, 1, k), F.lit(0), lambda a, x: a + F.length(x))
-    hits = found.select(doc, "spans", "_m", gaps.alias("_g"), F.col("_p.score").alias("score"), F.posexplode("_m").alias("k", "value"))
-    start = upto(F.col("_g"), F.col("k") + 1) + upto(F.col("_m"), F.col("k"))
-    free = hits.withColumn("start", start.cast("int")).withColumn("end", F.col("start") + F.length("value"))
-    free = free.where(~F.exists("spans", lambda s: (s["end"] > F.col("start")) & (s["start"] < F.col("end"))))
-    if ignored is not None:
-        blocked = ignored.select(F.col(doc).alias("_d"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-        free = free.join(blocked, (free[doc] == blocked["_d"]) & (free["start"] < blocked["_e"]) & (free["end"] > blocked["_s"]), "left_anti")
-    first = Window.partitionBy(doc, "start").orderBy(F.desc("score"))
-    return free.withColumn("_r", F.row_number().over(first)).where("_r = 1").select(doc, "start", "end", "value", F.lit("PERSON").alias("entity_type"), "score")
+    people = F.filter(accepted, lambda s: s["entity_type"] == "PERSON")
+    words = lambda s: F.regexp_extract_all(s["value"], F.lit(r"(?U)\b[A-ZÄÖÜ][a-zäöüßA-ZÄÖÜ-]+\b"), F.lit(0))
+    parts = F.flatten(F.transform(people, lambda s: F.transform(F.filter(words(s), lambda p: F.length(p) >= 3), lambda p: F.struct(p.alias("part"), F.least(s["score"], F.lit(REVIEW_BELOW)).alias("score")))))
+    if keep:
+        parts = F.filter(parts, lambda p: ~F.lower(p["part"]).isin(*(t.strip().lower() for t in keep)))
+
+    def found(parts: Column) -> Column:
+        names = F.array_join(F.array_distinct(F.transform(parts, lambda p: p["part"])), "|")
+        pattern = F.concat(F.lit(r"(?U)\b(?:"), names, F.lit(r")(?:'s|’s|s)\b"))
+        stem = lambda v: F.regexp_replace(v, "(?:'s|’s|s)$", "")
+        score = lambda v: F.array_max(F.transform(F.filter(parts, lambda p: p["part"] == stem(v)), lambda p: p["score"]))
+        hits = let(F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gap")), placed)
+        made = F.transform(hits, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit("PERSON").alias("entity_type"), F.coalesce(score(s["value"]), F.lit(REVIEW_BELOW)).alias("score"), F.lit("genitive").alias("recognizer"), F.lit("regex").alias("method"), F.lit(0).alias("seq")))
+        return F.when(F.size(parts) == 0, F.expr(NONE)).otherwise(made)
+
+    return without(let(parts, found), accepted)
+
+
+def genitives(accepted: DataFrame, ignored: DataFrame | None = None, terms: list[str] | None = None, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, start, end, value, entity_type, score) of genitive_spans for accepted(doc, text, spans), without those on ignored(doc, start, end)."""
+    found = genitive_spans(F.col("spans"), F.col(text), tuple(terms or ()))
+    rows = accepted.select(doc, F.explode(found).alias("s")).select(doc, "s.start", "s.end", "s.value", "s.entity_type", "s.score")
+    return rows if ignored is None else interval_anti_join(rows, ignored, doc)
 
 
 def interval_anti_join(spans: DataFrame, blockers: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -163,19 +233,40 @@ def interval_anti_join(spans: DataFrame, blockers: DataFrame, doc: str = "doc_id
     return spans.join(b, (spans[doc] == b["_d"]) & (spans["start"] < b["_e"]) & (spans["end"] > b["_s"]), "left_anti")
 
 
-def resolve(spans: Column, text: Column, user: Column | None = None, default: Column | None = None, general: list[str] | None = None, glossary: list[str] | None = None, modes: dict[str, str] | None = None) -> Column:
-    """The whole chain: trim, gates, ignore spans, gender suffixes, absorption, packing by source, length and score; sorted by start."""
-    none = F.expr(f"cast(array() as array<{CANDIDATE}>)")
-    steps = [without_contained, lambda x: trimmed(x, text), lambda x: enabled(x, general, glossary)]
+def resolved(
+    docs: DataFrame, spans: str = "spans", text: str = "text", user: Column | None = None, default: Column | None = None, general: list[str] | None = None, glossary: list[str] | None = None, modes: dict[str, str] | None = None,
+    genitive: bool = False, keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """docs with the column of candidates resolved and sorted by start, by a chain of row-local steps.
+
+    Spans of models are held to whole words, off protected types, and merged to full names. Then: contained duplicates,
+    trimming, gates, ignore spans, gender suffixes, absorption, packing by source, length and score; with `genitive` also
+    the genitives of the persons accepted, but for terms in keep.
+    """
+    none, t = F.expr(NONE), F.col(text)
+    model = lambda s: s["method"].isin("eupii", "gliner")
+    if_any = lambda step: lambda x: F.when(F.exists(x, model), step(x)).otherwise(x)
+    zero_shot = lambda x, yes: F.filter(x, lambda s: (s["method"] == "gliner") == F.lit(yes))
+    steps = [
+        numbered,
+        if_any(lambda x: whole_words(x, t, ("eupii", "gliner"))),
+        if_any(protected),
+        if_any(lambda x: F.concat(zero_shot(x, False), merged_persons(zero_shot(x, True), t))),
+        without_contained,
+        trimmed,
+        lambda x: enabled(x, general, glossary),
+    ]
     if modes:
         steps.append(lambda x: allowed_by_mode(x, modes))
-    if user is not None or default is not None:
-        steps.append(lambda x: ignoring(x, user if user is not None else none, default if default is not None else none))
-    steps += [lambda x: with_gender_suffix(x, text), absorbed, lambda x: packed(x, "priority", "length", "score"), by_start]
+    blocked = user is not None or default is not None
+    apart = lambda x: ignoring(x, user if user is not None else none, default if default is not None else none) if blocked else x
+    steps += [apart, lambda x: with_gender_suffix(x, t), absorbed, lambda x: packed(x, "priority", "length", "score"), by_start]
     for step in steps:
-        spans = let(spans, step)
-    return spans
-
-
-def by_start(spans: Column) -> Column:
-    return F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("k"), s.alias("s")))), lambda x: x["s"])
+        docs = docs.withColumn(spans, step(F.col(spans)))
+    if genitive:
+        found = docs.withColumn("_mw_genitives", genitive_spans(F.col(spans), t, keep))
+        allowed = enabled(F.col("_mw_genitives"), general, glossary)
+        allowed = allowed_by_mode(allowed, modes) if modes else allowed
+        found = found.withColumn("_mw_genitives", apart(allowed))
+        docs = found.withColumn(spans, F.when(F.size("_mw_genitives") == 0, F.col(spans)).otherwise(by_start(F.concat(spans, "_mw_genitives")))).drop("_mw_genitives")
+    return docs
