@@ -20,6 +20,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def held(c: Column) -> Column:
+    """c, worked out where it stands: filters on it, also those that explode implies, are not pushed below, where each column
+    that it was made from would be written out as often as the next one looks at it."""
+    return F.when(F.rand(0) < 2, c)
+
+
 def blocks(array: Column) -> Column:
     """The array cut into about as many parts as each has elements."""
     n = F.greatest(F.size(array), F.lit(1))

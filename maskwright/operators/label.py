@@ -28,7 +28,7 @@ def _keys(spans: DataFrame, doc: str) -> list[str]:
     return [doc, KEY] if KEY in spans.columns else [doc]
 
 
-def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """left joined with right on keys, nulls being equal; right's keys go."""
     named = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     on = [left[k].eqNullSafe(named[f"_r_{k}"]) for k in keys]
@@ -52,13 +52,13 @@ def numbered(found: DataFrame, links: DataFrame | None = None, doc: str = "doc_i
     sound_unions(found.sparkSession)
     linked = links.select(doc, F.col("child_term").alias("norm_term"), "parent_term", F.col("surface_tag").alias("tag"))
     child = F.col("parent_term").isNotNull() & (F.col("parent_term") != F.col("norm_term"))
-    marked = _joined(found, linked, [doc, "norm_term"], "left").withColumn("is_child", child)
+    marked = join_on(found, linked, [doc, "norm_term"], "left").withColumn("is_child", child)
     masters = marked.where(~F.col("is_child")).select(*keys, F.col("norm_term").alias("parent_term"), F.lit(True).alias("has_parent"))
-    placed = _joined(marked, masters, [*keys, "parent_term"], "left").withColumn("follows", F.col("is_child") & F.coalesce("has_parent", F.lit(False)))
+    placed = join_on(marked, masters, [*keys, "parent_term"], "left").withColumn("follows", F.col("is_child") & F.coalesce("has_parent", F.lit(False)))
     order = Window.partitionBy(*keys).orderBy("is_child", "first_start", "norm_term")
     own = placed.where(~F.col("follows")).withColumn("entity_id", F.row_number().over(order))
     ids = own.where(~F.col("is_child")).select(*keys, F.col("norm_term").alias("parent_term"), "entity_id")
-    inherited = _joined(placed.where("follows"), ids, [*keys, "parent_term"])
+    inherited = join_on(placed.where("follows"), ids, [*keys, "parent_term"])
     tag = F.when(F.col("is_child"), F.coalesce(F.nullif("tag", F.lit("")), F.lit("VARIANT"))).otherwise(F.col("tag"))
     return own.unionByName(inherited).withColumn("surface_tag", tag).drop("tag", "has_parent", "follows", "is_child")
 
@@ -96,9 +96,9 @@ def label(spans: DataFrame, mode: str = "numbered", roles: DataFrame | None = No
     found = numbered(terms(spans, doc), links, doc)
     if roles is not None:
         own = roles.select(doc, F.col("norm_term").alias("rt"), "role")
-        found = _joined(found, own.withColumnRenamed("rt", "norm_term"), [doc, "norm_term"], "left")
+        found = join_on(found, own.withColumnRenamed("rt", "norm_term"), [doc, "norm_term"], "left")
         of_parent = own.select(doc, F.col("rt").alias("parent_term"), F.col("role").alias("parent_role"))
-        found = _joined(found, of_parent.where("parent_term is not null"), [doc, "parent_term"], "left")
+        found = join_on(found, of_parent.where("parent_term is not null"), [doc, "parent_term"], "left")
         found = found.withColumn("role", F.coalesce(F.nullif("parent_role", F.lit("")), "role")).drop("parent_role")
         found = _with_collisions(found, doc)
     else:
@@ -107,7 +107,7 @@ def label(spans: DataFrame, mode: str = "numbered", roles: DataFrame | None = No
     keys = [*_keys(spans, doc), "entity_type", "norm_term"]
     named = found.withColumn("placeholder", made).select(*keys, "entity_id", "role", "surface_tag", "placeholder")
     keyed = spans.withColumn("norm_term", F.lower(stripped(F.col("value"))))
-    return _joined(keyed, named, keys).withColumn("needs_review", F.col("score") < REVIEW_BELOW)
+    return join_on(keyed, named, keys).withColumn("needs_review", F.col("score") < REVIEW_BELOW)
 
 
 def _labelled_in_place(spans: DataFrame, mode: str, doc: str) -> DataFrame:
@@ -126,7 +126,7 @@ def _labelled_in_place(spans: DataFrame, mode: str, doc: str) -> DataFrame:
 def _with_collisions(found: DataFrame, doc: str) -> DataFrame:
     shared = collisions(found, doc).withColumn("shared", F.lit(True))
     tagged = found.withColumn("role_tag", clean_tag(F.col("role")))
-    return _joined(tagged, shared, [*_keys(found, doc), "entity_type", "role_tag"], "left").withColumn("shared", F.coalesce("shared", F.lit(False))).drop("role_tag")
+    return join_on(tagged, shared, [*_keys(found, doc), "entity_type", "role_tag"], "left").withColumn("shared", F.coalesce("shared", F.lit(False))).drop("role_tag")
 
 
 def mapping(labelled: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -150,15 +150,15 @@ def render(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(let(chained, joined))
 
 
-def _per_text(docs: DataFrame, of: DataFrame, doc: str, text: str) -> tuple[DataFrame, list[str]]:
+def per_text(docs: DataFrame, of: DataFrame, doc: str, text: str) -> tuple[DataFrame, list[str]]:
     """docs with the keys that spans or mappings `of` have. If that is the id alone, it must tell texts apart."""
     if KEY in of.columns:
         return docs.withColumn(KEY, text_key(F.col(text))), [doc, KEY]
     unclear = docs.groupBy(doc).agg((F.countDistinct(F.xxhash64(text)) > 1).alias("_unclear"))
-    return _joined(docs, unclear.where("_unclear"), [doc], "left"), [doc]
+    return join_on(docs, unclear.where("_unclear"), [doc], "left"), [doc]
 
 
-def _sure(result: Column, rows: DataFrame) -> Column:
+def sure(result: Column, rows: DataFrame) -> Column:
     if "_unclear" not in rows.columns:
         return result
     return F.when(F.col("_unclear"), F.raise_error(F.lit("several texts share an id, and spans don't say by text_key which they belong to"))).otherwise(result)
@@ -166,11 +166,11 @@ def _sure(result: Column, rows: DataFrame) -> Column:
 
 def anonymize(docs: DataFrame, labelled: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with anonymized_text: the spans of a document meet its text in one join. Null ids are one id."""
-    rows, keys = _per_text(docs, labelled, doc, text)
+    rows, keys = per_text(docs, labelled, doc, text)
     per_doc = labelled.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("start", "end", "placeholder"))).alias("_spans"))
-    joined = _joined(rows, per_doc, keys, "left")
+    joined = join_on(rows, per_doc, keys, "left")
     made = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(render(F.col(text), F.col("_spans")))
-    return joined.withColumn("anonymized_text", _sure(made, joined)).drop("_spans", "_unclear", *(c for c in (KEY,) if c not in docs.columns and KEY not in labelled.columns))
+    return joined.withColumn("anonymized_text", sure(made, joined)).drop("_spans", "_unclear", *(c for c in (KEY,) if c not in docs.columns and KEY not in labelled.columns))
 
 
 def swapped(text: Column, mapping: Column) -> Column:
@@ -188,10 +188,10 @@ def restore(docs: DataFrame, mapped: DataFrame, doc: str = "doc_id", text: str =
     keys = [c for c in _keys(mapped, doc) if c in docs.columns]
     if keys != _keys(mapped, doc):
         raise ValueError(f"the mapping goes by {KEY}, which the documents lack")
-    rows = docs if KEY in keys else _per_text(docs, mapped, doc, text)[0]
+    rows = docs if KEY in keys else per_text(docs, mapped, doc, text)[0]
     per_doc = mapped.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "original"))).alias("_map"))
-    joined = _joined(rows, per_doc, keys, "left")
-    return joined.withColumn("restored_text", _sure(swapped(F.col(text), F.col("_map")), joined)).drop("_map", "_unclear")
+    joined = join_on(rows, per_doc, keys, "left")
+    return joined.withColumn("restored_text", sure(swapped(F.col(text), F.col("_map")), joined)).drop("_map", "_unclear")
 
 
 def residues_of(text: Column) -> Column:

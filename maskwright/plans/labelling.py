@@ -53,7 +53,7 @@ def restore_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {CHAIN} SELECT doc_id, placeholder, arg_min(value, "start") AS original FROM named GROUP BY doc_id, placeholder""")
 def mapping_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return label.mapping(labelled(spark, sf_dir).withColumn("norm_term", F.lower("value")))
+    return label.mapping(labelled(spark, sf_dir)).drop(label.KEY)
 
 
 @query(f"""WITH RECURSIVE {CHAIN} SELECT doc_id, entity_type, placeholder, '[REDACTED]' AS original, count(*) AS n FROM named GROUP BY ALL""")
@@ -65,7 +65,7 @@ def report_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     s AS (SELECT doc_id, coalesce(lag("end") OVER w, 0) AS raw_start, "start" AS raw_end, coalesce(sum(p - ("end" - "start")) OVER (PARTITION BY doc_id ORDER BY "start", last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY "start", last))
     SELECT doc_id, raw_start::INT AS raw_start, raw_end::INT AS raw_end, (raw_start + shift)::INT AS anon_start, (raw_end + shift)::INT AS anon_end FROM s WHERE raw_end > raw_start""")
 def unchanged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return label.segments(labelled(spark, sf_dir), documents(spark, sf_dir))
+    return label.segments(labelled(spark, sf_dir), documents(spark, sf_dir)).drop(label.KEY)
 
 
 @query(f"""WITH s AS ({EVENT_SPANS}) SELECT doc_id, entity_type, event_id % 7 AS grp, count(*) AS n, min(score) AS min_score, max(score) AS max_score, bool_or(score < 0.85) AS needs_review, min("start") AS first_start FROM s GROUP BY ALL""")
@@ -254,10 +254,10 @@ def context_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
 PEOPLE = "Anna Thin, Ernst Ber und Julia Onre: Annas Hund, Bers Haus, Julia's Ring; nicht Thinsel."
 
 
-@query(f"""WITH d AS (SELECT doc_id, length(substr(text, 1, 60)) + 1 AS shift FROM documents)
+@query(f"""WITH d AS (SELECT doc_id, length(text) + 1 AS shift FROM documents)
     SELECT doc_id, (shift + k)::INT AS "start", value FROM d, (VALUES ({PEOPLE.index("Annas")}, 'Annas'), ({PEOPLE.index("Bers")}, 'Bers'), ({PEOPLE.index("Julia's")}, 'Julia''s')) AS t(k, value)""")
 def genitive_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", F.concat(F.substring("text", 1, 60), F.lit(" "), F.lit(PEOPLE)).alias("text"))
+    docs = documents(spark, sf_dir).select("doc_id", F.concat("text", F.lit(" "), F.lit(PEOPLE)).alias("text"))
     docs = docs.withColumn("spans", detect.term_spans("text", ["Anna Thin", "Ernst Ber", "Julia Onre"], "PERSON"))
     return resolve.genitives(docs).select("doc_id", "start", "value")
 
@@ -276,5 +276,5 @@ def person_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, (p - 1)::INT AS "start" FROM t WHERE NOT regexp_matches(substr(text, p - 1, CASE WHEN p > 1 THEN 1 ELSE 0 END), '[\\p{{L}}\\p{{N}}_]') AND NOT regexp_matches(substr(text, p + 4, 1), '[\\p{{L}}\\p{{N}}_]')
         AND NOT EXISTS (SELECT 1 FROM named n WHERE n.doc_id = t.doc_id AND n."start" < p + 3 AND n."end" > p - 1)""")
 def manual_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("spans", engine.Engine(spark, CONFIG).spans())
+    docs = engine.Engine(spark, CONFIG).with_spans(documents(spark, sf_dir).select("doc_id", "text"))
     return docs.select("doc_id", F.explode(detect.mark_term("from", "text", "spans", "ROLE")).alias("s")).select("doc_id", "s.start")

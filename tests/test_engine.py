@@ -214,7 +214,7 @@ def test_relational_and_row_forms_agree(spark, sf_dir):
     named = e.entities(docs)
     a = {r.doc_id: r.anonymized_text for r in label.anonymize(docs, named).collect()}
     assert a == {r.doc_id: r.anonymized_text for r in e.anonymize(docs).collect()}
-    back = label.restore(label.anonymize(docs, named).select("doc_id", "anonymized_text"), label.mapping(named.withColumn("norm_term", F.lower("value"))))
+    back = label.restore(label.anonymize(docs, named).select("doc_id", label.KEY, "anonymized_text"), label.mapping(named))
     assert {r.doc_id: r.restored_text for r in back.collect()} == {r.doc_id: r.text for r in docs.collect()}
     assert {r.original for r in report(named, False).collect()} <= {"[REDACTED]"}
 
