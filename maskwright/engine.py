@@ -102,12 +102,12 @@ class Engine:
 def _with_external(docs: DataFrame, external: DataFrame, doc: str, text: str) -> DataFrame:
     """docs with _mw_external, the candidates that the table external has for each text."""
     rows, keys = label.per_text(docs, external, doc, text)
-    one = F.struct(F.col("start").cast("int"), F.col("end").cast("int"), "entity_type", F.col("score").cast("double"), "recognizer", "method")
+    one = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "entity_type", F.col("score").cast("double").alias("score"), "recognizer", "method")
     grouped = external.groupBy(*keys).agg(F.array_sort(F.collect_set(one)).alias("_mw_external"))
     joined = label.join_on(rows, grouped, keys, "left")
     inside = F.filter("_mw_external", lambda s: (s["start"] >= 0) & (s["start"] < s["end"]) & (s["end"] <= F.length(text)))
     value = lambda s: F.col(text).substr(s["start"] + 1, s["end"] - s["start"])
-    made = F.transform(inside, lambda s: F.struct(s["start"], s["end"], value(s).alias("value"), s["entity_type"], s["score"], s["recognizer"], s["method"], F.lit(0).alias("seq")).cast(detect.CANDIDATE))
+    made = F.transform(inside, lambda s: F.struct(s["start"], s["end"], value(s), s["entity_type"], s["score"], s["recognizer"], s["method"], F.lit(0)).cast(detect.CANDIDATE))
     sure = label.sure(F.coalesce(made, F.expr(f"cast(array() as array<{detect.CANDIDATE}>)")), joined)
     return joined.withColumn("_mw_external", sure).drop("_unclear", *(c for c in (label.KEY,) if c not in docs.columns))
 

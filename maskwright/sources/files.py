@@ -15,14 +15,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import CELL_RULES
+from ..functions.text import AND, BREAK, BREAKS, BULLET, MARKUP_TAGS
 from ..shipping import ship
 
 #: fixed values: encodings in the order they are tried, and the suffixes that are read
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "iso-8859-15")
 SUFFIXES = ("txt", "md", "json", "csv", "docx", "pdf")
 MOST_BYTES = 50 * 1024 * 1024
-_MARKUP = re.compile(r"</?(?:mark|ins|u|span|font|strike|del)(?:\s+[^>]*)?>", re.IGNORECASE)
+_MARKUP = re.compile(rf"</?(?:{'|'.join(MARKUP_TAGS.split())})(?:\s+[^>]*)?>", re.IGNORECASE)
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -42,12 +42,29 @@ def _picture(m: re.Match) -> str:
     return "\n\n" + re.sub(r"\b[A-Za-zÄÖÜäöüß]{4,}\b", apart, _BR.sub("\n", m.group(1))) + "\n\n"
 
 
+_ITEM, _WORD_ENDS = re.compile(rf"{BULLET}(?:\s+|$)"), re.compile("[A-Za-zÄÖÜäöüß]-$")
+
+
 def clean_cell_text(cell: str) -> str:
-    """The rules of functions.text.clean_cell on one string."""
+    """functions.text.clean_cell on one string: pieces between runs of breaks, sewn together by what meets at each."""
     cell = cell.strip()
-    for pattern, new in CELL_RULES:
-        cell = re.sub(pattern, new.replace("$", "\\"), cell)
-    return cell.strip()
+    done, last, bare = "", "", False
+    paragraphs = [False, *(len(re.findall(BREAK, run)) > 1 for run in re.findall(BREAKS, cell))]
+    for k, (paragraph, piece) in enumerate(zip(paragraphs, re.split(BREAKS, cell), strict=True)):
+        item = None if paragraph else _ITEM.match(piece)
+        cut_word = bool(k and not paragraph and _WORD_ENDS.search(last)) and not re.match(rf"(?i:{AND})\b", piece)
+        if item:
+            done += " <br>- " + piece[item.end() :]
+        elif cut_word and re.match("[a-zäöüß]", piece):
+            done = done.removesuffix("-") + piece
+        elif paragraph:
+            done += " <br><br> " + piece
+        else:
+            sewn = not k or bare or (cut_word and re.match("[A-ZÄÖÜ][a-zäöüß]", piece))
+            done += piece if sewn else " " + piece
+        last, bare = piece, bool(item) and len(piece) == 1
+    done = re.sub(rf"^(?:{BREAK}|\s)+|(?:{BREAK}|\s|{BULLET})+$", "", done)
+    return re.sub(r"[ \t]+", " ", done).strip()
 
 
 def _table_row(line: str) -> str:

@@ -424,3 +424,41 @@ def test_no_warnings_for_known_types():
     with warnings.catch_warnings():
         warnings.simplefilter("error")
         Config(entity_types=("PERSON",))
+
+
+def test_row_form_of_roles_and_links(spark):
+    roles, links = {"a@b.ch": "Prof"}, {"c@d.ch": ("a@b.ch", ""), "e@f.ch": ("x@y.ch", "ALT")}
+    e = Engine(spark, Config(detectors=("email",), roles=roles, links=links, placeholders="numbered_role"))
+    docs = rows(spark, ["c@d.ch g@h.ch a@b.ch e@f.ch", "nothing", None])
+    out = {r.doc_id: r for r in e.anonymize(docs).collect()}
+    own = spark.createDataFrame([(0, k, v) for k, v in roles.items()], "doc_id long, norm_term string, role string")
+    linked = spark.createDataFrame([(0, k, *v) for k, v in links.items()], "doc_id long, child_term string, parent_term string, surface_tag string")
+    named = {r.start: r.placeholder for r in e.entities(docs, "numbered_role", own, linked).collect()}
+    assert {x.start: x.placeholder for x in out[0].entities} == named
+    assert out[1].anonymized_text == "nothing" and out[2].anonymized_text is None
+
+
+def test_texts_of_one_id_and_of_none_keep_their_own_spans(spark):
+    e = Engine(spark, Config(detectors=("email",)))
+    docs = spark.createDataFrame([(None, "mail a@example.com now"), (7, "hello x@y.ch"), (7, "other and longer z@y.ch, q@y.ch")], "doc_id long, text string")
+    named = e.entities(docs)
+    assert {r.text: r.anonymized_text for r in label.anonymize(docs, named).collect()} == {r.text: r.anonymized_text for r in e.anonymize(docs).collect()}
+    done = label.anonymize(docs, named)
+    assert all("@" not in r.anonymized_text for r in done.collect())
+    assert all(r.restored_text == r.text for r in label.restore(done, label.mapping(named)).collect())
+    with pytest.raises(Exception, match="several texts share an id"):
+        label.anonymize(docs, named.drop(label.KEY)).collect()
+
+
+def test_external_spans_and_residues(spark):
+    docs = rows(spark, ["Anna Meier schrieb a@b.ch", "leer"])
+    external = spark.createDataFrame([(0, "PERSON", 0, 4, 0.95, "model", "gliner"), (0, "PERSON", 90, 99, 0.9, "model", "gliner")], "doc_id long, entity_type string, start int, end int, score double, recognizer string, method string")
+    out = {r.doc_id: r for r in Engine(spark, Config(detectors=("email",))).anonymize(docs, external=external).collect()}
+    assert out[0].anonymized_text == "[PERSON_1] Meier schrieb [EMAIL_ADDRESS_1]" and out[1].anonymized_text == "leer"
+    assert [(x.placeholder, x.word) for x in out[0].residues] == [("[PERSON_1]", "Meier")]
+    assert [x.needs_review for x in out[0].entities] == [True, False]
+
+
+def test_filters_on_entities_are_planned(spark):
+    out = Engine(spark, Config(detectors=("email", "ip"))).anonymize(rows(spark, ["a@b.ch", "x"]))
+    assert out.where("size(entities) > 0").count() == 1
