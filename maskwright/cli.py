@@ -14,9 +14,15 @@ from .sources import files
 
 def load_config(path: str | None) -> Config:
     raw = json.loads(open(path, encoding="utf-8").read()) if path else {}
-    known = {"detectors", "entity_types", "glossary_types", "modes"}
+    known = {"detectors", "entity_types", "glossary_types", "modes", "placeholders", "roles", "review_below"}
+    other = {"glossary", "ignore_terms", "default_ignore_terms", "links"}
+    if unknown := set(raw) - known - other:
+        raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
     fields = {k: v for k, v in raw.items() if k in known}
-    return Config(**fields, glossary=tuple((t, k) for t, k in raw.get("glossary", {}).items()), user_ignore=tuple(raw.get("ignore_terms", ())))
+    if "roles" in fields:
+        fields["roles"] = {k.strip().lower(): v for k, v in fields["roles"].items()}
+    links = {k.strip().lower(): (parent.strip().lower(), tag or "") for k, (parent, tag) in raw.get("links", {}).items()}
+    return Config(**fields, links=links, glossary=tuple((t, k) for t, k in raw.get("glossary", {}).items()), user_ignore=tuple(raw.get("ignore_terms", ())), default_ignore=tuple(raw.get("default_ignore_terms", ())))
 
 
 def main(args: list[str] | None = None) -> int:

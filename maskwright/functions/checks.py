@@ -66,7 +66,7 @@ def crypto_valid(value: Column) -> Column:
     limbs = [f"n{k}" for k in range(5)]  # a number of 25 bytes as five of 40 bits, the last the lowest
 
     def times(acc: Column, c: Column) -> Column:
-        carry, out = F.locate(c, F.lit(_BASE58)).cast("long") - 1, {}
+        carry, out = F.position(c, F.lit(_BASE58)).cast("long") - 1, {}
         for n in reversed(limbs):
             x = acc[n] * 58 + carry
             out[n], carry = x.bitwiseAND((1 << 40) - 1), F.shiftright(x, 40)
@@ -84,7 +84,7 @@ def crypto_valid(value: Column) -> Column:
         return out
 
     low = F.lower(value)
-    values = F.concat(F.array(*(F.lit(x).cast("long") for x in (3, 3, 0, 2, 3))), F.transform(_letters(F.substring(low, 4, 90)), lambda c: F.locate(c, F.lit(_BECH32)).cast("long") - 1))
+    values = F.concat(F.array(*(F.lit(x).cast("long") for x in (3, 3, 0, 2, 3))), F.transform(_letters(F.substring(low, 4, 90)), lambda c: F.position(c, F.lit(_BECH32)).cast("long") - 1))
     bech32 = low.rlike(f"^bc1[{_BECH32}]{{11,71}}$") & F.aggregate(values, F.lit(1).cast("long"), folded).isin(1, 0x2BC830A3)
     return F.coalesce(F.when(low.startswith("bc1"), bech32).otherwise(base58), F.lit(False))
 
