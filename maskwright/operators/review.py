@@ -15,37 +15,84 @@ def groups(occurrences: DataFrame, keys: list[str]) -> DataFrame:
     return occurrences.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("min_score"), F.max("score").alias("max_score"), F.bool_or("needs_review").alias("needs_review"), F.min("start").alias("first_start"))
 
 
+#: tags of the rules by rank
+RULES = ("GENITIV", "VORNAME", "NACHNAME", "ANREDE")
+
+
 def link_proposals(people: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """people(id, name, entity_type, parent_id[, scope]) -> proposals: one candidate is proposed, several are listed.
 
-    Four equi-joins on name parts, each candidate once under its first rule: genitive stem, first name, last name, title.
+    Four rules on name parts, each candidate once under its first rule: genitive stem, first name, last name, title.
+    Candidates are counted and listed once for each name part, and an id looks its parts up: its candidates are those of
+    the stem and those of the name, less those of both. So no pairs of ids and candidates are made, however many share a
+    part. Only ids that stand for several names have theirs brought together one by one.
     """
     sound_unions(people.sparkSession)
     scope = scope or []
     free = people.where((F.col("entity_type") == "PERSON") & (F.coalesce("parent_id", F.lit("")) == ""))
-    w = free.select(*scope, "id", F.lower(F.trim("name")).alias("low"), F.trim("name").alias("name"), F.split(F.trim("name"), r"\s+").alias("ws"))
-    n, first = F.size("ws"), F.rtrim(F.lower(F.get("ws", F.lit(0))), F.lit("."))
-    last = F.lower(F.element_at("ws", -1))
-    index = lambda rows, key: rows.select(*(F.col(c).alias(f"_{c}") for c in scope), F.col("id").alias("candidate"), F.col("low").alias("clow"), key.alias("key"))
-    words = index(w.withColumn("word", F.explode(F.array_distinct(F.transform("ws", F.lower)))), F.col("word"))
-    firsts, lasts = index(w.where(n > 1), first), index(w.where((n > 1) & ~first.isin(*HONORIFICS)), last)
-    stem = F.lower(F.trim(F.regexp_replace("name", "(?i)(s|'s|’s)$", "")))
-    asks = lambda rows, key: rows.select(*scope, "id", "low", key.alias("key"))
-    rules = [
-        (asks(w.where((n == 1) & (F.length(stem) > 0) & (stem != F.col("low"))), stem), words, "GENITIV"),
-        (asks(w.where(n == 1), F.col("low")), firsts, "VORNAME"),
-        (asks(w.where(n == 1), F.col("low")), lasts, "NACHNAME"),
-        (asks(w.where((n >= 2) & first.isin(*HONORIFICS)), last), lasts, "ANREDE"),
-    ]
-    found = None
-    for rank, (ask, known, tag) in enumerate(rules):
-        same = [ask[c].eqNullSafe(known[f"_{c}"]) for c in scope]
-        hits = ask.join(known, [*same, ask["key"] == known["key"], ask["id"] != known["candidate"], ask["low"] != known["clow"]]).select(*(ask[c] for c in scope), ask["id"], "candidate", F.struct(F.lit(rank).alias("rank"), F.lit(tag).alias("tag")).alias("rule"))
-        found = hits if found is None else found.unionByName(hits)
-    unique = found.groupBy(*scope, "id", "candidate").agg(F.min("rule").alias("rule"))
-    out = unique.groupBy(*scope, "id").agg(F.count(F.lit(1)).alias("n_candidates"), F.min(F.struct("candidate", F.col("rule.tag").alias("tag"))).alias("best"), F.array_sort(F.collect_set("candidate")).alias("candidates"))
+    named = free.where("id is not null and name is not null").select(*scope, "id", F.trim("name").alias("name"))
+    held = named.groupBy(*scope, "id").agg(F.min("name").alias("name"), F.max("name").alias("other"))
+    parts = _candidates_by_part(named, scope)
+    keys = parts.groupBy(*scope, "kind", "part").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("candidate", "rank")).alias("best"), F.collect_set("candidate").alias("all"))
+
+    asks = _asks(held.where("name = other"), scope)
+    both = asks.where("stem is not null").select(*scope, "stem", "part").distinct()
+    both = _meet(both, parts.where("kind = 'name'").select(*scope, "part", "candidate"), [*scope, "part"], "inner")
+    both = _meet(both, parts.where("kind = 'word'").select(*scope, F.col("part").alias("stem"), "candidate"), [*scope, "stem", "candidate"], "inner")
+    both = both.groupBy(*scope, "stem", "part").agg(F.count(F.lit(1)).alias("twice"))
+    stems = keys.where("kind = 'word'").select(*scope, F.col("part").alias("stem"), F.col("n").alias("stem_n"), F.col("best").alias("stem_best"), F.col("all").alias("stem_all"))
+    met = _meet(_meet(_meet(asks, stems, [*scope, "stem"]), keys.where("kind <> 'word'"), [*scope, "kind", "part"]), both, [*scope, "stem", "part"])
+    zero, none = F.lit(0), F.array().cast(keys.schema["all"].dataType)
+    counted = met.select(
+        *scope,
+        "id",
+        (F.coalesce("stem_n", zero) + F.coalesce("n", zero) - F.coalesce("twice", zero)).alias("n_candidates"),
+        F.coalesce("stem_best", "best").alias("best"),
+        F.array_union(F.coalesce("stem_all", none), F.coalesce("all", none)).alias("all"),
+    ).where("n_candidates > 0")
+
+    several = _meet(named, held.where("name <> other").select(*scope, "id"), [*scope, "id"], "inner").distinct()
+    sought = _asks(several, scope).select(*scope, "id", F.explode(F.array(F.struct("kind", "part"), F.struct(F.lit("word").alias("kind"), F.col("stem").alias("part")))).alias("x")).select(*scope, "id", "x.kind", "x.part")
+    pairs = _meet(sought, parts, [*scope, "kind", "part"], "inner").where("id <> candidate").groupBy(*scope, "id", "candidate").agg(F.min("rank").alias("rank"))
+    paired = pairs.groupBy(*scope, "id").agg(F.count(F.lit(1)).alias("n_candidates"), F.min(F.struct("candidate", "rank")).alias("best"), F.collect_set("candidate").alias("all"))
+
     one = lambda c: F.when(F.col("n_candidates") == 1, c)
-    return out.select(*scope, "id", "n_candidates", one(F.col("best.candidate")).alias("proposed_parent"), one(F.col("best.tag")).alias("proposed_tag"), F.when(F.col("n_candidates") > 1, F.col("candidates")).alias("candidates"))
+    tag = F.get(F.array(*map(F.lit, RULES)), F.col("best.rank"))
+    return counted.unionByName(paired).select(*scope, "id", "n_candidates", one(F.col("best.candidate")).alias("proposed_parent"), one(tag).alias("proposed_tag"), F.when(F.col("n_candidates") > 1, F.array_sort("all")).alias("candidates"))
+
+
+def _words(names: DataFrame) -> tuple[DataFrame, Column, Column, Column, Column]:
+    """names(name) with ws, and how many words, the first, the last, and whether the first is a title."""
+    first, last = F.rtrim(F.lower(F.get("ws", F.lit(0))), F.lit(".")), F.lower(F.element_at("ws", -1))
+    return names.withColumn("ws", F.split("name", r"\s+")), F.size("ws"), first, last, first.isin(*HONORIFICS)
+
+
+def _candidates_by_part(named: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, kind, part, candidate, rank): each id under its words, under its first and last name, and for titles under its last name."""
+    rows, n, first, last, titled = _words(named)
+    entry = lambda kind, part, rank: F.struct(F.lit(kind).alias("kind"), part.alias("part"), F.lit(rank).alias("rank"))
+    full = F.when(n > 1, F.array(entry("name", first, 1)))
+    family = F.when((n > 1) & ~titled, F.array(entry("name", last, 2), entry("title", last, 3)))
+    words = F.transform("ws", lambda x: entry("word", F.lower(x), 0))
+    empty = F.array().cast("array<struct<kind: string, part: string, rank: int>>")
+    found = rows.select(*scope, F.col("id").alias("candidate"), F.explode(F.concat(words, F.coalesce(full, empty), F.coalesce(family, empty))).alias("x"))
+    return found.groupBy(*scope, F.col("x.kind").alias("kind"), F.col("x.part").alias("part"), "candidate").agg(F.min("x.rank").alias("rank"))
+
+
+def _asks(names: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, id, kind, part, stem): single words ask for names and, unless equal or empty, by their genitive stem; titles ask for last names."""
+    rows, n, first, last, titled = _words(names)
+    low, stem = F.lower("name"), F.lower(F.trim(F.regexp_replace("name", "(?i)(s|'s|’s)$", "")))
+    single = n == 1
+    return rows.where(single | titled).select(*scope, "id", F.when(single, "name").otherwise("title").alias("kind"), F.when(single, low).otherwise(last).alias("part"), F.when(single & (F.length(stem) > 0) & (stem != low), stem).alias("stem"))
+
+
+def _meet(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """An equi-join in which null scopes are equal; right's keys go."""
+    known = right.select(*(F.col(c).alias(f"_{c}" if c in keys else c) for c in right.columns))
+    parts = ("kind", "part", "stem", "candidate")
+    on = [left[c] == known[f"_{c}"] if c in parts else left[c].eqNullSafe(known[f"_{c}"]) for c in keys]
+    return left.join(known, on, how).drop(*(f"_{c}" for c in keys))
 
 
 def tree(items: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import html
 import io
+import random
 import re
+import threading
 import warnings
 import zipfile
 
@@ -253,6 +255,54 @@ def test_occurrences_move(spark):
     assert {r.occ_id: r.group_id for r in review.split_occurrence(o, m).collect()} == {"a": "new", "c": "b"}
 
 
+def _proposals_brute(people):
+    """Of (id, name): the candidates of each id with their first rule, over all pairs."""
+    found = {}
+    for i, name in people:
+        for j, other in people:
+            if None in (i, j, name, other) or i == j:
+                continue
+            name, other = name.strip(" "), other.strip(" ")
+            low, ws, known = name.lower(), re.split(r"[ \t]+", name.lower()), re.split(r"[ \t]+", other.lower())
+            first, last = known[0].rstrip("."), known[-1]
+            stem = re.sub("(?i)(s|'s|’s)$", "", name).strip(" ").lower()
+            full, family = len(known) > 1, len(known) > 1 and first not in review.HONORIFICS
+            titled = len(ws) > 1 and ws[0].rstrip(".") in review.HONORIFICS
+            single = len(ws) == 1
+            rules = (single and stem not in ("", low) and stem in known, single and full and low == first, single and family and low == last, titled and family and ws[-1] == last)
+            if low != other.lower() and any(rules):
+                at = found.setdefault(i, {})
+                at[j] = min(rules.index(True), at.get(j, 9))
+    tag = lambda c: review.RULES[min(c.values())] if len(c) == 1 else None
+    return {(i, len(c), min(c) if len(c) == 1 else None, tag(c), tuple(sorted(c)) if len(c) > 1 else None) for i, c in found.items()}
+
+
+def test_link_proposals_against_all_pairs(spark):
+    rng = random.Random(3)
+    words = ["Julia", "julias", "Hans", "Han", "hans's", "Meier", "MEIER", "Meier’s", "Dr.", "Frau", "prof.", "Mr.", "S", "'s", "...", "", "Bern"]
+    name = lambda: rng.choice(["", " "]) + rng.choice([" ", "  ", "\t"]).join(rng.choice(words) for _ in range(rng.choice([1, 1, 2, 3])))
+    for ids in (200, 70):  # an id each, and ids that stand for several names
+        people = [(f"i{k % ids}", name()) for k in range(120)] + [(None, "Hans Meier"), ("none", None)]
+        df = spark.createDataFrame([(i, n, "PERSON", rng.choice([None, ""])) for i, n in people] + [("o", "Hans Meier", "ORG", ""), ("p", "Hans Meier", "PERSON", "x")], "id string, name string, entity_type string, parent_id string")
+        got = review.link_proposals(df).collect()
+        want = _proposals_brute(people)
+        assert len(got) == len(want) > 20 and {(r.id, r.n_candidates, r.proposed_parent, r.proposed_tag, r.candidates and tuple(r.candidates)) for r in got} == want
+    scoped = spark.createDataFrame([("a", "Hans Meier", s) for s in ("x", None)] + [("b", "Hans", s) for s in ("x", "y", None)], "id string, name string, s string").selectExpr("*", "'PERSON' AS entity_type", "'' AS parent_id")
+    assert {(r.s, r.id, r.proposed_parent) for r in review.link_proposals(scoped, ["s"]).collect()} == {("x", "b", "a"), (None, "b", "a")}
+
+
+def test_link_proposals_make_no_pairs(spark):
+    n = 60_000  # of whom half ask for the other half: 900 million pairs
+    people = spark.range(n).selectExpr("id", "if(id % 2 = 0, 'Herr Meier', concat('Vor', id, ' Meier')) AS name", "'PERSON' AS entity_type", "'' AS parent_id")
+    stop = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    stop.start()
+    try:
+        got = review.link_proposals(people).groupBy("n_candidates").count().collect()
+    finally:
+        stop.cancel()
+    assert [tuple(r) for r in got] == [(n // 2, n // 2)]
+
+
 def test_project_store(tmp_path):
     store = config.ProjectStore(tmp_path)
     first = store.save(config.Project("default"))
