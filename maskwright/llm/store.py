@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -45,6 +46,12 @@ def discard(df: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffle files of frames that are no longer held go when the driver collects its garbage: now."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """docs with _mw_file and _mw_row, which tell rows apart whatever they hold: the place in the files that docs reads, stored first if it reads none."""
     if not _reads_files(docs):

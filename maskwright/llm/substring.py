@@ -8,9 +8,10 @@ verified by the exact Jaccard similarity of their shingles, and components of ve
 A passage that documents share need not be a paragraph: it may lie inside different ones, or inside one document twice.
 So windows of `least` words are compared by equality too, all those at anchors that depend on the content only: where a
 shingle's hash is the smallest of `least` + 1 successive ones. Any shared run of 2 * `least` words holds such a window
-whole. Anchors leave the ends of a run open, up to `least` words: where repeated windows of a document stop, or go on in
-other company, all windows around the last and the first are compared as well, in every document that has that anchor. So
-spans reach as far as the shared run does.
+whole. Anchors leave the ends of a run open, up to `least` words: where the places of an anchor do not all go on to the same
+next anchor, the words beside it are compared in all of these places, word by word. So spans reach as far as the shared run
+does. For that, places are dealt by anchor and first word beside it and sorted by the words; of an anchor of more than
+`crowd` places those with the same words count once.
 
 Of a class, and of equal windows, the first occurrence (smallest doc id, rows without an id last, then place) stays, every
 other is to be removed. Every row is a document of its own, whatever its id. Null texts have no paragraphs. Nothing is
@@ -20,11 +21,13 @@ not looked for, so that licence lines do not count as copies.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +36,7 @@ from .components import components
 from .kernels import NOT_SPACE, Words, _powers, mix, windows
 from .rows import add_columns, join_classes
 from .similar import Banding, band_keys, bitmap, marked, units, verified_links
-from .store import discard, keyed, materialize, prepare
+from .store import discard, keyed, materialize, prepare, release
 
 _POSITION = 20
 _LEFT = 0x5A4D3C2B1A09F8E7  #: turns a hash that is looked for on its left side
@@ -46,6 +49,7 @@ class Settings(Banding):
     hashes: int = 32
     large: int = 4096
     least: int = 25
+    crowd: int = 1 << 16  #: places of an anchor that a task may hold, of about 450 bytes each
 
 
 class Paragraphs:
@@ -157,23 +161,6 @@ def _sets(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
     return found.join(wanted, "h", "left_semi").groupBy("h").agg(F.any_value("shingles").alias("shingles"))
 
 
-def _around(docs: DataFrame, edges: DataFrame, s: Settings) -> DataFrame:
-    """(doc, start, end, word, h) of every window that begins up to `least` + 1 words after an anchor in edges(h), or before one in edges(h turned by _LEFT)."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(edges))
-    steps = np.arange(1, s.least + 2)
-
-    def make(ids, i, data, off, j):
-        p = Paragraphs(data, off, i, j, s)
-        at = p.anchors()
-        h = p.hashes(at, at + s.least)
-        after, before = at[marked(shared.value, h)], at[marked(shared.value, h ^ _LEFT)]
-        a = p.whole(np.unique(np.concatenate(((after[:, None] + steps).ravel(), (before[:, None] - steps).ravel()))))
-        columns, names = p.batch(ids, i, a, a + s.least)
-        return pa.RecordBatch.from_arrays(columns, names=names)
-
-    return units(docs, _kind(docs), make)
-
-
 def _again(found: DataFrame) -> DataFrame:
     """Rows of found(.., h) whose h occurs more than once, and a few others. Only hashes and counts are dealt for it."""
     twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
@@ -187,32 +174,194 @@ def _again(found: DataFrame) -> DataFrame:
 
 
 def _repeated(found: DataFrame) -> DataFrame:
-    """(h, n, kept, company) of equal windows that occur more than once; company tells by a hash which documents they occur in."""
-    who = F.xxhash64("doc._mw_file", "doc._mw_row").bitwiseAND((1 << 40) - 1)
-    return found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "start")).alias("kept"), F.sum(who).alias("company")).where("n > 1")
+    """(h, n, kept) of equal windows that occur more than once."""
+    return found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "start")).alias("kept")).where("n > 1")
+
+
+def _repeats(found: DataFrame, stored: DataFrame) -> DataFrame:
+    """found(.., h) with kept, where h occurs more than once; the table it reads from is discarded once it is read."""
+    some = materialize(_again(found))
+    discard(stored)
+    classes = materialize(_repeated(some))
+    out = materialize(join_classes(some, classes, "h", "n"))
+    discard(some)
+    discard(classes)
+    release(out.sparkSession)
+    return out
 
 
 def _edges(spans: DataFrame, s: Settings) -> DataFrame:
-    """(h) of the repeated anchors after which a shared run may end, and turned by _LEFT of those before which one may begin.
+    """(h, n) of the repeated anchors after which a shared run may end, and turned by _LEFT of those before which one may begin; n places have it.
 
-    It may where the next window does not follow on this one, or is in other company.
+    It may where the places do not all have the same next anchor at the same distance, or where none follows on.
     """
 
+    def code(h: np.ndarray, gap: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        return np.where(follows, mix(h.view(np.uint64) + gap.astype(np.uint64)) | np.uint64(1), np.uint64(0)).view(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None, 0, 0, 0)
+        held, nothing = None, np.zeros(1, np.int64)
+        left = nothing
         for batch in batches:
-            out = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                file, at, word, h, company = row
-                if (file, at) != last[:2] or word - last[2] > s.least or company != last[4]:
-                    out += ([last[3]] if last[0] is not None else []) + [h ^ _LEFT]
-                last = row
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["h"])
-        if last[0] is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([last[3]], pa.int64())], names=["h"])
+            file, at, word, h = (np.append(x, c.to_numpy()) for x, c in zip(held or [np.zeros(0, np.int64)] * 4, batch.columns, strict=True))
+            if not len(h):
+                continue
+            gap = np.diff(word)
+            follows = (file[1:] == file[:-1]) & (at[1:] == at[:-1]) & (gap <= s.least)
+            before = np.append(left, code(h[:-1], gap, follows))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[:-1], code(h[1:], gap, follows), before[:-1])], names=["h", "right", "left"])
+            held, left = [x[-1:] for x in (file, at, word, h)], before[-1:]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (held[3], nothing, left)], names=["h", "right", "left"])
+
+    rows = spans.select("doc._mw_file", "doc._mw_row", F.col("word").cast("long").alias("word"), "h").repartition(*ROW).sortWithinPartitions(*ROW, "word")
+    sides = rows.mapInArrow(run, "h long, right long, left long").groupBy("h").agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{k}_{c}") for c in ("right", "left") for k, f in (("low", F.min), ("high", F.max))))
+    open_ = lambda c: (F.col(f"low_{c}") != F.col(f"high_{c}")) | (F.col(f"low_{c}") == 0)
+    sought = F.array(F.when(open_("right"), F.col("h")), F.when(open_("left"), F.col("h").bitwiseXOR(F.lit(_LEFT))))
+    return sides.select("n", F.explode(sought).alias("h")).where("h is not null").groupBy("h").agg(F.max("n").alias("n"))
+
+
+def _beside(docs: DataFrame, edges: DataFrame, s: Settings) -> DataFrame:
+    """(g, doc, start, words, starts, ends) of each place of an anchor in edges(h), and of a few others: the words beside it, outwards, the bounds of
+    the windows that take in one more each, and a hash of the anchor and the first of these words. Without a word beside it a place is left out."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(edges))
+    reach = np.arange(s.least + 1)
+
+    def make(ids, i, data, off, j):
+        p = Paragraphs(data, off, i, j, s)
+        at = p.anchors()
+        h = p.hashes(at, at + s.least)
+        right, left = marked(shared.value, h), marked(shared.value, h ^ _LEFT)
+        a, h = at[np.concatenate((right, left))], np.concatenate((h[right], h[left] ^ _LEFT))
+        after, of = np.arange(len(a)) < len(right), p.words.doc[a]
+        more = np.where(after, p.words.first[of + 1] - a - s.least, a - p.words.first[of])
+        a, h, after, more = (x[more > 0] for x in (a, h, after, more))
+        doc, start, _ = p.places(a, a + s.least)
+        inside = reach < more[:, None]
+        count = inside.sum(1)
+        first = (a[:, None] + np.where(after[:, None], reach + 1, -reach - 1))[inside]  # of the windows
+        last = first + s.least - 1
+        base = np.repeat(p.base[doc], count)
+        words = np.where(np.repeat(after, count), last, first)
+        bounds = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x.astype(np.int32))) for x in (p.points[p.words.starts[first]] - base, p.points[p.words.ends[last]] - base)]
+        held = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer((bounds * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(p.words.hashes[words]))])
+        g = mix(h.view(np.uint64) + p.words.hashes[words[bounds[:-1]]]).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(g), ids.take(pa.array(doc + i)), pa.array(start.astype(np.int32)), held, *lists], names=["g", "doc", "start", "words", "starts", "ends"])
+
+    return units(docs, f"g long, doc {docs.schema['doc'].dataType.simpleString()}, start int, words binary, starts array<int>, ends array<int>", make)
+
+
+def _ranks(keys: list[pa.Array]) -> np.ndarray:
+    """Places of rows in the order of the keys, structs field by field."""
+    flat = [y for x in keys for y in (x.flatten() if pa.types.is_struct(x.type) else [x])]
+    flat = [x.cast(pa.int8()) if pa.types.is_boolean(x.type) else x for x in flat]
+    return pc.sort_indices(pa.table(flat, names=[str(k) for k in range(len(flat))]), sort_keys=[(str(k), "ascending") for k in range(len(flat))]).to_numpy().astype(np.int64)
+
+
+def _joined(held: pa.RecordBatch | None, batch: pa.RecordBatch) -> pa.RecordBatch:
+    return batch if held is None else pa.concat_batches([held, batch])
+
+
+def _reach(t: pa.RecordBatch, width: int, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows(g, doc, start, words) sorted by g and words: how many words another place shares, from how many on the row is the first place that has
+    them, and the row that is so for one word. Rows in `twice` stand for several places."""
+    g, raw = t.column("g").to_numpy(), t.column("words").to_pylist()
+    size = np.array([len(x) for x in raw]) // 8
+    inside = np.arange(width) < size[:, None]
+    words = np.zeros((len(t), width), np.uint64)
+    words[inside] = np.frombuffer(b"".join(raw), np.uint64)
+    same = (words[1:] == words[:-1]) & inside[1:] & inside[:-1] & (g[1:] == g[:-1])[:, None]
+    common = np.concatenate(([0], np.logical_and.accumulate(same, axis=1).sum(1), [0]))
+    upto = np.where(twice, size, np.maximum(common[:-1], common[1:]))
+    order = _ranks([t.column("doc"), t.column("start")])
+    rank = np.empty(len(t), np.int64)
+    rank[order] = np.arange(len(t))
+    since, first = upto + 1, np.arange(len(t))
+    for k in range(upto.max(initial=0), 0, -1):
+        fresh = common[:-1] < k
+        least = np.minimum.reduceat(rank, np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
+        since[(least == rank) & (upto >= k)] = k
+        first = order[least]
+    return upto, since, first
+
+
+def _beside_spans(t: pa.RecordBatch, upto: np.ndarray, since: np.ndarray, first: pa.Array) -> pa.RecordBatch:
+    """Spans of rows(doc, start, starts, ends): the windows up to `since`, kept by the place `first`, and those from it on, kept by the row's own."""
+    doc = t.column("doc")
+    starts, ends = (t.column(c).flatten().to_numpy() for c in ("starts", "ends"))
+    size = pc.list_value_length(t.column("starts")).to_numpy().astype(np.int64)
+    at = np.cumsum(size) - size
+    gone, stay = np.flatnonzero((since > 1) & (upto > 0)), np.flatnonzero(since <= upto)
+    who = np.concatenate((gone, stay))
+    low = at[who] + np.concatenate((np.zeros(len(gone), np.int64), since[stay] - 1))
+    high = at[who] + np.concatenate((since[gone] - 2, upto[stay] - 1))
+    kept = pa.concat_arrays([first.take(pa.array(gone)), _place(t).take(pa.array(stay))])
+    return pa.RecordBatch.from_arrays([doc.take(pa.array(who)), pa.array(np.minimum(starts[low], starts[high])), pa.array(np.maximum(ends[low], ends[high])), kept, pa.array(np.arange(len(who)) < len(gone))], names=["doc", "start", "end", "kept", "removed"])
+
+
+def _place(t: pa.RecordBatch) -> pa.StructArray:
+    return pa.StructArray.from_arrays([t.column("doc"), t.column("start")], names=["doc", "start"])
+
+
+def _by_group(make: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of rows sorted by g through make, so that rows of one g stay together."""
 
-    rows = spans.select("doc._mw_file", "doc._mw_row", "word", "h", "company").repartition(*ROW).sortWithinPartitions(*ROW, "word")
-    return rows.mapInArrow(run, "h long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            g = batch.column("g").to_numpy()
+            if not len(g):
+                continue
+            fresh = np.flatnonzero(g[1:] != g[:-1]) + 1
+            if held and held[-1].column("g")[-1].as_py() != g[0]:
+                fresh = np.append(0, fresh)
+            if len(fresh):
+                done = [*held, batch.slice(0, int(fresh[-1]))]
+                yield make(pa.concat_batches([x for x in done if len(x)]))
+                held = []
+            held.append(batch.slice(int(fresh[-1]) if len(fresh) else 0))
+        if held:
+            yield make(pa.concat_batches(held))
+
+    return run
+
+
+def _ends(docs: DataFrame, edges: DataFrame, s: Settings) -> list[DataFrame]:
+    """(doc, start, end, kept, removed) of the windows beside the anchors edges(h, n) that occur more than once, in stored parts."""
+    kind = docs.schema["doc"].dataType.simpleString()
+    spans, width = f"doc {kind}, start int, end int, kept struct<doc: {kind}, start: int>, removed boolean", s.least + 1
+    few, many = edges.where(F.col("n") <= s.crowd), edges.where(F.col("n") > s.crowd)
+
+    def each(t: pa.RecordBatch) -> pa.RecordBatch:
+        upto, since, first = _reach(t, width, np.zeros(len(t), bool))
+        return _beside_spans(t, upto, since, _place(t).take(pa.array(first)))
+
+    def kinds(t: pa.RecordBatch) -> pa.RecordBatch:
+        n = t.column("n")
+        upto, since, first = _reach(t, width, n.to_numpy() > 1)
+        return pa.RecordBatch.from_arrays([t.column("c"), n, pa.array(upto), pa.array(since), _place(t), _place(t).take(pa.array(first))], names=["c", "n", "upto", "since", "least", "first"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            if len(t):
+                upto, since = t.column("upto").to_numpy(), t.column("since").to_numpy()
+                own = t.column("is_least").to_numpy(zero_copy_only=False)
+                yield _beside_spans(t, upto, np.where(own, since, upto + 1), t.column("first"))
+
+    dealt = lambda rows: rows.repartition("g").sortWithinPartitions("g", "words")
+    out = [materialize(dealt(_beside(docs, few, s)).mapInArrow(_by_group(each), spans))]
+    if not many.isEmpty():
+        rows = materialize(_beside(docs, many, s).withColumn("c", F.xxhash64("g", "words")))
+        alike = rows.groupBy("c").agg(F.any_value("g").alias("g"), F.any_value("words").alias("words"), F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "start")).alias("least"))
+        alike = dealt(alike.select("c", "g", "words", "n", "least.doc", "least.start"))
+        made = materialize(alike.mapInArrow(_by_group(kinds), f"c long, n long, upto long, since long, least struct<doc: {kind}, start: int>, first struct<doc: {kind}, start: int>"))
+        known = join_classes(rows, made, "c", "n").withColumn("is_least", F.struct("doc", "start").eqNullSafe(F.col("least")))
+        out.append(materialize(known.select("doc", "start", "starts", "ends", "upto", "since", "first", "is_least").mapInArrow(joined, spans)))
+        discard(rows)
+        discard(made)
+    release(docs.sparkSession)
+    return out
 
 
 def _passages(rows: DataFrame, s: Settings) -> DataFrame:
@@ -225,23 +374,20 @@ def _passages(rows: DataFrame, s: Settings) -> DataFrame:
     rooted = nodes.join(linked, nodes["h"] == linked["node"], "left").select("h", "n", "first", F.coalesce("component", "h").alias("root"))
     firsts = rooted.groupBy("root").agg(F.sum("n").alias("all"), F.min("first").alias("kept")).where("all > 1").select("root", "kept")
     classes = materialize(rooted.join(firsts, "root").select("h", "n", "kept"))
-    columns = ["doc", "start", "end", "kept"]
-    spans = join_classes(paragraphs.select("doc", "start", "end", "h"), classes, "h", "n").select(columns)
-
-    def repeats(found: DataFrame) -> DataFrame:
-        some = materialize(_again(found))
-        classes = materialize(_repeated(some))
-        out = materialize(join_classes(some, classes, "h", "n"))
-        for used in (some, classes):
-            discard(used)
-        return out
-
-    windows_ = repeats(anchored.select("doc", "start", "end", "word", "h"))
-    around = materialize(_around(rows, _edges(windows_, s), s))
-    ends = repeats(around.select("doc", "start", "end", "h"))
-    spans = spans.unionByName(windows_.select(columns)).unionByName(ends.select(columns))
-    merged = materialize(_merged(spans.withColumn("removed", ~place.eqNullSafe(F.col("kept")))))
-    for used in (found, nodes, classes, windows_, around, ends):
+    columns = ["doc", "start", "end", "kept", "removed"]
+    decided = lambda spans: spans.withColumn("removed", ~place.eqNullSafe(F.col("kept"))).select(columns)
+    parts = [materialize(decided(join_classes(paragraphs.select("doc", "start", "end", "h"), classes, "h", "n")))]
+    discard(nodes)
+    discard(classes)
+    release(rows.sparkSession)
+    windows_ = _repeats(anchored.select("doc", "start", "end", "word", "h"), found)
+    edges = materialize(_edges(windows_, s))
+    parts.append(materialize(decided(windows_)))
+    discard(windows_)
+    release(rows.sparkSession)
+    parts += _ends(rows, edges, s)
+    merged = materialize(_merged(reduce(lambda a, b: a.unionByName(b), parts)))
+    for used in (edges, *parts):
         discard(used)
     return merged
 
@@ -250,23 +396,28 @@ def _merged(spans: DataFrame) -> DataFrame:
     """(doc, start, end, kept, removed): overlapping spans of a row with the same fate become one. Rows stream through a sorted shuffle."""
     schema = T.StructType([T.StructField("doc", spans.schema["doc"].dataType), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kept", spans.schema["kept"].dataType), T.StructField("removed", T.BooleanType())])
 
+    def merge(t: pa.RecordBatch) -> pa.RecordBatch:
+        doc, kept = t.column("doc"), t.column("kept")
+        start, end, removed = (t.column(c).to_numpy(zero_copy_only=False) for c in ("start", "end", "removed"))
+        fresh, other = np.ones(len(t), bool), removed[1:] != removed[:-1]
+        for x in (doc.field(c).to_numpy() for c in ROW):
+            other |= x[1:] != x[:-1]
+        turn = np.concatenate(([0], np.cumsum(other))) << 32
+        fresh[1:] = other | (start[1:] > (np.maximum.accumulate(end + turn) - turn)[:-1])
+        at, span = np.flatnonzero(fresh), np.cumsum(fresh)
+        order = _ranks([pa.array(span), *kept.flatten()])
+        least = order[np.flatnonzero(np.append(True, np.diff(span[order]) > 0))]
+        return pa.RecordBatch.from_arrays([doc.take(pa.array(at)), pa.array(start[at]), pa.array(np.maximum.reduceat(end, at)), kept.take(pa.array(least)), pa.array(removed[at])], schema=t.schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, kinds = None, None
-        order = lambda k: tuple((x is None, x) for x in (*k["doc"].values(), k["start"]))
+        held = None
         for batch in batches:
-            kinds, out = batch.schema, []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if last and (row[0], row[4]) == (last[0], last[4]) and row[1] <= last[2]:
-                    last[2] = max(last[2], row[2])
-                    last[3] = min(last[3], row[3], key=order)
-                else:
-                    if last:
-                        out.append(last)
-                    last = list(row)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, kinds.field(k).type) for k, c in enumerate(zip(*out, strict=True))], names=kinds.names)
-        if last:
-            yield pa.RecordBatch.from_arrays([pa.array([v], kinds.field(k).type) for k, v in enumerate(last)], names=kinds.names)
+            if len(batch):
+                out = merge(_joined(held, batch))
+                yield out.slice(0, len(out) - 1)
+                held = out.slice(len(out) - 1)
+        if held is not None:
+            yield held
 
     rows = spans.select(*schema.names).withColumns({c: F.col(f"doc.{c}") for c in ROW})
     return rows.repartition(*ROW).sortWithinPartitions(*ROW, "removed", "start", "end").select(*schema.names).mapInArrow(run, schema)

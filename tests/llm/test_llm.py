@@ -760,6 +760,41 @@ def test_substring_spans_reach_as_far_as_the_run(spark):
     assert not got[len(texts) - 3] and not got[len(texts) - 1]
 
 
+@pytest.mark.parametrize("crowd", [1, 3, 1 << 16])
+def test_substring_ends_of_crowded_anchors(spark, crowd):
+    line = _line_maker(14)
+    passages = [line(n) for n in (50, 64, 90)]
+    order = [(0, 1, 2), (0, 2, 1), (1, 0), (2, 0, 1), (2,), (1, 1)]
+    texts = [" ".join([line(k), *(passages[x] for x in o), line(9)]) for k, o in enumerate(order, 20)]
+    half = lambda p, n: " ".join(p.split()[:n])
+    texts += [f"{line(40)} {half(passages[2], n)} {line(30)}" for n in range(52, 90, 5)]
+    rows = [*((k if k % 4 else None, t) for k, t in enumerate(texts)), (5, texts[3])]
+    docs = table(spark, rows).coalesce(1)
+    found = defaultdict(list)
+    cut = store.materialize(docs)
+    for r in substring._passages(substring._identified(cut, "text", "doc_id")[1], substring.Settings(crowd=crowd)).collect():
+        found[r.doc._mw_row].append((r.start, r.end, r.removed))
+        assert r.kept.doc._mw_row <= len(rows)
+    texts = [t for _, t in rows]
+    sure, may = _runs_brute(texts)
+    assert all(sure[k] <= _words_at(t, [x[:2] for x in found[k]]) <= may[k] for k, t in enumerate(texts))
+    spans = lambda k, gone: sorted(x[:2] for x in found[k] if x[2] == gone)
+    kept = [substring._without(t, spans(k, True), spans(k, False)) for k, t in enumerate(texts)]
+    assert {w for t in kept for w in SPACE.findall(t)} == {w for t in texts for w in SPACE.findall(t)}
+    assert sum(map(len, kept)) < sum(map(len, texts)) - sum(map(len, passages))
+
+
+def test_substring_rows_beside_anchors_are_few(spark, monkeypatch):
+    line = _line_maker(15)
+    p = line(60)
+    made = []
+    beside = substring._beside
+    monkeypatch.setattr(substring, "_beside", lambda *a: made.append(store.materialize(beside(*a))) or made[0])
+    found = substring.repeated_passages(table(spark, [(k, f"{line(40)} {p} {line(40)}") for k in range(300)])).collect()
+    assert len({r.doc_id for r in found}) == 300 and max(r.end - r.start for r in found) < 7 * 64
+    assert 600 <= made[0].count() <= 300 * 6  # some rows for each run, not one for each of the 52 windows around it
+
+
 def test_substring_repeats_within_one_document(spark):
     line = _line_maker(8)
     p = line(70)
