@@ -27,7 +27,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each component of near duplicates (5-word Jaccard of 0.8 or more): that of the smallest id, rows without one last."""
+    """Keeps one row of each component of near duplicates: that of the smallest id, rows without one last.
+
+    Candidates are documents whose SimHash fingerprints lie within 3 bits, by covering LSH, and for similar ones beyond
+    them documents that share a MinHash band; a 5-word Jaccard of 0.8 or more, checked exactly, makes a link.
+    """
     return neardup.distinct_documents(docs)
 
 

@@ -2,8 +2,10 @@
 
 Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a document is the set of its runs of `shingle` words, or with fewer
 words its whole sequence. Documents of equal sequences are one node, so thousands of copies cost one row each and nothing
-more. Candidates are nodes that share a band of their MinHash signature, tuned for the recall at the threshold; every link
-is verified by the sets themselves. Shingles are compared by 64-bit hashes.
+more. Candidates are found by operator 7: SimHash fingerprints that differ in `radius` bits or fewer, by covering LSH, so no
+such pair is missed. A pair at the threshold may differ in more bits, so nodes that share a band of their MinHash
+signature, tuned for the recall there, are candidates too. Every link is verified by the sets themselves. Shingles are
+compared by 64-bit hashes.
 
 Null and empty texts are without words, and equal to each other. Every row is a document, whatever its id.
 """
@@ -15,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .components import components
 from .kernels import NOT_SPACE, Words, _powers, mix, windows
 from .rows import join_classes
@@ -47,7 +50,7 @@ class Shingled:
 
 
 def _signatures(docs: DataFrame, s: Banding) -> DataFrame:
-    """(doc, h, size, bands) per document."""
+    """(doc, h, size, bands, fp) per document, fp being its SimHash fingerprint."""
     count = s.bands[0]
 
     def make(ids, i, data, off, j):
@@ -55,9 +58,19 @@ def _signatures(docs: DataFrame, s: Banding) -> DataFrame:
         bounds = np.concatenate(([0], np.cumsum(d.sizes > 0))) * count
         keys = band_keys(d.values, d.off[:-1][d.sizes > 0], 1, s)
         lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(keys.ravel().view(np.int64)))
-        return pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(d.hashes().view(np.int64)), pa.array(d.sizes.astype(np.int64)), lists], names=["doc", "h", "size", "bands"])
+        prints = pa.array(simhash.fingerprints_of(data, off, i, j))
+        return pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(d.hashes().view(np.int64)), pa.array(d.sizes.astype(np.int64)), lists, prints], names=["doc", "h", "size", "bands", "fp"])
 
-    return units(docs, f"doc {docs.schema['doc'].dataType.simpleString()}, h long, size long, bands array<long>", make)
+    return units(docs, f"doc {docs.schema['doc'].dataType.simpleString()}, h long, size long, bands array<long>, fp long", make)
+
+
+def _with_classes(nodes: DataFrame, radius: int) -> DataFrame:
+    """nodes(h, size, bands) with one more band for those whose fingerprint others reach within `radius` bits: they meet whole, as operator 7 has them."""
+    linked = components(simhash.near_links(nodes.where("size > 0").select("fp").distinct(), radius))
+    class_ = F.xxhash64("component", F.lit("simhash"))
+    # equal fingerprints of different sequences meet too
+    joined = nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    return joined.select("h", "size", F.when(F.col("size") > 0, F.concat("bands", F.array(class_))).otherwise(F.col("bands")).alias("bands"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, s: Banding) -> DataFrame:
@@ -80,8 +93,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, s: Banding) -> DataFrame:
 def _rooted(docs: DataFrame, s: Banding) -> tuple[DataFrame, DataFrame]:
     """docs(doc, text) -> (doc, h) per row, and (h, n, least, root) per node: its rows, the least of them, its component."""
     rows = materialize(_signatures(docs, s))
-    nodes = materialize(rows.groupBy("h").agg(F.any_value("size").alias("size"), F.any_value("bands").alias("bands"), F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")))
-    linked = components(verified_links(nodes.select("h", "size", "bands"), lambda wanted: _sets(docs, wanted, s), s))
+    nodes = materialize(rows.groupBy("h").agg(F.any_value("size").alias("size"), F.any_value("bands").alias("bands"), F.any_value("fp").alias("fp"), F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")))
+    linked = components(verified_links(_with_classes(nodes, s.radius), lambda wanted: _sets(docs, wanted, s), s))
     rooted = nodes.join(linked, nodes["h"] == linked["node"], "left").select("h", "n", "least", F.coalesce("component", "h").alias("root"))
     return rows.select("doc", "h"), materialize(rooted)
 

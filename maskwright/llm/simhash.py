@@ -66,16 +66,18 @@ def _fingerprint(raw: bytes, shingle: int) -> int:
     return int(np.packbits(2 * counts > total, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprints_of(data: np.ndarray, off: np.ndarray, i: int, j: int, shingle: int = 3) -> np.ndarray:
+    """Of documents i..j-1 of bytes at offsets, signed."""
+    low = LOWER[data[off[i] : off[j]]].tobytes()
+    return np.array([_signed(_fingerprint(low[off[d] - off[i] : off[d + 1] - off[i]], shingle)) for d in range(i, j)], np.int64)
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text") -> DataFrame:
     """docs with fingerprint, the 64 bits as a signed long."""
 
     def make(batch: pa.RecordBatch) -> list:
         data, off = text_bytes(batch.column(text))
-        out = []
-        for i, j in chunks(off):
-            low = LOWER[data[off[i] : off[j]]].tobytes()
-            out += [_signed(_fingerprint(low[off[d] - off[i] : off[d + 1] - off[i]], shingle)) for d in range(i, j)]
-        return [np.array(out, np.int64)]
+        return [np.concatenate([np.zeros(0, np.int64), *(fingerprints_of(data, off, i, j, shingle) for i, j in chunks(off))])]
 
     return add_columns(docs, T.StructType([T.StructField("fingerprint", T.LongType())]), make)
 

@@ -33,6 +33,7 @@ class Banding:
     hashes: int = 64
     large: int = 2048
     pivots: int = 256
+    radius: int = 3  #: bits in which SimHash fingerprints of candidates may differ, for whole documents
 
     @property
     def bands(self) -> tuple[int, int]:

@@ -678,6 +678,19 @@ def test_near_duplicates_against_all_pairs(spark):
     assert neardup.near_duplicates(table(spark)).count() == len(ODD)
 
 
+def test_near_duplicates_come_from_fingerprints_too(spark):
+    rng = random.Random(13)
+    rows = []
+    for _ in range(20):
+        base = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(900)]
+        rows += [(len(rows) + k, " ".join([*base[: 100 * k], *["edited"] * (k > 0), *base[100 * k :]])) for k in range(2)]
+    near = [k for k in range(0, len(rows), 2) if (_fingerprint(rows[k][1]) ^ _fingerprint(rows[k + 1][1])).bit_count() <= 3]
+    assert len(near) > 10
+    s = similar.Banding(recall=1e-9)  # one band of 64 rows: hardly a pair shares it
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(table(spark, rows), s).collect()}
+    assert all(got[k + 1] == k for k in near)
+
+
 def test_distinct_documents_are_chosen_by_row(spark):
     x, y = "the same text in two rows of other ids and more words", "a text of its own under an id that is not its own"
     rows = [(3, x, "a"), (5, x, "b"), (5, y, "c"), (None, y.upper(), "d"), (None, "nameless but alone in what it says", "e"), (None, "Nameless but alone in what it says", "f"), (7, None, "g"), (8, "", "h"), (6, " ", "i"), (9, x + " ", "j"), (9, x + " ", "j")]
